@@ -5,11 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import exact_dedup, pii, warc
+from foliospark.llm import chat, decontam, exact_dedup, langid, packing, pii, secret_scan, simhash, token_scan, warc
 from foliospark.llm.common import new_path
 from foliospark.session import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-files")
+    token_scan.write_token_files(table(spark, sf_dir, "documents"), path)
+    counts = token_scan.scan_token_files(spark, path)
+    number = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).cast("int")
+    return counts.select(number.alias("file_number"), "doc_index", "start_token", "n_tokens", "terminated")
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -18,6 +30,28 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("doc_key")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
@@ -31,9 +65,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op3_exact_dedup": op3_exact_dedup,
-    "op4_pii": op4_pii,
-    "op10_warc": op10_warc,
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op2_secrets,
+        op3_exact_dedup,
+        op4_pii,
+        op5_packing,
+        op6_chat,
+        op7_simhash,
+        op8_decontamination,
+        op9_language_id,
+        op10_warc,
+    )
 }
 ORACLES = {
     "op3_exact_dedup": """
@@ -44,6 +88,25 @@ ORACLES = {
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
                doc_id = max(doc_id) over w as kept, text_sha256
         from norm window w as (partition by text_sha256)""",
+    "op6_chat": """
+        with t as (
+          select conv_id, turn, coalesce(role, 'unknown') as r, coalesce(text, '') as x from conversations),
+        c as (
+          select conv_id, list(sha256(r) || sha256(x) order by turn) as hs,
+                 list('<|start|>' || replace(r, '<|', '< |') || chr(10) || replace(x, '<|', '< |')
+                      || '<|end|>' || chr(10) order by turn) as parts
+          from t group by conv_id),
+        k as (
+          select conv_id, hs, array_to_string(hs, '|') as whole, len(hs) as n_turns,
+                 array_to_string(parts, '') as chat
+          from c),
+        shorter as (
+          select distinct array_to_string(hs[1:i], '|') as whole from k, unnest(range(1, n_turns)) as u(i)),
+        g as (
+          select whole, min(conv_id) as conv_id, max(n_turns) as n_turns, count(*) as n_copies,
+                 arg_min(chat, conv_id) as chat
+          from k group by whole)
+        select conv_id, n_turns, n_copies, chat from g where whole not in (select whole from shorter)""",
     "op10_warc": """
         with sized as (
           select page_id, coalesce(html, '') as payload, strlen(coalesce(html, '')) as payload_bytes
