@@ -1,4 +1,446 @@
-"""Registered queries over the driver tables and their DuckDB oracles."""
+"""Registered queries over the driver tables and their DuckDB oracles.
 
-QUERIES = {}
-ORACLES = {}
+The driver tables stand in for a workspace's: events are a usage log, region to customer a file
+tree, orders and line items local and remote documents.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliospark.functions import ink, text
+from foliospark.operators import pages, sync, tree, usage
+from foliospark.session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+GAP_MS = 6 * 3_600_000
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a query under its function's name, with its oracle."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        F.col("user_id").alias("session_id"), "ts", F.col("event_id").alias("id"), F.col("event_type").alias("kind"),
+        F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("command"), (F.col("event_type") != "error").alias("success"),
+    )
+
+
+_RUNS = f"""
+  g as (select *, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) over (partition by user_id order by ts, event_id) as gap_ms from events),
+  r as (select *, sum(case when gap_ms > {GAP_MS} then 1 else 0 end)
+               over (partition by user_id order by ts, event_id rows unbounded preceding) as run from g)
+"""
+
+
+@query("select event_type, count(*) as n from events group by 1")
+def usage_tool_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("select count(*) as n from events where event_type ilike '%ER%'")
+def usage_total_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").filter(F.col("event_type").ilike("%ER%")).agg(F.count("*").alias("n"))
+
+
+@query("""select event_type as kind, count(*) as calls, count(*) filter (event_type <> 'error') as succeeded,
+  count(*) filter (event_type = 'error') as failed, count(distinct user_id) as sessions,
+  count(*) filter (event_type <> 'error') * 100.0 / count(*)::double as success_rate,
+  count(*)::double / count(distinct user_id) as per_session from events group by 1""")
+def usage_subcommand_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.kind_summary(_calls(spark, sf_dir))
+
+
+@query("""select event_id, cast(json_extract_string(props, '$.k') as bigint) as k,
+  case when length(props) > 6 then substring(props, 1, 6) || '...' else props end as shown from events where event_type = 'error'""")
+def usage_calls_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").filter("event_type = 'error'")
+    return e.select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"), text.truncated(F.col("props"), 6, "...").alias("shown"))
+
+
+@query(f"""with {_RUNS},
+  n as (select *, row_number() over (partition by user_id, run order by ts, event_id) as nth from r)
+  select user_id as session_id, run, count(*) as calls, array_to_string(list_sort(list(distinct event_type)), ', ') as kinds,
+    count(*) filter (event_type <> 'error') as succeeded, count(*) filter (event_type = 'error') as failed,
+    max(epoch_us(ts) // 1000) - min(epoch_us(ts) // 1000) as duration_ms, min(ts) as first_ts,
+    string_agg(event_type || ' ' || event_id, '; ' order by nth) filter (nth <= 5)
+      || case when count(*) > 5 then ' (+' || (count(*) - 5) || ' more)' else '' end as commands
+  from n group by user_id, run having count(*) >= 2""")
+def usage_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.sequences(_calls(spark, sf_dir), GAP_MS)
+
+
+@query(f"""with g as (select *, cast(floor((epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) over (partition by user_id order by ts, event_id)) / 1000.0 + 0.5) as bigint) as gap_s from events)
+  select user_id as session_id, event_id as id, gap_s, sum(case when gap_s > {GAP_MS // 1000} then 1 else 0 end)
+    over (partition by user_id order by ts, event_id rows unbounded preceding) + 1 as run from g""")
+def usage_sequence_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.timeline(_calls(spark, sf_dir), GAP_MS // 1000).select("session_id", "id", "gap_s", "run")
+
+
+@query(f"""with {_RUNS},
+  s as (select user_id as session_id, count(*) as calls, count(*) filter (event_type = 'error') as failed, max(run) + 1 as runs from r group by 1)
+  select *, failed / calls::double as fail_ratio, floor(runs * (1 + failed / calls::double) * 10 + 0.5) / 10 as score from s where failed >= 3""")
+def usage_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.churn(_calls(spark, sf_dir), GAP_MS, 3)
+
+
+def _rules_sql(rules: list) -> str:
+    arms = " ".join("when " + " or ".join(f"contains(t, '{p}')" for p in ps) + f" then '{n}'" for n, ps in rules)
+    return f"case {arms} else 'unknown' end"
+
+
+@query(f"select doc_id, {_rules_sql(text.FAILURE_DETAIL)} as mode from (select doc_id, lower(coalesce(text, '')) as t from documents)")
+def usage_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.classify(F.col("text"), text.FAILURE_DETAIL).alias("mode"))
+
+
+@query(f"""with m as (select {_rules_sql(text.FAILURE_SUMMARY)} as mode from (select lower(coalesce(text, '')) as t from documents))
+  select mode, count(*) as n, count(*) / sum(count(*)) over ()::double as share from m group by mode""")
+def usage_failure_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return usage.shares(docs.select(text.classify(F.col("text"), text.FAILURE_SUMMARY).alias("mode")), "mode")
+
+
+@query("select conv_id, turn, coalesce(role, '') as role from conversations")
+def unnest_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    nested = c.groupBy("conv_id").agg(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"))).alias("turns"))
+    return nested.select("conv_id", F.inline("turns"))
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda name: table(spark, sf_dir, name)
+    row = lambda i, p, n, k, m: [i.alias("id"), p.alias("parent_id"), n.alias("name"), F.lit(k).alias("type"), m.alias("modified")]
+    tag = lambda a, c: F.concat(F.lit(a), F.col(c).cast("string"))
+    none = F.lit(None).cast("string")
+    return (
+        t("region").select(*row(tag("r", "r_regionkey"), F.lit(""), F.col("r_name"), tree.FOLDER, none))
+        .unionByName(t("nation").select(*row(tag("n", "n_nationkey"), tag("r", "n_regionkey"), F.col("n_name"), tree.FOLDER, none)))
+        .unionByName(t("customer").select(*row(tag("c", "c_custkey"), tag("n", "c_nationkey"), F.col("c_name"), tree.DOCUMENT, F.col("c_mktsegment"))))
+        .unionByName(t("supplier").select(*row(tag("s", "s_suppkey"), tag("n", "s_nationkey"), F.col("s_name"), tree.TEMPLATE, none)))
+    )
+
+
+_TREE = """
+  e as (select 'r' || r_regionkey as id, '' as parent_id, r_name as name, 'CollectionType' as type, null as modified from region
+    union all select 'n' || n_nationkey, 'r' || n_regionkey, n_name, 'CollectionType', null from nation
+    union all select 'c' || c_custkey, 'n' || c_nationkey, c_name, 'DocumentType', c_mktsegment from customer
+    union all select 's' || s_suppkey, 'n' || s_nationkey, s_name, 'TemplateType', null from supplier),
+  w as (select *, '/' || name as path, 1 as depth, [id] as chain from e where parent_id = ''
+    union all select e.*, w.path || '/' || e.name, w.depth + 1, list_append(w.chain, e.id) from e join w on e.parent_id = w.id),
+  v as (select *, type = 'CollectionType' as is_dir from w where type <> 'TemplateType')
+"""
+
+
+def _walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.walk(_entries(spark, sf_dir))
+
+
+@query(f"with recursive {_TREE} select id, path, depth, is_dir from v")
+def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _walk(spark, sf_dir).select("id", "path", "depth", "is_dir")
+
+
+@query(f"with recursive {_TREE} select id, name from v where parent_id = 'r1'")
+def tree_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.children(_walk(spark, sf_dir), "r1").select("id", "name")
+
+
+@query(f"with recursive {_TREE} select id, path from v where list_contains(chain, 'r2')")
+def tree_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.subtree(_walk(spark, sf_dir), "r2").select("id", "path")
+
+
+@query(f"with recursive {_TREE} select id, path from v where regexp_matches(path, 'A/.*[13]$')")
+def tree_find_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.find(_walk(spark, sf_dir), "A/.*[13]$").select("id", "path")
+
+
+@query(f"with recursive {_TREE} select id, name from v where parent_id = 'r1' and regexp_matches(lower(name), '^[^/]*a[^/]*$')")
+def tree_glob_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    walked = _walk(spark, sf_dir)
+    top = table(spark, sf_dir, "region").filter("r_regionkey = 1").select(F.concat(F.lit("/"), "r_name").alias("top"))
+    parent = F.regexp_replace("path", "/[^/]*$", "")
+    return walked.join(top, parent == F.col("top"), "left_semi").filter(F.lower("name").rlike(tree.glob_pattern("*a*"))).select("id", "name")
+
+
+@query(f"with recursive {_TREE} select id, path from v where contains(lower(path), 'asia') and type = 'DocumentType'")
+def tree_search_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.search(_walk(spark, sf_dir), "Asia", target="path", kind="file").select("id", "path")
+
+
+@query(f"with recursive {_TREE} select id, path from v where regexp_matches(path, '(?i)an') order by path, id limit 50")
+def tree_search_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.search(_walk(spark, sf_dir), "an", regex=True, target="path", limit=50).select("id", "path")
+
+
+@query()
+def tree_search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.ranked_search(_walk(spark, sf_dir), "cus").select("id", "path", "score")
+
+
+@query(f"""with recursive {_TREE} select id, row_number() over (partition by parent_id order by case when is_dir then 0 else 1 end,
+  modified desc nulls last, id) as place from v""")
+def tree_list_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.listed(_walk(spark, sf_dir), by_time=True, reverse=True).select("id", "place")
+
+
+@query(f"with recursive {_TREE} select id, depth from v where list_contains(chain, 'r3') or list_contains(chain, 'n1')")
+def tree_delete_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    picked = spark.createDataFrame([("r3",), ("n1",)], "id string")
+    return tree.delete_plan(_walk(spark, sf_dir), picked)
+
+
+@query(f"""with recursive {_TREE}, p as (select id from v where list_contains(chain, 'r3'))
+  select count(*) filter (id like 'c%') as removed, count(*) filter (id not like 'c%') as remaining from p""")
+def tree_delete_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = tree.delete_plan(_walk(spark, sf_dir), spark.createDataFrame([("r3",)], "id string"))
+    gone = plan.filter("id like 'c%'")
+    return tree.delete_outcome(plan, tree.delete(_entries(spark, sf_dir), gone))
+
+
+@query(f"""with recursive {_TREE} select id, case when id = 'n2' then 'r0' else parent_id end as parent_id,
+  case when id = 'n3' then 'RENAMED' else name end as name from v""")
+def tree_move_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.rename(tree.move(_walk(spark, sf_dir), "n2", "r0"), "n3", "RENAMED").select("id", "parent_id", "name")
+
+
+_HASHED = "select p_partkey as id, {} as hash from part where p_partkey % 10 <> {}"
+
+
+@query(f"""select coalesce(n.id, o.id) as id, case when o.id is null then 'added' when n.id is null then 'removed' else 'changed' end as change
+  from ({_HASHED.format("p_name", 3)}) o full join ({_HASHED.format("case when p_size = 7 then p_type else p_name end", 4)}) n on o.id = n.id
+  where o.id is null or n.id is null or o.hash is distinct from n.hash""")
+def snapshot_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    old = part.filter("p_partkey % 10 <> 3").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("hash"))
+    new = part.filter("p_partkey % 10 <> 4").select(F.col("p_partkey").alias("id"), F.expr("case when p_size = 7 then p_type else p_name end").alias("hash"))
+    return tree.snapshot_delta(old, new)
+
+
+def _sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    local = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderdate").alias("modified"))
+    remote = table(spark, sf_dir, "lineitem").filter("l_quantity > 10").groupBy("l_orderkey").agg(
+        F.max("l_shipdate").alias("modified"), (F.count("*") > 5).alias("is_dir")
+    ).withColumnRenamed("l_orderkey", "key").unionByName(
+        table(spark, sf_dir, "customer").select((-F.col("c_custkey")).alias("key"), F.lit(None).cast("timestamp_ntz").alias("modified"), (F.col("c_acctbal") < 0).alias("is_dir"))
+    )
+    return sync.plan(local, remote, check_times=True)
+
+
+_SYNC = """
+  remote as (select l_orderkey as key, max(l_shipdate) as modified, count(*) > 5 as is_dir from lineitem where l_quantity > 10 group by 1
+    union all select -c_custkey, null, c_acctbal < 0 from customer),
+  p as (select coalesce(o_orderkey, key) as key, case when o_orderkey is null then 'orphan' when key is null then 'upload'
+      when is_dir or coalesce(o_orderdate > modified, false) then 'stale' else 'skip' end as action,
+    case when o_orderkey is null then 'remote only' when key is null then 'missing' when is_dir then 'remote is a directory'
+      when o_orderdate > modified then 'local is newer' else 'present' end as reason
+    from orders full join remote on o_orderkey = key where not (o_orderkey is null and is_dir))
+"""
+
+
+@query(f"with {_SYNC} select key, action, reason from p")
+def sync_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sync(spark, sf_dir)
+
+
+@query(f"""with {_SYNC} select count(*) filter (action = 'upload') as n_upload, count(*) filter (action = 'skip') as n_skip,
+  count(*) filter (action = 'stale') as n_stale, count(*) filter (action = 'orphan') as n_orphan, 0 as n_error from p""")
+def sync_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.action_counts(_sync(spark, sf_dir))
+
+
+_SAFE = r"""coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(replace(coalesce({0}, ''), ' ', '_'),
+  '[^A-Za-z0-9_.-]', '', 'g'), '_+', '_', 'g'), '^[_-]+|[_-]+$', '', 'g'), ''), 'document')"""
+
+
+@query(f"""select key, count(*) as inputs, min(p_name) as first_input, max(p_name) as last_input
+  from (select {_SAFE.format("p_name")} as key, p_name from part) group by key having count(*) > 1""")
+def sync_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.duplicate_keys(table(spark, sf_dir, "part").select(text.safe_name(F.col("p_name")).alias("key"), F.col("p_name").alias("input")))
+
+
+@query("""select o_custkey as job_id, count(*) as total, count(*) filter (o_orderstatus <> 'O') as finished,
+  count(*) filter (o_orderstatus = 'P') as failed, case when count(*) filter (o_orderstatus = 'O') > 0 then 'uploading'
+  when count(*) filter (o_orderstatus = 'P') > 0 then 'failed' else 'done' end as state from orders group by 1""")
+def job_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = F.when(F.col("o_orderstatus") == "O", "uploading").when(F.col("o_orderstatus") == "P", "failed").otherwise("done")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("job_id"), F.col("o_orderkey").alias("item"), F.lit(1).alias("seq"), state.alias("state"))
+    return sync.job_rollup(o)
+
+
+@query(rf"""select page_id, {_SAFE.format("url")} as name,
+  array_to_string(list_filter(string_split(replace(coalesce(url, ''), '\', '/'), '/'), lambda p: p not in ('', '.', '..')), '/') as path from pages""")
+def name_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", text.safe_name(u).alias("name"), text.safe_relative_path(u).alias("path"))
+
+
+@query("select p_partkey, '/backup/' || p_brand || '/' || p_name as key from part")
+def remote_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", text.remote_key(F.lit("backup/"), F.col("p_brand"), F.col("p_name")).alias("key"))
+
+
+@query("select o_orderkey, strftime(o_orderdate, '%Y/%m/%d') as directory from orders")
+def date_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.date_directory(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("directory"))
+
+
+_LANG_SQL = " ".join(f"when '{k}' then '{v}'" for k, v in text.LANGUAGES.items())
+
+
+@query(f"select page_id, case lower(regexp_extract(url, '\\.([^./]*)$', 1)) {_LANG_SQL} else '' end as language from pages")
+def ext_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text.language_of(F.col("url")).alias("language"))
+
+
+@query("select doc_id, sha256(text) as body_sha from documents where text is not null")
+def md_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").filter("text is not null")
+    wrapped = F.concat(F.lit("---\ntitle: x\ntags: [a]\n---\n"), "text")
+    return d.select("doc_id", F.sha2(text.without_front_matter(wrapped), 256).alias("body_sha"))
+
+
+@query("select doc_id, repeat('`', 3 + cast(doc_id % 4 as int)) as fence from documents")
+def md_fence_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ticks = F.repeat(F.lit("`"), (F.col("doc_id") % 4 + 2).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.code_fence(F.concat(F.lit("a ` b "), ticks, F.lit(" c"))).alias("fence"))
+
+
+@query(r"""select doc_id, cast(line - 1 as int) as line, regexp_matches(l, '^[ \t]*(?:[-*+] |[0-9]+\. )') as is_list
+  from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as line from documents)""")
+def md_list_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = pages.split_paragraphs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.select("doc_id", "line", text.is_list_line(F.col("line_text")).alias("is_list"))
+
+
+@query("""select conv_id, sha256(string_agg('# ' || turn || chr(10) || coalesce(text, ''), chr(10) || chr(10) order by turn)) as bundle_sha
+  from conversations group by 1""")
+def md_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.concat(F.lit("# "), F.col("turn").cast("string"), F.lit("\n"), F.coalesce("text", F.lit("")))
+    joined = pages.sorted_concat(table(spark, sf_dir, "conversations"), "conv_id", ["turn"], body, "\n\n")
+    return joined.select("conv_id", F.sha2("bundle", 256).alias("bundle_sha"))
+
+
+@query("""with l as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, 'p' || l_partkey) - 1 as page_index, l_partkey
+    from lineitem where l_returnflag <> 'R')
+  select l_orderkey as doc, cast(page_index as int) as page_index, 'p' || l_partkey as page_id, -1 as source_page from l""")
+def page_plan_cpages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = F.struct(
+        F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("id"),
+        F.when(F.col("l_returnflag") == "R", F.struct(F.lit("1:1").alias("timestamp"), F.lit(1).alias("value"))).alias("deleted"),
+    )
+    made = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", page.alias("page")))), lambda x: x["page"]).alias("pages")
+    )
+    content = made.select("doc", F.to_json(F.struct(F.lit("pdf").alias("fileType"), F.struct("pages").alias("cPages"))).alias("content"))
+    return pages.page_plan(content).select("doc", "page_index", "page_id", "source_page")
+
+
+@query("""select o_orderkey as doc, cast(i as int) as page_index, case when i = 0 then 'first' else i::varchar end as page_id, cast(i as int) as source_page
+  from orders, unnest(range(0, 1 + o_orderkey % 3)) as u(i)""")
+def page_plan_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = (F.col("o_orderkey") % 3 + 1).cast("int")
+    content = F.to_json(F.struct(n.alias("pageCount"), F.array(F.lit("first")).alias("pages")))
+    made = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), content.alias("content"))
+    return pages.page_plan(made).select("doc", "page_index", "page_id", "source_page")
+
+
+@query("""select conv_id as seq_id, cast(turn as bigint) as p2, cast(row_number() over (partition by conv_id order by turn) - 1 as int) as place from conversations""")
+def crdt_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("seq_id"), F.lit(1).alias("p1"), F.col("turn").alias("p2"), F.lit(1).alias("left_p1"), (F.col("turn") - 1).alias("left_p2"),
+        F.lit(None).alias("right_p1"), F.lit(None).alias("right_p2"),
+    )
+    return pages.sequence_order(own).drop("p1")
+
+
+@query("""with l as (select conv_id, turn, case turn % 4 + 1 when 1 then 70 when 2 then 150 else 35 end as h from conversations)
+  select conv_id, turn, (-88 + sum(h) over w - h)::double as y, (-88 + sum(h) over w)::double as y_text from l
+  window w as (partition by conv_id order by turn rows unbounded preceding)""")
+def text_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") % 4 + 1).alias("style"))
+    return pages.paragraph_positions(c, "conv_id", "turn", "style").drop("style")
+
+
+@query("""select label, min(least_x) - 1 as min_x, min(least_y) - 1 as min_y, max(most_x) + 1 as max_x, max(most_y) + 1 as max_y, count(*) as boxes
+  from (select label, list_min(embedding[1:64:2])::double as least_x, list_max(embedding[1:64:2])::double as most_x,
+    list_min(embedding[2:64:2])::double as least_y, list_max(embedding[2:64:2])::double as most_y from embeddings) group by label""")
+def bbox_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda i: F.get("embedding", i).cast("double")
+    points = F.transform(F.sequence(F.lit(0), F.lit(62), F.lit(2)), lambda i: F.struct(at(i).alias("x"), at(i + 1).alias("y")))
+    boxed = table(spark, sf_dir, "embeddings").select("label", ink.points_box(points, 1.0).alias("box"))
+    return ink.union_boxes(boxed, ["label"])
+
+
+@query("""select l_orderkey, l_linenumber, case when t in (5, 18) then 25.0 when t = 23 then 12.0 when t in (4, 17) then l_quantity * 1.8
+    when t in (7, 13) then l_quantity * l_quantity else l_quantity end as width,
+  case when t in (5, 18) then 0.3 when t = 23 then 115 / 255.0 when t in (7, 13) then 0.7 else 1.0 end as opacity,
+  case when t in (5, 18) then 2 else 1 end as cap
+  from (select *, l_partkey % 25 as t from lineitem)""")
+def stroke_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    style = ink.stroke_style(F.col("l_partkey") % 25, F.col("l_quantity"), F.lit(21))
+    return li.select("l_orderkey", "l_linenumber", style.alias("s")).select("l_orderkey", "l_linenumber", "s.*")
+
+
+@query("select l_returnflag, l_linenumber, count(*) as n, arg_max(l_quantity, (l_orderkey, l_partkey)) as last_quantity from lineitem group by 1, 2")
+def tool_colour_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = F.max_by("l_quantity", F.struct("l_orderkey", "l_partkey")).alias("last_quantity")
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linenumber").agg(F.count("*").alias("n"), last)
+
+
+@query("""select c_custkey, case when r in (90, 270) then h else w end as width, case when r in (90, 270) then w else h end as height,
+    round((w - 100) * 72 / 226, 6) as x, round(h - (w - 50) * 72 / 226, 6) as y
+  from (select c_custkey, (c_custkey % 4) * 90 as r, 100.0 + c_custkey % 7 as w, 200.0 + c_custkey % 11 as h from customer)""")
+def page_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    w, h = (k % 7).cast("double") + 100, (k % 11).cast("double") + 200
+    size = ink.displayed_size(w, h, ink.rotation(k % 4 * 90 + 360))
+    at = ink.overlay_point(w, w, F.lit(100.0), F.lit(50.0), h)
+    return table(spark, sf_dir, "customer").select("c_custkey", size.alias("s"), at.alias("p")).select(
+        "c_custkey", "s.*", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y")
+    )
+
+
+@query("""select doc_id, doc_id % 3 <> 0 as match, case when doc_id % 3 = 0 then 1 / len(w)::double else 0.0 end as max_ratio, 1 as pages
+  from (select doc_id, string_split(coalesce(text, ''), ' ') as w from documents)""")
+def compare_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("page"), F.split(F.coalesce("text", F.lit("")), " ").alias("cells"), "text")
+    other = F.when(F.col("doc_id") % 3 == 0, F.concat(F.array(F.lit("\x00")), F.slice("cells", F.lit(2), F.size("cells")))).otherwise(F.col("cells"))
+    return pages.document_verdict(pages.compare_pages(d, d.withColumn("cells", other), 0.0))
+
+
+@query(f"""with {_RUNS},
+  d as (select *, cast(trunc(value) as bigint) as v, case when event_type in ('click', 'view') then 'x' else 'y' end as axis from r),
+  m as (select *, v - lag(v) over (partition by user_id, run, axis order by ts, event_id) as d from d),
+  s as (select user_id, run, sum(case when axis = 'x' and d > 0 then d else 0 end) as "left", sum(case when axis = 'x' and d < 0 then -d else 0 end) as "right",
+    sum(case when axis = 'y' and d < 0 then -d else 0 end) as up, sum(case when axis = 'y' and d > 0 then d else 0 end) as down from m group by 1, 2)
+  select * from s where "left" + "right" + up + down > 0""")
+def gestures_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(
+        "user_id", "ts", F.col("event_id").alias("id"), F.col("value").cast("bigint").alias("value"),
+        F.when(F.col("event_type").isin("click", "view"), "x").otherwise("y").alias("axis"),
+    )
+    return usage.gestures(e, GAP_MS)
+
+
+@query("select cast(ts as date) as day, count(*) as n, min(ts) as first_ts, max(ts) as last_ts from events group by 1")
+def daily_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
