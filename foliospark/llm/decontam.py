@@ -77,25 +77,14 @@ def shared_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = stored(_item_windows(benchmark), "item-windows")
     sizes = [r["size"] for r in items.select("size").distinct().collect()]  # at most WINDOW values
     few = items.count() <= BROADCAST_WINDOWS
-    own = docs.select(
-        "doc_id",
-        F.xxhash64("doc_id", "text").alias("doc_key"),
-        template_words(F.coalesce("text", F.lit(""))).alias("words"),
-    ).select("*", _hashes(F.col("words")).alias("hashes"))
+    key = F.xxhash64("doc_id", "text")
+    hashes = _hashes(template_words(F.coalesce("text", F.lit(""))))
+    own = docs.select("doc_id", key.alias("doc_key"), hashes.alias("hashes"))
     found = None
     for size in sizes:
-        side = items.filter(F.col("size") == size).drop("size")
-        placed = own.select("doc_id", "doc_key", "words", F.posexplode(windows(F.col("hashes"), size)).alias("doc_at", "doc_window"))
-        if not few:  # then the words would be shuffled with every window: they are fetched for the matches below
-            placed = placed.drop("words")
-        joined = placed.join(F.broadcast(side) if few else side, F.col("doc_window") == F.col("window"))
-        if not few:
-            again = own.select(F.col("doc_key").alias("again"), "words").dropDuplicates(["again"])
-            joined = joined.join(again, F.col("doc_key") == F.col("again"))
-        part = joined.select(
-            "doc_key", "doc_id", "item_id", "doc_at", "item_at",
-            F.slice("words", F.col("doc_at") + 1, F.lit(size)).alias("doc_words"), "item_words",
-        )
+        side = items.filter(F.col("size") == size)
+        placed = own.select("doc_id", "doc_key", F.posexplode(windows(F.col("hashes"), size)).alias("doc_at", "doc_window"))
+        part = placed.join(F.broadcast(side) if few else side, F.col("doc_window") == F.col("window")).drop("doc_window", "window")
         found = part if found is None else found.unionByName(part)
     if found is None:
         empty = "array<string>"
@@ -103,7 +92,17 @@ def shared_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             "doc_key", "doc_id", F.lit(None).cast("bigint").alias("item_id"), F.lit(0).alias("doc_at"),
             F.lit(0).alias("item_at"), F.array().cast(empty).alias("doc_words"), F.array().cast(empty).alias("item_words"),
         )
-    return found
+    # windows are matched by hash alone; only the documents with a match are read again for their words
+    hits = stored(found, "window-hits")
+    matched = hits.select(F.col("doc_key").alias("hit_key")).distinct()
+    texts = docs.select(key.alias("text_key"), "text").join(matched, F.col("text_key") == F.col("hit_key"), "left_semi")
+    words = stored(
+        texts.dropDuplicates(["text_key"]).select("text_key", template_words(F.coalesce("text", F.lit(""))).alias("words")), "hit-words"
+    )
+    return hits.join(words, F.col("doc_key") == F.col("text_key")).select(
+        "doc_key", "doc_id", "item_id", "doc_at", "item_at",
+        F.slice("words", F.col("doc_at") + 1, F.col("size")).alias("doc_words"), "item_words",
+    )
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
