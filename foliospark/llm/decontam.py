@@ -9,6 +9,8 @@ functions only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +34,12 @@ _WORD = r"\p{L}\p{N}"
 
 def template_words(text: Column) -> Column:
     """The text's words in lower case, slot words behind a mark of their type."""
-    marked = F.regexp_replace(text, rf"(?<![{_WORD}])[0-9]+(?:[.,][0-9]+)*+", _NUMBER + "$0")
-    marked = F.regexp_replace(marked, rf"(?<=[{_WORD},;] )\p{{Lu}}\p{{Ll}}++(?![{_WORD}])", _NAME + "$0")
-    marked = F.regexp_replace(marked, rf"(?<=[0-9] ?)(?:{_UNITS})(?![{_WORD}])", " " + _UNIT + "$0")
-    parts = F.split(F.lower(marked), rf"(?:[^{_WORD}{''.join(_MARKS)}.,]|[.,](?![0-9])|(?<![0-9])[.,])++")
+    # each pattern begins with a plain character class, so that it fails at once at most characters
+    marked = F.regexp_replace(text, rf"[0-9](?<![{_WORD}].)[0-9]*+(?:[.,][0-9]+)*+", _NUMBER + "$0")
+    marked = F.regexp_replace(marked, rf"\p{{Lu}}(?<=[{_WORD},;] .)\p{{Ll}}++(?![{_WORD}])", _NAME + "$0")
+    marked = F.regexp_replace(marked, rf"([0-9] ?)({_UNITS})(?![{_WORD}])", "$1 " + _UNIT + "$2")
+    marked = F.regexp_replace(marked, r"[.,](?:(?![0-9])|(?<![0-9].))", " ")
+    parts = F.split(F.lower(marked), rf"[^a-z0-9.,{''.join(_MARKS)}{_WORD}]++")
     return F.filter(parts, lambda w: w != "")
 
 
@@ -47,11 +51,24 @@ def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(F.when(is_slot(w), F.substring(w, 1, 1)).otherwise(w)))
 
 
-def windows(hashes: Column, size: int) -> Column:
-    """One hash per window of ``size`` words; texts with fewer words have none."""
-    places = F.sequence(F.lit(1), F.size(hashes) - size + 1)
-    found = F.transform(places, lambda i: F.xxhash64(F.slice(hashes, i, F.lit(size))))
-    return F.when(F.size(hashes) >= size, found).otherwise(F.array().cast("array<bigint>"))
+def _joined(windows: Column, step: int) -> Column:
+    """Each window hashed with the one ``step`` places on; the last ``step`` have none."""
+    n = F.greatest(F.size(windows) - step, F.lit(0))
+    return F.zip_with(F.slice(windows, F.lit(1), n), F.slice(windows, F.lit(step + 1), n), lambda a, b: F.xxhash64(a, b))
+
+
+def placed_windows(rows: DataFrame, size: int) -> DataFrame:
+    """``rows`` with ``hashes`` (one a word) replaced by one row per window of ``size`` words: at, window.
+
+    Windows grow by doubling, so a window of 8 takes 3 steps. Texts with fewer words have none.
+    """
+    others = [c for c in rows.columns if c != "hashes"]
+    width, last = 1, F.transform("hashes", lambda h: F.xxhash64(h))
+    while width < size:
+        rows = rows.select(*others, last.alias("hashes"))
+        step = min(width, size - width)
+        last, width = _joined(F.col("hashes"), step), width + step
+    return rows.select(*others, F.posexplode(last).alias("at", "window"))
 
 
 def _item_windows(benchmark: DataFrame) -> DataFrame:
@@ -60,16 +77,21 @@ def _item_windows(benchmark: DataFrame) -> DataFrame:
     Items with fewer than WINDOW words are one window of their own length.
     """
     words = benchmark.select("item_id", template_words(F.coalesce("text", F.lit(""))).alias("words"))
-    sized = words.filter(F.size("words") > 0).select(
-        "item_id", "words", F.least(F.size("words"), F.lit(WINDOW)).alias("size")
+    sized = stored(
+        words.filter(F.size("words") > 0).select(
+            "item_id", "words", F.least(F.size("words"), F.lit(WINDOW)).alias("size"), _hashes(F.col("words")).alias("hashes")
+        ),
+        "item-words",
     )
-    placed = sized.select(
-        "item_id", "words", "size", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("size"))).alias("item_at")
-    ).select("item_id", "size", "item_at", F.slice("words", F.col("item_at") + 1, F.col("size")).alias("item_words"))
     literal = F.size(F.filter("item_words", lambda w: ~is_slot(w)))
-    return placed.filter(literal >= F.least(F.col("size"), F.lit(LEAST_LITERAL))).select(
-        F.xxhash64(_hashes(F.col("item_words"))).alias("window"), "size", "item_id", "item_at", "item_words"
-    )
+    found = [
+        placed_windows(sized.filter(F.col("size") == size), size)
+        .withColumn("item_words", F.slice("words", F.col("at") + 1, F.col("size")))
+        .filter(literal >= min(size, LEAST_LITERAL))
+        .select("window", "size", "item_id", F.col("at").alias("item_at"), "item_words")
+        for size in range(1, WINDOW + 1)
+    ]
+    return reduce(DataFrame.unionByName, found)
 
 
 def shared_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -83,7 +105,7 @@ def shared_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = None
     for size in sizes:
         side = items.filter(F.col("size") == size)
-        placed = own.select("doc_id", "doc_key", F.posexplode(windows(F.col("hashes"), size)).alias("doc_at", "doc_window"))
+        placed = placed_windows(own, size).select("doc_id", "doc_key", F.col("at").alias("doc_at"), F.col("window").alias("doc_window"))
         part = placed.join(F.broadcast(side) if few else side, F.col("doc_window") == F.col("window")).drop("doc_window", "window")
         found = part if found is None else found.unionByName(part)
     if found is None:
