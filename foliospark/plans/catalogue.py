@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import ink, text
 from foliospark.operators import pages, sync, tree, usage
 from foliospark.session import table
+from foliospark.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -440,6 +441,28 @@ def gestures_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.gestures(e, GAP_MS)
 
 
+@query(f"""with g as (select *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) over w > {GAP_MS}000, false) as opens from events
+    window w as (partition by user_id order by ts, event_id)),
+  r as (select *, sum(opens::int) over (partition by user_id order by ts, event_id) as run,
+    cast(trunc(value) as bigint) as v, case when event_type in ('click', 'view') then 'x' else 'y' end as axis from g),
+  m as (select *, v - lag(v) over (partition by user_id, run, axis order by ts, event_id) as d from r where v is not null),
+  s as (select user_id, min(ts) as start_ts, max(epoch_us(ts)) + {GAP_MS}000 as end_us,
+    sum(case when axis = 'x' and d > 0 then d else 0 end)::bigint as "left", sum(case when axis = 'x' and d < 0 then -d else 0 end)::bigint as "right",
+    sum(case when axis = 'y' and d < 0 then -d else 0 end)::bigint as up, sum(case when axis = 'y' and d > 0 then d else 0 end)::bigint as down
+    from m group by user_id, run)
+  select user_id, start_ts, "left", "right", up, down from s
+  where "left" + "right" + up + down > 0 and end_us <= ((select max(epoch_ms(ts)) from events) - 10000) * 1000""")
+def gestures_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gestures that the watermark has closed when the stream is drained."""
+    schema = table(spark, sf_dir, "events").schema
+    e = streams.event_stream(spark, f"{sf_dir}/events.parquet*", schema).select(
+        "user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), F.col("value").cast("bigint").alias("value"),
+        F.when(F.col("event_type").isin("click", "view"), "x").otherwise("y").alias("axis"),
+    )
+    closed = streams.drained(streams.gesture_stream(e, GAP_MS))
+    return closed.withColumn("start_ts", F.col("start_ts").cast("timestamp_ntz"))
+
+
 @query("select cast(ts as date) as day, count(*) as n, min(ts) as first_ts, max(ts) as last_ts from events group by 1")
 def daily_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
