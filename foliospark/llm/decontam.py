@@ -21,6 +21,8 @@ WINDOW = 8
 LEAST_LITERAL = 4
 #: Up to this many benchmark windows (some 200 bytes each) they are broadcast, beyond it shuffled.
 BROADCAST_WINDOWS = 200_000
+#: Up to this many keys of matched documents (8 bytes each) they are broadcast, beyond it the texts are shuffled.
+BROADCAST_KEYS = 1_000_000
 
 _NUMBER, _UNIT, _NAME = "\x01", "\x02", "\x03"
 _MARKS = [_NUMBER, _UNIT, _NAME]
@@ -116,8 +118,9 @@ def shared_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         )
     # windows are matched by hash alone; only the documents with a match are read again for their words
     hits = stored(found, "window-hits")
-    matched = hits.select(F.col("doc_key").alias("hit_key")).distinct()
-    texts = docs.select(key.alias("text_key"), "text").join(matched, F.col("text_key") == F.col("hit_key"), "left_semi")
+    matched = stored(hits.select(F.col("doc_key").alias("hit_key")).distinct(), "hit-keys")
+    keys = F.broadcast(matched) if matched.count() <= BROADCAST_KEYS else matched
+    texts = docs.select(key.alias("text_key"), "text").join(keys, F.col("text_key") == F.col("hit_key"), "left_semi")
     words = stored(
         texts.dropDuplicates(["text_key"]).select("text_key", template_words(F.coalesce("text", F.lit(""))).alias("words")), "hit-words"
     )
