@@ -1,65 +1,44 @@
-"""Token ids of whole texts with a public word-level BPE vocabulary, one cached word at a time."""
+"""Token ids of whole texts with a public word-level BPE vocabulary."""
 
 from __future__ import annotations
 
-import re
+import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
-from tokenizers import Tokenizer
 
-#: Lower-case BPE whose pre-tokenizer drops white space, so a text's ids are its words' ids.
+# a task has one core; the library's own threads would only contend for it
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+from tokenizers import Tokenizer  # noqa: E402
+
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
-CACHED_WORDS = 300_000
-LONG_WORD = 100
-#: str.split() also splits at these, which the vocabulary takes for ordinary characters.
-_NOT_SPACE = re.compile("[\x1c-\x1f]")
 
 
 class WordEncoder:
     """``Tokenizer.encode(text, add_special_tokens=False).ids`` as bytes of little-endian ids.
 
-    Strings that look like special tokens are ordinary text. Words are cached up to
-    ``CACHED_WORDS``; the cache is then dropped and grows again, so memory stays bounded.
+    Strings that look like special tokens are ordinary text; null and empty texts have no ids.
     """
 
     def __init__(self, path: str = WORD_BPE, dtype: str = "<u4"):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = dtype
-        self.cache: dict[str, bytes] = {}
-
-    def _bytes(self, texts: list[str]) -> Iterator[bytes]:
-        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            yield np.array(e.ids, dtype=self.dtype).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _NOT_SPACE.search(text):
-            return next(self._bytes([text]))
-        words = text.split()
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            pass
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        new = list(set(words) - self.cache.keys())
-        self.cache.update(zip(new, self._bytes(new), strict=True))
-        ids = b"".join(map(self.cache.__getitem__, words))
-        for w in new:
-            if len(w) > LONG_WORD:
-                del self.cache[w]
-        return ids
+        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return np.array(ids, dtype=self.dtype).tobytes()
 
 
 _ENCODERS: dict[tuple[str, str], WordEncoder] = {}
 
 
 def encoder(path: str, dtype: str) -> WordEncoder:
-    """The worker process's encoder; its cache outlives a task."""
+    """The worker process's encoder; it outlives a task."""
     key = (path, dtype)
     if key not in _ENCODERS:
         _ENCODERS[key] = WordEncoder(path, dtype)
