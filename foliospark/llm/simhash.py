@@ -9,6 +9,7 @@ share a fingerprint.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -184,6 +185,11 @@ def candidate_links(own: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    parts = [np.array([xxhash.xxh64_intdigest(s) for s in p], np.uint64) for p in shingles(text, size)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
 def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
     both = np.intersect1d(a, b, assume_unique=True).size
     return both / max(1, a.size + b.size - both)
@@ -194,10 +200,7 @@ def shingle_sets(texts: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
-            for t in batch.column("text").to_pylist():
-                parts = [np.array([xxhash.xxh64_intdigest(s) for s in p], np.uint64) for p in shingles(t, size)]
-                sets.append(np.unique(np.concatenate(parts)).tobytes() if parts else b"")
+            sets = [_shingle_hashes(t, size).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("key"), pa.array(sets, pa.binary())], ["key", "hashes"])
 
     return texts.select("key", "text").mapInArrow(run, "key bigint, hashes binary")
@@ -218,11 +221,144 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     return half.join(second, "b").select("a", "b", "xa", "xb").mapInArrow(run, "a bigint, b bigint")
 
 
+#: Shingles are ordered by their frequency in about SAMPLE_DOCS documents, rarest first; the COMMON_SHINGLES most
+#: frequent are known by count. Any order gives the same pairs; this one keeps shared passages out of the prefixes.
+SAMPLE_DOCS = 10_000
+COMMON_SHINGLES = 100_000
+#: A prefix shingle of more documents is first compared with one document of most links.
+LARGE_CLASS = 64
+
+
+def common_shingles(keyed: DataFrame, n_docs: int, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the most frequent shingles in a sample of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                yield pa.record_batch([pa.array(_shingle_hashes(t, size).view(np.int64))], ["token"])
+
+    every = max(1, n_docs // SAMPLE_DOCS)
+    seen = keyed.filter(F.pmod("key", F.lit(every)) == 0).select("text").mapInArrow(run, "token bigint").groupBy("token").count()
+    rows = seen.filter("count > 2").orderBy(F.desc("count"), "token").limit(COMMON_SHINGLES).collect()
+    hashes = np.array([r["token"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], np.array([r["count"] for r in rows], np.int64)[order]
+
+
+def prefix_length(n: int, similarity: float = SIMILARITY) -> int:
+    """How many first shingles of a set of ``n`` hold one of every set that is similar enough, in any common order."""
+    return n - math.ceil(round(similarity * n, 6)) + 1 if n else 0
+
+
+def prefixes(keyed: DataFrame, common: tuple[np.ndarray, np.ndarray], size: int = SHINGLE_WORDS) -> DataFrame:
+    """key, n (size of the shingle set), token: one row for each shingle of a text's prefix."""
+    shared = keyed.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = shared.value
+        for batch in batches:
+            for key, t in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                own = _shingle_hashes(t, size)
+                rank = np.zeros(own.size, np.int64)
+                if known.size:
+                    at = np.minimum(np.searchsorted(known, own), known.size - 1)
+                    rank = np.where(known[at] == own, counts[at], 0)
+                first = own[np.lexsort((own, rank))[: prefix_length(own.size)]]
+                ends = [np.full(first.size, v, np.int64) for v in (key, own.size)]
+                yield pa.record_batch([pa.array(x) for x in (*ends, first.view(np.int64))], ["key", "n", "token"])
+
+    return keyed.select("key", "text").mapInArrow(run, "key bigint, n bigint, token bigint")
+
+
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows (token, key, n) of tokens that documents of several components share, with the component."""
+    found = components(links).withColumnRenamed("node", "linked")
+    rows = stored(
+        members.join(found, F.col("key") == F.col("linked"), "left").select("token", "key", "n", F.coalesce("component", "key").alias("component")),
+        "prefix-labelled",
+    )
+    mixed = stored(
+        rows.groupBy(F.col("token").alias("mixed")).agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members"))
+        .filter("x <> y").select("mixed", "members"),
+        "prefix-mixed",
+    )
+    return stored(rows.join(mixed, F.col("token") == F.col("mixed")).drop("mixed"), "prefix-open")
+
+
+def _near_size(x: str, y: str) -> Column:
+    return F.least(x, y) >= SIMILARITY * F.greatest(x, y) - 1e-6
+
+
+def hub_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a large token's document of most links with its documents of other components."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count("*").alias("links"))
+    large = stored(
+        members.filter(F.col("members") > LARGE_CLASS).join(ends, F.col("key") == F.col("end"), "left")
+        .select("token", "key", "n", "component", F.coalesce("links", F.lit(0)).alias("links")),
+        "prefix-large",
+    )
+    hubs = stored(
+        large.groupBy(F.col("token").alias("hub_token")).agg(F.max(F.struct("links", "key", "n", "component")).alias("hub")), "prefix-hubs"
+    )
+    return (
+        large.join(hubs, F.col("token") == F.col("hub_token"))
+        .filter((F.col("component") != F.col("hub.component")) & _near_size("n", "hub.n"))
+        .select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b"))
+        .distinct()
+    )
+
+
+def prefix_pairs(members: DataFrame) -> DataFrame:
+    """All pairs (a, b) of documents of different components that may be similar enough.
+
+    They share as many prefix shingles as similarity asks for: what the prefixes do not share can only
+    come from the rest of the set whose prefix ends first.
+    """
+    main = stored(members.groupBy(F.col("token").alias("main_token")).agg(F.mode("component").alias("main")), "prefix-main")
+    rows = stored(
+        members.join(main, F.col("token") == F.col("main_token")).select("token", "key", "n", "component", (F.col("component") == F.col("main")).alias("in_main")),
+        "prefix-rows",
+    )
+    # the documents of a token's largest component meet only those outside it
+    left = rows.filter("not in_main").select("token", F.col("key").alias("ka"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    right = rows.select("token", F.col("key").alias("kb"), F.col("n").alias("nb"), F.col("component").alias("cb"), "in_main")
+    met = left.join(right, "token").filter((F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("ka") < F.col("kb"))) & _near_size("na", "nb"))
+    counted = met.select(
+        F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), F.least("na", "nb").alias("x"), F.greatest("na", "nb").alias("y")
+    ).groupBy("a", "b", "x", "y").agg(F.count("*").alias("shared"))
+    rest = F.floor(F.round(F.lit(SIMILARITY) * F.col("y"), 6) + 1)  # no set has more after its prefix
+    return counted.filter(F.col("shared") + rest >= SIMILARITY / (1 + SIMILARITY) * (F.col("x") + F.col("y")) - 1e-6).select("a", "b")
+
+
+def near_links(keyed: DataFrame, links: DataFrame, n_docs: int) -> DataFrame:
+    """Links that join, with ``links``, exactly the documents that chains of similar pairs join.
+
+    A prefix-filter join over shingles: two sets of a Jaccard similarity of at least SIMILARITY share
+    a shingle of their prefixes, so every such pair meets at a token. Only pairs that the links found so
+    far do not join yet are compared; none of these is left out.
+    """
+    rows = stored(prefixes(keyed, common_shingles(keyed, n_docs)), "prefixes")
+    shared = stored(rows.groupBy(F.col("token").alias("shared")).count().filter("count > 1").select("shared"), "prefix-shared")
+    members = stored(rows.join(shared, F.col("token") == F.col("shared"), "left_semi"), "prefix-members")
+
+    def more(pairs: DataFrame) -> DataFrame:
+        ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct(), "prefix-ends")
+        texts = keyed.join(ends, F.col("key") == F.col("end"), "left_semi")
+        return verified(pairs, stored(shingle_sets(texts).dropDuplicates(["key"]), "prefix-sets"))
+
+    members = _labelled(members, links)
+    hubs = stored(hub_pairs(members, links), "prefix-hub-pairs")
+    if not hubs.isEmpty():
+        links = stored(links.unionByName(more(hubs)), "prefix-links")
+        members = _labelled(members.drop("component", "members"), links)
+    return stored(links.unionByName(more(stored(prefix_pairs(members), "prefix-pairs"))), "prefix-links")
+
+
 def keep_near(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each group of near copies, the one with the smallest doc_id.
 
-    Documents are linked when they meet in a band and share at least SIMILARITY of their
-    five-word shingles; links are followed. A document with no near copy stays as it is, null and
+    Documents are linked when they share at least SIMILARITY of their five-word shingles; links are
+    followed. Band candidates join most of them, a prefix-filter join all others. A document with no near copy stays as it is, null and
     empty texts among them (texts without words have no shingles and are similar to none). Null
     doc_ids rank last; rows equal in doc_id and text go or stay together. All columns are
     carried along, whatever their names.
@@ -240,7 +376,8 @@ def keep_near(docs: DataFrame) -> DataFrame:
     ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct(), "near-ends")
     members = keyed.join(ends, F.col("key") == F.col("end"), "left_semi")
     sets = stored(shingle_sets(members).dropDuplicates(["key"]), "near-sets")
-    groups = components(stored(verified(pairs, sets), "near-links"))
+    links = near_links(keyed, stored(verified(pairs, sets), "near-links"), own.count())
+    groups = components(links)
     ranked = stored(groups.join(own, F.col("node") == F.col("key")).select("component", "who"), "near-ranked")
     best = stored(
         ranked.groupBy(F.col("component").alias("group")).agg(F.min("who").alias("best")), "near-best"

@@ -1,5 +1,6 @@
 """The operators without an oracle against plain versions on small fixtures."""
 
+import random
 import re
 import zlib
 from hashlib import sha256
@@ -136,6 +137,37 @@ def test_near_copies(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4, 6]
 
 
+def kept_by_brute_force(rows):
+    def grams(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+    sets, root = {i: grams(t) for i, t in rows}, {i: i for i, _ in rows}
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    return sorted(set(root.values()))
+
+
+def test_edited_copies_of_a_later_original(spark):
+    rng, rows = random.Random(5), []
+    for group in range(8):
+        original = [f"g{group}w{rng.randrange(400)}" for _ in range(300)]
+        for copy in range(9):
+            words = list(original)
+            for block in range(3):  # each copy has edits of its own, in blocks
+                at = 33 * copy + 11 * block
+                words[at : at + 6] = [f"c{copy}b{block}x{k}" for k in range(6)]
+            rows.append((group * 100 + copy, " ".join(words)))
+        rows.append((group * 100 + 50, " ".join(original)))
+    want = kept_by_brute_force(rows)
+    assert want == [group * 100 for group in range(8)]
+    kept = simhash.keep_near(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == want
+
+
 def test_reparameterised_question(spark):
     item = "A train travels 60 miles in 2 hours and then Alice walks another 5 miles before she finally comes home."
     other = "Yesterday we heard. A train travels 90 miles in 4 hours and then Bob walks another 7 miles before she finally comes home. Fine."
