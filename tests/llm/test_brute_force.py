@@ -168,6 +168,26 @@ def test_edited_copies_of_a_later_original(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == want
 
 
+def test_copies_with_added_and_rewritten_passages(spark):
+    rng, rows = random.Random(9), []
+    for i in range(45):
+        words = [f"p{i}w{rng.randrange(500)}" for _ in range(rng.randrange(150, 400))]
+        other, m = list(words), len(words) - 4
+        if i % 3 == 0:  # appended text, then one block, then scattered words: all close above 0.8
+            other += [f"p{i}new{k}" for k in range(m // 4)]
+        elif i % 3 == 1:
+            at = rng.randrange(10, 60)
+            other[at : at + m // 9 - 4] = [f"p{i}new{k}" for k in range(m // 9 - 4)]
+        else:
+            for k in range(m // 45):
+                other[10 + 40 * k] = f"p{i}new{k}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    want = kept_by_brute_force(rows)
+    assert want == [2 * i for i in range(45)]
+    kept = simhash.keep_near(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == want
+
+
 def test_reparameterised_question(spark):
     item = "A train travels 60 miles in 2 hours and then Alice walks another 5 miles before she finally comes home."
     other = "Yesterday we heard. A train travels 90 miles in 4 hours and then Bob walks another 7 miles before she finally comes home. Fine."
