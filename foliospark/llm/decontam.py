@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import stored
 
 WINDOW = 8
-#: A window with fewer literal words says too little.
+#: A window with fewer literal words says too little without its slot values.
 LEAST_LITERAL = 4
 #: Up to this many benchmark windows (some 200 bytes each) they are broadcast, beyond it shuffled.
 BROADCAST_WINDOWS = 200_000
@@ -53,6 +53,10 @@ def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(F.when(is_slot(w), F.substring(w, 1, 1)).otherwise(w)))
 
 
+def _raw_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def _joined(windows: Column, step: int) -> Column:
     """Each window hashed with the one ``step`` places on; the last ``step`` have none."""
     n = F.greatest(F.size(windows) - step, F.lit(0))
@@ -73,42 +77,85 @@ def placed_windows(rows: DataFrame, size: int) -> DataFrame:
     return rows.select(*others, F.posexplode(last).alias("at", "window"))
 
 
+def _literals(words: Column) -> Column:
+    return F.size(F.filter(words, lambda w: ~is_slot(w)))
+
+
+def _wanted_at(size: int, raw: bool) -> Column:
+    """Where an item's wanted windows of this size and kind begin."""
+    return F.transform(F.filter("wanted", lambda w: (w["size"] == size) & (w["raw"] == raw)), lambda w: w["at"])
+
+
 def _item_windows(benchmark: DataFrame) -> DataFrame:
-    """window, size, item_id, item_at, item_words of every window with enough literal words.
+    """window, raw, size, item_id, item_at, item_words of every window that is looked for.
 
-    Items with fewer than WINDOW words are one window of their own length.
+    Windows have WINDOW words, or the item's own number if it has fewer. One with too few literal
+    words is looked for with its slot values (raw), and as a template it grows by doubling up
+    to the whole item until it has enough. A template without a literal word is any row of numbers and is not looked for.
     """
-    words = benchmark.select("item_id", template_words(F.coalesce("text", F.lit(""))).alias("words"))
-    sized = stored(
-        words.filter(F.size("words") > 0).select(
-            "item_id", "words", F.least(F.size("words"), F.lit(WINDOW)).alias("size"), _hashes(F.col("words")).alias("hashes")
-        ),
+    words = F.col("words")
+    n, base = F.size(words), F.least(F.size(words), F.lit(WINDOW))
+    part = lambda at, size: F.slice(words, at + 1, size)
+    few = lambda at: _literals(part(at, base)) < F.least(base, F.lit(LEAST_LITERAL))
+    longer = F.concat(F.filter(F.array(*[F.lit(WINDOW << k) for k in range(1, 16)]), lambda z: z < n), F.array(n))
+
+    def grown(at: Column) -> Column:
+        fit = F.filter(longer, lambda z: _literals(part(F.least(at, n - z), z)) >= LEAST_LITERAL)
+        size = F.coalesce(F.get(fit, F.lit(0)), n)
+        return F.struct(F.least(at, n - size).alias("at"), size.alias("size"), F.lit(False).alias("raw"))
+
+    def own(at: Column, raw: bool) -> Column:
+        return F.struct(at.alias("at"), base.alias("size"), F.lit(raw).alias("raw"))
+
+    starts = F.sequence(F.lit(0), n - base)
+    templates = F.transform(starts, lambda at: F.when(few(at), grown(at)).otherwise(own(at, False)))
+    templates = F.filter(F.array_distinct(templates), lambda w: _literals(part(w["at"], w["size"])) > 0)
+    raws = F.transform(F.filter(starts, few), lambda at: own(at, True))
+    items = stored(
+        benchmark.select("item_id", template_words(F.coalesce("text", F.lit(""))).alias("words"))
+        .filter(F.size("words") > 0)
+        .select("item_id", "words", F.concat(templates, raws).alias("wanted")),
         "item-words",
     )
-    literal = F.size(F.filter("item_words", lambda w: ~is_slot(w)))
-    found = [
-        placed_windows(sized.filter(F.col("size") == size), size)
-        .withColumn("item_words", F.slice("words", F.col("at") + 1, F.col("size")))
-        .filter(literal >= min(size, LEAST_LITERAL))
-        .select("window", "size", "item_id", F.col("at").alias("item_at"), "item_words")
-        for size in range(1, WINDOW + 1)
-    ]
-    return reduce(DataFrame.unionByName, found)
+    kinds = items.select(F.explode("wanted").alias("w")).select("w.size", "w.raw").distinct().collect()
+    found = None
+    for size, raw in sorted((r["size"], r["raw"]) for r in kinds):
+        some = items.withColumn("wanted", _wanted_at(size, raw)).filter(F.size("wanted") > 0)
+        hashed = some.withColumn("hashes", _raw_hashes(words) if raw else _hashes(words))
+        part_found = (
+            placed_windows(hashed, size)
+            .filter(F.array_contains("wanted", F.col("at")))
+            .select(
+                "window", F.lit(raw).alias("raw"), F.lit(size).alias("size"), "item_id",
+                F.col("at").alias("item_at"), F.slice("words", F.col("at") + 1, F.lit(size)).alias("item_words"),
+            )
+        )
+        found = part_found if found is None else found.unionByName(part_found)
+    if found is None:
+        return items.select(
+            F.lit(0).cast("bigint").alias("window"), F.lit(False).alias("raw"), F.lit(0).alias("size"), "item_id",
+            F.lit(0).alias("item_at"), F.col("words").alias("item_words"),
+        ).filter("false")
+    return found
 
 
 def shared_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_key, doc_id, item_id, doc_at, item_at, doc_words, item_words of all shared template windows."""
+    """doc_key, doc_id, item_id, doc_at, item_at, doc_words, item_words of all shared windows.
+
+    Each size of window is one pass over the documents: one where all items have WINDOW words of which enough are literal.
+    """
     items = stored(_item_windows(benchmark), "item-windows")
-    sizes = [r["size"] for r in items.select("size").distinct().collect()]  # at most WINDOW values
+    kinds = sorted((r["size"], r["raw"]) for r in items.select("size", "raw").distinct().collect())
     few = items.count() <= BROADCAST_WINDOWS
     key = F.xxhash64("doc_id", "text")
-    hashes = _hashes(template_words(F.coalesce("text", F.lit(""))))
-    own = docs.select("doc_id", key.alias("doc_key"), hashes.alias("hashes"))
+    found_words = template_words(F.coalesce("text", F.lit("")))
+    own = docs.select("doc_id", key.alias("doc_key"), _hashes(found_words).alias("hashes"))
+    own_raw = docs.select("doc_id", key.alias("doc_key"), _raw_hashes(found_words).alias("hashes"))
     found = None
-    for size in sizes:
-        side = items.filter(F.col("size") == size)
-        placed = placed_windows(own, size).select("doc_id", "doc_key", F.col("at").alias("doc_at"), F.col("window").alias("doc_window"))
-        part = placed.join(F.broadcast(side) if few else side, F.col("doc_window") == F.col("window")).drop("doc_window", "window")
+    for size, raw in kinds:
+        side = items.filter((F.col("size") == size) & (F.col("raw") == raw))
+        placed = placed_windows(own_raw if raw else own, size).select("doc_id", "doc_key", F.col("at").alias("doc_at"), F.col("window").alias("doc_window"))
+        part = placed.join(F.broadcast(side) if few else side, F.col("doc_window") == F.col("window")).drop("doc_window", "window", "raw")
         found = part if found is None else found.unionByName(part)
     if found is None:
         empty = "array<string>"
@@ -137,7 +184,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     one place; a place has at most as many windows as the item. A place counts if its slots are consistent:
     equal item values have equal document values, and different ones have different values. Of
     a document and item the place with most windows is returned. Null texts are empty, texts and items
-    without words match nothing, null item_ids are items like others, repeated rows count once,
+    without words match nothing, items without literal words only match with their own values, null item_ids are items like others, repeated rows count once,
     empty tables give no rows, and columns other than doc_id, text and item_id are ignored.
     """
     pairs = F.filter(

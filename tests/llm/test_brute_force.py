@@ -188,6 +188,15 @@ def test_copies_with_added_and_rewritten_passages(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == want
 
 
+def test_number_dense_items(spark):
+    items = ["What is 48 plus 17?", "Compute 12 + 7 * 3.", "Tom is 12 years old.", "12 km = how many m?", "What is 12 + 15 + 18 + 21 + 24 + 27 + 30?", "7 8 9"]
+    moved = ["What is 31 plus 62?", "Compute 11 + 5 * 2.", "Tom is 14 years old.", "15 km = how many m?", "What is 1 + 2 + 3 + 4 + 5 + 6 + 8?", "4 5 6"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    rows = [(base + i, f"Read this first. {t} That is all there was.") for base, ts in ((0, items), (100, moved)) for i, t in enumerate(ts)]
+    found = {(r["doc_id"], r["item_id"], r["verbatim"]) for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()}
+    assert found == {(i, i, True) for i in range(6)} | {(100 + i, i, False) for i in range(5)}  # any three numbers are no copy of "7 8 9"
+
+
 def test_reparameterised_question(spark):
     item = "A train travels 60 miles in 2 hours and then Alice walks another 5 miles before she finally comes home."
     other = "Yesterday we heard. A train travels 90 miles in 4 hours and then Bob walks another 7 miles before she finally comes home. Fine."
