@@ -3,7 +3,7 @@
 Numbers, units after numbers, and names (capitalised words inside a sentence) become typed
 placeholders, windows of the resulting template are hashed, and the hashes of documents and
 benchmark items are joined. Where a window is shared, the values in its slots are compared: a
-re-parameterised question replaces each value by the same other value throughout. DataFrame
+re-parameterised question replaces each value by one other value throughout. DataFrame
 functions only.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import stored
@@ -177,12 +177,27 @@ def shared_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def _consistent(slots: Column) -> Column:
+    """Whether each item value has one document value.
+
+    Different item values may have the same one, but three or more values of a type that all
+    become one value are no re-parameterised question.
+    """
+    values = lambda side, own: F.size(F.array_distinct(F.transform(own, lambda p: p[side])))
+
+    def levelled(mark: str) -> Column:
+        own = F.filter(slots, lambda p: F.substring(p["i"], 1, 1) == mark)
+        return (values("i", own) >= 3) & (values("d", own) == 1)
+
+    return (values("i", slots) == F.size(slots)) & ~reduce(Column.__or__, [levelled(m) for m in _MARKS])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that hold benchmark passages: doc_id, item_id, n_windows, n_slots, n_changed, verbatim (and doc_key).
 
     Windows are gathered by document, item and offset between the two, so that a passage counts as
-    one place; a place has at most as many windows as the item. A place counts if its slots are consistent:
-    equal item values have equal document values, and different ones have different values. Of
+    one place; a place has at most as many windows as the item. A run of windows counts if its slots are
+    consistent (``_consistent``); of any other run the windows with the item's own values count. Of
     a document and item the place with most windows is returned. Null texts are empty, texts and items
     without words match nothing, items without literal words only match with their own values, null item_ids are items like others, repeated rows count once,
     empty tables give no rows, and columns other than doc_id, text and item_id are ignored.
@@ -190,18 +205,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = F.filter(
         F.arrays_zip(F.col("item_words").alias("i"), F.col("doc_words").alias("d")), lambda p: is_slot(p["i"])
     )
+    spot = ["doc_key", "doc_id", "item_id", "offset"]
     at = shared_windows(docs, benchmark).select(
-        "doc_key", "doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("offset"), "item_at", pairs.alias("pairs")
+        "doc_key", "doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("offset"), "item_at",
+        (F.col("item_at") + F.size("item_words")).alias("end"), pairs.alias("pairs"),
+    )
+    # a run is a stretch of the place that its windows cover without a gap
+    before = Window.partitionBy(*spot).orderBy("item_at", "end")
+    begins = F.col("item_at") >= F.coalesce(F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = at.withColumn("begins", begins.cast("int")).withColumn(
+        "run", F.sum("begins").over(before.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    whole = runs.groupBy(*spot, "run").agg(F.collect_set(F.struct("item_at", "pairs")).alias("windows"))
+    whole = whole.withColumn("slots", F.array_distinct(F.flatten(F.transform("windows", lambda w: w["pairs"]))))
+    literal = F.filter("windows", lambda w: F.forall(w["pairs"], lambda p: p["i"] == p["d"]))
+    counted = whole.select(*spot, F.when(_consistent(F.col("slots")), F.col("windows")).otherwise(literal).alias("windows"))
+    place = counted.filter(F.size("windows") > 0).groupBy(*spot).agg(F.flatten(F.collect_list("windows")).alias("windows")).select(
+        *spot,
+        F.size(F.array_distinct(F.transform("windows", lambda w: w["item_at"]))).alias("n_windows"),
+        F.array_distinct(F.flatten(F.transform("windows", lambda w: w["pairs"]))).alias("slots"),
     )
-    slots = F.array_distinct(F.flatten("sets"))
-    place = at.groupBy("doc_key", "doc_id", "item_id", "offset").agg(
-        F.count_distinct("item_at").alias("n_windows"), F.collect_set("pairs").alias("sets")
-    ).select("doc_key", "doc_id", "item_id", "n_windows", slots.alias("slots"))
-    n = F.size("slots")
-    values = lambda side: F.size(F.array_distinct(F.transform("slots", lambda p: p[side])))
     changed = F.size(F.filter("slots", lambda p: p["i"] != p["d"]))
-    good = place.filter((values("i") == n) & (values("d") == n)).select(
-        "doc_key", "doc_id", "item_id", F.struct("n_windows", n.alias("n_slots"), (-changed).alias("kept")).alias("place")
+    good = place.select(
+        "doc_key", "doc_id", "item_id", F.struct("n_windows", F.size("slots").alias("n_slots"), (-changed).alias("kept")).alias("place")
     )
     best = good.groupBy("doc_key", "doc_id", "item_id").agg(F.max("place").alias("place"))
     return best.select(

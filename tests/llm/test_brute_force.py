@@ -209,6 +209,25 @@ def test_reparameterised_question(spark):
     assert sorted(r["doc_id"] for r in decontam.keep_clean(docs, bench).collect()) == [3, 4, 5]
 
 
+def test_values_that_meet_and_one_altered_number(spark):
+    pears = "She bought 3 apples and 5 pears from the old market near the river today."
+    long = "The first of 20 boxes went to the harbour before noon and nobody counted what was inside until the last of 20 boxes came back."
+    rows = [
+        (1, "She bought 4 apples and 4 pears from the old market near the river today."),
+        (2, long.replace("last of 20", "last of 21")),  # one of two equal numbers altered, all else word for word
+        (3, "The first of 30 boxes went to the harbour before noon and nobody counted what was inside until the last of 30 boxes came back."),
+        (4, "The first of 30 boxes went to the harbour at last and nobody came."),
+    ]
+    bench = spark.createDataFrame([(1, pears), (2, long)], "item_id bigint, text string")
+    got = decontam.contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()
+    n = len(long.split())
+    found = {(r["doc_id"], r["item_id"]): r for r in got}
+    assert set(found) == {(1, 1), (2, 2), (3, 2), (4, 2)}
+    assert found[2, 2]["verbatim"] and 0 < found[2, 2]["n_windows"] < n - 7
+    assert not found[1, 1]["verbatim"] and found[1, 1]["n_changed"] == 2
+    assert not found[3, 2]["verbatim"] and found[3, 2]["n_windows"] == n - 7
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
