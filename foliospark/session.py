@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,17 +40,86 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only a session without that setting (a test) gets a local folder of its own.
+    Only a local session without that setting (a test) gets a folder of its own; on a cluster the
+    setting must be there, since executors cannot read each other's local folders.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="foliospark-")
         spark.conf.set("spark.checkpoint.dir", root)
+        spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for an intermediate table or file set in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+#: the open ``scratch`` blocks of this thread, innermost last: each the paths of its tables
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open_scratch", default=())
+_CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: no lineage, safe from lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written to the shared folder and read back.
+
+    The table survives lost executors, has no lineage, and its joins are fed by plain exchanges,
+    which adaptive execution can split when a key is hot. The shuffle files behind it go as soon as it is written.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    before = spark.conf.get(_CLEAN_SHUFFLES)
+    spark.conf.set(_CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_SHUFFLES, before)
+    if _OPEN.get():
+        _OPEN.get()[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """The tables of one ``scratch`` block."""
+
+    def __init__(self, spark: SparkSession, paths: list[str]):
+        self.spark, self.paths = spark, paths
+
+    def _read_by(self, df: DataFrame) -> list[str]:
+        files = df.inputFiles()
+        return [p for p in self.paths if any(f"/{p.rsplit('/', 1)[-1]}/" in f for f in files)]
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df``; the tables it reads outlive the block and then belong to the block around it."""
+        for path in self._read_by(df):
+            self.paths.remove(path)
+            if len(_OPEN.get()) > 1:
+                _OPEN.get()[-2].append(path)
+        return df
+
+    def drop(self, *done: DataFrame) -> None:
+        """Delete the tables that these DataFrames read, before the block ends."""
+        for path in {p for df in done for p in self._read_by(df)}:
+            self.paths.remove(path)
+            _delete(self.spark, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """A block whose ``stored`` tables are deleted at its end, but for those given to ``keep``."""
+    block = Scratch(spark, [])
+    token = _OPEN.set((*_OPEN.get(), block.paths))
+    try:
+        yield block
+    finally:
+        _OPEN.reset(token)
+        for path in block.paths:
+            _delete(spark, path)
