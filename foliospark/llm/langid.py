@@ -6,7 +6,7 @@ trained here by stochastic gradient descent in numpy on a bounded sample of labe
 temperature fitted on rows set aside calibrates the scores; below ``reject_below`` a text is rejected.
 
 For prediction the two layers are multiplied out: a table of one row of class scores a bucket
-goes to the executors (BUCKETS * languages floats, languages at most MAX_LANGUAGES).
+goes to the executors (BUCKETS * languages floats: 256 KB a language, however many rows there are).
 """
 
 from __future__ import annotations
@@ -23,11 +23,10 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 16
 DIMENSIONS = 16
 NGRAMS = (2, 3, 4)
-#: The training sample: about ROWS_PER_LANGUAGE rows of each of at most MAX_LANGUAGES languages, the
-#: most frequent ones, from rows of at most SAMPLE_BYTES bytes.
+#: The training sample: about ROWS_PER_LANGUAGE rows of each language, of a longer text a passage of SAMPLE_CHARS characters
+#: from a place that its hash names.
 ROWS_PER_LANGUAGE = 600
-MAX_LANGUAGES = 64
-SAMPLE_BYTES = 20_000
+SAMPLE_CHARS = 20_000
 EPOCHS = 4
 RATE = 0.5
 UNKNOWN = "und"
@@ -135,17 +134,23 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
 
 
 def labelled_sample(docs: DataFrame, usable: Column) -> list[tuple[str, str]]:
-    """A bounded sample of (text, lang) rows for training, spread over languages by the rows' hashes."""
-    rows = docs.select("doc_id", "text", "lang").filter(
-        usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES)
+    """A bounded sample of (text, lang) rows for training, spread over all languages by the rows' hashes.
+
+    Every value of lang is learned, null ones are not; null texts teach nothing.
+    """
+    rows = docs.select("doc_id", "text", "lang").filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not counts:
+        return []
+    langs = sorted(counts)
+    least = F.map_from_arrays(
+        F.array(*map(F.lit, langs)), F.array(*[F.lit(int(1e6 * min(1, ROWS_PER_LANGUAGE / counts[lang])) + 1) for lang in langs])
     )
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000))
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (place < int(1e6 * min(1, ROWS_PER_LANGUAGE / r["count"]))))
-    most = 2 * ROWS_PER_LANGUAGE * len(counts)  # the hash may deal a few more rows than aimed at
-    found = rows.filter(chosen).select("text", "lang").limit(most).collect()
+    room = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
+    passage = F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit("place")), room).cast("int") + 1, F.lit(SAMPLE_CHARS))
+    chosen = rows.filter(place < F.element_at(least, F.col("lang"))).select(passage.alias("text"), "lang")
+    found = chosen.limit(2 * ROWS_PER_LANGUAGE * len(counts)).collect()  # the hash may deal a few more rows than aimed at
     return sorted((r["text"], r["lang"]) for r in found)
 
 
@@ -195,6 +200,10 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is not rejected, all columns."""
+    """The rows of ``docs`` whose language is not rejected, all columns, whatever their names.
+
+    Rows without letters (null and empty texts among them) are rejected, so is every row where no labelled row teaches
+    a language; repeated rows share one fate; an empty table stays empty.
+    """
     model = train(labelled_sample(docs, ~held_out()))
     return predict(docs, model).filter(~F.col("rejected")).select("row.*")
