@@ -166,8 +166,6 @@ class Automaton:
     """All rules in one: scanning gives, for each byte, the rules that some match ends at."""
 
     def __init__(self, patterns: list[str]):
-        if len(patterns) > 8:
-            raise ValueError("at most eight rules")
         whole = Nfa()
         ends, starts = [], []
         for p in patterns:
@@ -186,13 +184,22 @@ class Automaton:
                 row.append(number[to])
             rows.append(row)
         table = np.array(rows, np.int32)
-        accept = np.array([sum(1 << k for k, e in enumerate(ends) if s >> e & 1) for s in queue], np.uint8)
+        #: the distinct sets of rules that a state may accept, the empty one first; a state holds the number of its own
+        self.accepted: list[tuple[int, ...]] = [()]
+        numbers = {(): 0}
+        accept = np.zeros(len(queue), np.int32)
+        for i, s in enumerate(queue):
+            rules = tuple(k for k, e in enumerate(ends) if s >> e & 1)
+            if rules not in numbers:
+                numbers[rules] = len(self.accepted)
+                self.accepted.append(rules)
+            accept[i] = numbers[rules]
         table, accept = _minimal(table, accept)
         self.classes, self.states = sets.classes, len(table)
         self.class_of = sets.class_of
         #: states are kept multiplied by the number of classes, so a step is one addition and one look-up
         self.table = (table * self.classes).ravel()
-        self.accept = np.zeros(self.states * self.classes, np.uint8)
+        self.accept = np.zeros(self.states * self.classes, np.int32)
         self.accept[:: self.classes] = accept
         self.forward, self.backward = [], []
         for p in patterns:
@@ -202,7 +209,7 @@ class Automaton:
             self.backward.append(Anchored(one.reversed(), last, first))
 
     def scan(self, data: np.ndarray, lanes: int = 4096) -> np.ndarray:
-        """Per byte the bit set of rules with a match that ends there. One pass, all lanes in step.
+        """Per byte the number, in ``accepted``, of the set of rules with a match that ends there. One pass, all lanes in step.
 
         The bytes are cut into lanes that advance together, each from the start state. A lane
         whose predecessor ended in another state is run again from that state until it falls in with

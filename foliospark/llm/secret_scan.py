@@ -101,12 +101,12 @@ def spans_of(
     owner = np.searchsorted(starts, hits, "right") - 1
     for i in np.unique(owner).tolist():
         own = hits[np.searchsorted(owner, i) : np.searchsorted(owner, i, "right")]
-        bits, local, text = flags[own], own - starts[i], texts[i]
+        sets, local, text = flags[own], own - starts[i], texts[i]
+        seen = {n: machine.accepted[n] for n in np.unique(sets).tolist()}
         spans = [
             (s, k, e)
-            for k, rule in enumerate(rules)
-            if (bits >> k & 1).any()
-            for s, e in _resolve(machine, k, rule, text, local[bits >> k & 1 == 1])
+            for k in sorted({k for ks in seen.values() for k in ks})
+            for s, e in _resolve(machine, k, rules[k], text, local[np.isin(sets, [n for n, ks in seen.items() if k in ks])])
         ]
         if spans and not text.isascii():
             points = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
