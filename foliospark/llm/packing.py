@@ -17,7 +17,8 @@ from foliospark.llm.tokens import WORD_BPE, encode_all
 
 MAX_TOKENS = 2048
 END_ID = 1
-FLUSH_BYTES = 4 << 20
+#: A task writes out a bucket's pieces when they hold so many bytes.
+FLUSH_BYTES = 1 << 20
 
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, "
@@ -35,13 +36,14 @@ def binary_lengths(n: int, most: int = MAX_TOKENS) -> list[int]:
 
 
 def pack(docs: DataFrame, tokenizer: str = WORD_BPE, max_tokens: int = MAX_TOKENS, end_id: int = END_ID) -> DataFrame:
-    """One row per piece, with its ids (little-endian unsigned 32-bit) and its sequence.
+    """One row per piece, with its ids (little-endian unsigned 32-bit), its sequence and its bucket (the length).
 
     ``max_tokens`` is a power of two. Null text is empty: such a document is its end id only.
+    Strings that look like special tokens get the special tokens' ids, as in the tokenizer's own encode.
     Rows are packed one by one, so repeated rows and null doc_ids each get pieces of their own;
-    an empty table gives none. Other columns are ignored. ``sequence_id`` is the task's number
-    and a counter: unique, gaps between tasks. No shuffle takes place, so a bucket that holds
-    most pieces needs no care.
+    an empty table gives none. Other columns are ignored. Pieces of equal length form a bucket: a task writes them
+    together, and ``write_buckets`` makes a folder of each. ``sequence_id`` is the task's number and a counter: unique, with
+    gaps between tasks. No shuffle takes place, so a bucket that holds most pieces needs no care.
     """
     if max_tokens & (max_tokens - 1):
         raise ValueError("max_tokens must be a power of two")
@@ -49,23 +51,25 @@ def pack(docs: DataFrame, tokenizer: str = WORD_BPE, max_tokens: int = MAX_TOKEN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 40
-        rows: list[tuple] = []
-        held = 0
+        buckets: dict[int, list[tuple]] = {}
+
+        def written(n: int) -> pa.RecordBatch:
+            return pa.record_batch(list(map(list, zip(*buckets.pop(n), strict=True))), schema=_ARROW)
+
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
             for doc_id, ids in zip(doc_ids, encode_all(batch.column("text").to_pylist(), tokenizer), strict=True):
                 ids += end
                 total, start = len(ids) // 4, 0
                 for n in binary_lengths(total, max_tokens):
+                    rows = buckets.setdefault(n, [])
                     rows.append((doc_id, start, n, ids[4 * start : 4 * (start + n)], total, sequence, 0, n))
                     sequence += 1
                     start += n
-                    held += 4 * n + 64
-                    if held >= FLUSH_BYTES:
-                        yield pa.record_batch(list(map(list, zip(*rows, strict=True))), schema=_ARROW)
-                        rows, held = [], 0
-        if rows:
-            yield pa.record_batch(list(map(list, zip(*rows, strict=True))), schema=_ARROW)
+                    if len(rows) * (4 * n + 64) >= FLUSH_BYTES:
+                        yield written(n)
+        for n in list(buckets):
+            yield written(n)
 
     return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(run, SCHEMA)
 

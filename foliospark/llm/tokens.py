@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator
+import re
+import struct
+from collections.abc import Callable, Iterable, Iterator
 
-import numpy as np
 import public_tokenizers
 
 # a task has one core; the library's own threads would only contend for it
@@ -16,35 +17,78 @@ from tokenizers import Tokenizer  # noqa: E402
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Distinct words, and parts of words, that a worker remembers; when full it starts anew. Longer ones are not remembered.
+KNOWN_WORDS = 1 << 18
+KNOWN_PARTS = 1 << 18
+KNOWN_BYTES = 64
+
+# The vocabulary's own contractions, and the letters for which its normaliser does no more than lower-case.
+_PLAIN = "a-z\u00df-\u00f6\u00f8-\u017f"
+_PLAIN_WORD = re.compile(rf"[\x21-\x7eA-Z\u00c0-\u00d6\u00d8-\u00de\u0100-\u012f\u0131-\u0148\u014a-\u017e{_PLAIN}]+")
+_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_PLAIN}]+|[0-9]|[^{_PLAIN}0-9]+")
+
+# The byte-level alphabet: a printable byte stands for itself, the others get the code points after 255 in turn.
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_LETTERS = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - _SHOWN))}
+
+
+class _Known(dict):
+    """Values made once by ``make`` for each key, at most ``most`` at a time."""
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key: bytes | str) -> bytes:
+        value = self.make(key)
+        if len(key) <= KNOWN_BYTES:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class WordEncoder:
-    """``Tokenizer.encode(text, add_special_tokens=False).ids`` as bytes of little-endian ids.
+    """``Tokenizer.encode(text, add_special_tokens=False).ids`` as bytes of ``dtype``; null and empty texts have no ids.
 
-    Strings that look like special tokens are ordinary text; null and empty texts have no ids.
+    The vocabulary's pre-tokenizer drops white space and its normaliser joins nothing across ASCII
+    white space, so the ids of a text are those of the words between it, one after another, and a word met
+    before need not be encoded again; nor a part of a word that the pre-tokenizer cuts off, where the word has plain
+    Latin letters only. With ``plain`` strings that look like special tokens are ordinary
+    text; without it they get the special tokens' ids, as in the library's default.
     """
 
-    def __init__(self, path: str = WORD_BPE, dtype: str = "<u4"):
+    def __init__(self, path: str = WORD_BPE, dtype: str = "<u4", plain: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.dtype = dtype
+        self.tokenizer.encode_special_tokens = plain
+        self.code = {"<u2": "H", "<u4": "I"}[dtype]
+        self.parts = _Known(self._part, KNOWN_PARTS)
+        self.known = _Known(self._word, KNOWN_WORDS)
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-        return np.array(ids, dtype=self.dtype).tobytes()
+    def _bytes(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def _part(self, part: str) -> bytes:
+        return self._bytes([t.id for t in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(_BYTE_LETTERS))])
 
+    def _word(self, word: bytes) -> bytes:
+        if word.isalpha() and len(word) <= KNOWN_BYTES:  # ASCII letters only: one part
+            return self.parts[word.lower().decode()]
+        text = word.decode()
+        if "<|" in text or len(text) > KNOWN_BYTES or not _PLAIN_WORD.fullmatch(text):
+            return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return b"".join(map(self.parts.__getitem__, _PARTS.findall(text.lower())))
 
-_ENCODERS: dict[tuple[str, str], WordEncoder] = {}
+    def encode(self, text: str | None) -> bytes:
+        return b"".join(map(self.known.__getitem__, text.encode().split())) if text else b""
 
 
-def encoder(path: str, dtype: str) -> WordEncoder:
-    """The worker process's encoder; it outlives a task."""
-    key = (path, dtype)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = WordEncoder(path, dtype)
-    return _ENCODERS[key]
+_ENCODERS: dict[tuple[str, str, bool], WordEncoder] = {}
 
 
-def encode_all(texts: Iterable[str | None], path: str = WORD_BPE, dtype: str = "<u4") -> Iterator[bytes]:
-    own = encoder(path, dtype)
-    return map(own.encode, texts)
+def encode_all(texts: Iterable[str | None], path: str = WORD_BPE, dtype: str = "<u4", plain: bool = False) -> Iterator[bytes]:
+    """The ids of each text; the worker process's encoder outlives a task."""
+    key = (path, dtype, plain)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = WordEncoder(*key)
+    return map(_ENCODERS[key].encode, texts)
