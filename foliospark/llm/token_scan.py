@@ -8,9 +8,11 @@ scan over block summaries stitches documents that span blocks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +23,14 @@ from foliospark.llm.tokens import WORD_BPE, encode_all
 END_OF_DOCUMENT = 49407
 DTYPE = "<u2"
 BLOCK_TOKENS = 1 << 20
+BLOCKS_A_TASK = 64
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str = WORD_BPE) -> None:
     """Write the ids of every whole text to flat files, one end-of-document id after each text.
 
+    Null texts are empty documents, strings that look like special tokens are ordinary text (so that no text can hold a
+    separator), an empty table gives no documents, and columns other than text are ignored.
     The text writer's line separator is the end-of-document id, so that any store Spark can
     write to may hold the files.
     """
@@ -33,7 +38,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = WORD_BPE) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = list(encode_all(batch.column(0).to_pylist(), tokenizer, DTYPE))
+            ids = list(encode_all(batch.column(0).to_pylist(), tokenizer, DTYPE, plain=True))
             yield pa.record_batch([pa.array(ids, pa.binary())], ["ids"])
 
     (
@@ -46,8 +51,23 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = WORD_BPE) ->
     )
 
 
-def _cuts(block: pa.Array, dtype: str, end_id: int) -> list[np.ndarray]:
-    return [np.flatnonzero(np.frombuffer(b.as_buffer(), dtype) == end_id).astype(np.int64) for b in block]
+def _at(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path that Spark's URI of a file names."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), unquote("/" + rest.lstrip("/"))
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+
+
+def _blocks(spark: SparkSession, path: str, width: int, size: int) -> DataFrame:
+    """path, block, length (of the file) of all blocks, dealt to tasks regardless of the file they are from."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "length").filter("length > 0")
+    whole = F.when(F.col("length") % width == 0, F.ceil(F.col("length") / size)).otherwise(
+        F.raise_error(F.concat(F.lit("not a whole number of tokens: "), "path")).cast("bigint")
+    )
+    total = files.select(F.coalesce(F.sum(F.ceil(F.col("length") / size)), F.lit(0)).alias("n")).first()["n"]
+    tasks = max(1, min(total, max(spark.sparkContext.defaultParallelism, total // BLOCKS_A_TASK)))
+    return files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), whole - 1)).alias("block")).repartition(tasks, "path", "block")
 
 
 def scan_token_files(
@@ -57,39 +77,41 @@ def scan_token_files(
 
     ``n_tokens`` leaves the separator out; an empty document counts 0. Tokens after a file's last
     separator are a document with terminated = false. Files that are empty have no documents. A file
-    that is no whole number of tokens fails the scan. A file is read by one task, block by block,
-    and may have as many bytes as Spark's binary source takes (2 GB); writers here make a file a task.
+    that is no whole number of tokens fails the scan. A task reads the byte ranges of its blocks only, so the blocks of a
+    file of any size are scanned side by side and no more than a block is in memory. Files are read with Arrow's file systems
+    (a shared folder, hdfs, s3).
     """
     width = np.dtype(dtype).itemsize
     size = block_tokens * width
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).filter("length > 0")
-    n_blocks = F.ceil(F.col("length") / size).cast("int")
-    whole = F.when(F.col("length") % width == 0, n_blocks).otherwise(
-        F.raise_error(F.concat(F.lit("not a whole number of tokens: "), "path")).cast("int")
-    )
-    blocks = files.select("path", "content", F.explode(F.sequence(F.lit(0), whole - 1)).alias("block")).select(
-        "path", "block", F.substring("content", F.col("block") * size + 1, F.lit(size)).alias("bytes")
-    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = _cuts(batch.column("bytes"), dtype, end_id)
-            sizes = [len(b.as_buffer()) // width for b in batch.column("bytes")]
-            yield pa.record_batch(
-                [batch.column("path"), batch.column("block"), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
-                ["path", "block", "tokens", "cuts"],
-            )
-
-    summary = stored(blocks.mapInArrow(run, "path string, block int, tokens bigint, cuts array<bigint>"), "token-blocks")
-    base = F.col("block").cast("bigint") * block_tokens
-    # a file has at most 2 GB / BLOCK_TOKENS blocks, so a window over one file is small
+            for file, block, length in zip(*(batch.column(c).to_pylist() for c in ("path", "block", "length")), strict=True):
+                store, name = _at(file)
+                with store.open_input_file(name) as f:
+                    raw = f.read_at(min(size, length - block * size), block * size)
+                cuts = np.flatnonzero(np.frombuffer(raw, dtype) == end_id).astype(np.int64)
+                yield pa.record_batch(
+                    [pa.array([file]), pa.array([block], pa.int64()), pa.array([len(raw) // width], pa.int64()), pa.array([cuts], pa.list_(pa.int64()))],
+                    ["path", "block", "tokens", "cuts"],
+                )
+
+    found = _blocks(spark, path, width, size).mapInArrow(run, "path string, block bigint, tokens bigint, cuts array<bigint>")
+    summary = stored(found, "token-blocks")
+    base = F.col("block") * block_tokens
+    # the prefix scan sees one short row a block, not the cuts
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.array_max("cuts") + base
+    scanned = summary.select("path", "block", F.size("cuts").alias("n"), last.alias("last")).select(
+        F.col("path").alias("p"), F.col("block").alias("b"),
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("docs_before"),
+        F.coalesce(F.max("last").over(before) + 1, F.lit(0)).alias("open_start"),
+    )
     ends = F.transform("cuts", lambda c: c + base)
-    stitched = summary.filter(F.size("cuts") > 0).select(
-        "path",
-        ends.alias("ends"),
-        F.coalesce(F.sum(F.size("cuts")).over(before), F.lit(0)).alias("docs_before"),
-        F.coalesce(F.max(F.array_max(ends)).over(before) + 1, F.lit(0)).alias("open_start"),
+    stitched = (
+        summary.filter(F.size("cuts") > 0)
+        .join(scanned, (F.col("path") == F.col("p")) & (F.col("block") == F.col("b")))
+        .select("path", ends.alias("ends"), "docs_before", "open_start")
     )
     starts = F.concat(
         F.array("open_start"), F.transform(F.slice("ends", F.lit(1), F.size("ends") - 1), lambda e: e + 1)
@@ -106,7 +128,7 @@ def scan_token_files(
         .agg(
             F.sum("tokens").alias("total"),
             F.sum(F.size("cuts")).alias("doc_index"),
-            F.coalesce(F.max(F.array_max(ends)) + 1, F.lit(0)).alias("start_token"),
+            F.coalesce(F.max(last) + 1, F.lit(0)).alias("start_token"),
         )
         .filter("total > start_token")
         .select("path", "doc_index", "start_token", (F.col("total") - F.col("start_token")).alias("n_tokens"), F.lit(False).alias("terminated"))
