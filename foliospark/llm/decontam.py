@@ -14,14 +14,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import stored
+from foliospark.llm.common import scratch, stored
 
 WINDOW = 8
 #: A window with fewer literal words says too little without its slot values.
 LEAST_LITERAL = 4
 #: Up to this many benchmark windows (some 200 bytes each) they are broadcast, beyond it shuffled.
 BROADCAST_WINDOWS = 200_000
-#: Up to this many keys of matched documents (8 bytes each) they are broadcast, beyond it the texts are shuffled.
+#: Up to this many keys of matched documents (32 bytes each) they are broadcast, beyond it the texts are shuffled.
 BROADCAST_KEYS = 1_000_000
 
 _NUMBER, _UNIT, _NAME = "\x01", "\x02", "\x03"
@@ -41,7 +41,9 @@ def template_words(text: Column) -> Column:
     marked = F.regexp_replace(marked, rf"\p{{Lu}}(?<=[{_WORD},;] .)\p{{Ll}}++(?![{_WORD}])", _NAME + "$0")
     marked = F.regexp_replace(marked, rf"([0-9] ?)({_UNITS})(?![{_WORD}])", "$1 " + _UNIT + "$2")
     marked = F.regexp_replace(marked, r"[.,](?:(?![0-9])|(?<![0-9].))", " ")
-    parts = F.split(F.lower(marked), rf"[^a-z0-9.,{''.join(_MARKS)}{_WORD}]++")
+    # names in a row are one name
+    marked = F.regexp_replace(marked, rf" {_NAME}(?<={_NAME}\p{{L}}{{1,64}}.{{2}})", "_")
+    parts = F.split(F.lower(marked), rf"[^a-z0-9.,_{''.join(_MARKS)}{_WORD}]++")
     return F.filter(parts, lambda w: w != "")
 
 
@@ -139,42 +141,77 @@ def _item_windows(benchmark: DataFrame) -> DataFrame:
     return found
 
 
-def shared_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_key, doc_id, item_id, doc_at, item_at, doc_words, item_words of all shared windows.
+def _described(windows: Column, size: int, raw: bool) -> Column:
+    return F.transform(windows, lambda w, i: F.struct(F.lit(size).alias("size"), F.lit(raw).alias("raw"), i.alias("at"), w.alias("window")))
+
+
+def all_windows(rows: DataFrame, kinds: list[tuple[int, bool]]) -> DataFrame:
+    """``rows`` with ``hashes`` and ``raw_hashes`` (one a word) replaced by one row per window of each kind: size, raw, at, window.
 
-    Each size of window is one pass over the documents: one where all items have WINDOW words of which enough are literal.
+    The windows of all kinds grow from the same doubled ones, so that a text is templated and read once.
     """
+    others = [c for c in rows.columns if c not in ("hashes", "raw_hashes")]
+    found = []
+    for flag, source, name in ((False, "hashes", "t"), (True, "raw_hashes", "r")):
+        sizes = [size for size, raw in kinds if raw == flag]
+        if not sizes:
+            continue
+        rows = rows.withColumn(f"{name}1", F.transform(source, lambda h: F.xxhash64(h)))
+        width = 1
+        while 2 * width <= max(sizes):
+            rows = rows.withColumn(f"{name}{2 * width}", _joined(F.col(f"{name}{width}"), width))
+            width *= 2
+        for size in sizes:
+            base = 1 << (size.bit_length() - 1)
+            own = F.col(f"{name}{base}")
+            windows = own if base == size else _joined(own, size - base)
+            found.append(_described(windows, size, flag))
+    return rows.select(*others, F.explode(F.concat(*found)).alias("w")).select(*others, "w.*")
+
+
+def _text_key() -> Column:
+    """The SHA-256 of a document's text: what a document holds depends on its text alone."""
+    return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+
+
+def _same_words(pair: Column, raw: Column) -> Column:
+    """Whether a document's word may stand for an item's: the same word, or a slot of the same type."""
+    item, doc = pair["i"], pair["d"]
+    return (item == doc) | (~raw & is_slot(item) & (F.substring(item, 1, 1) == F.substring(doc, 1, 1)))
+
+
+def shared_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_key, doc_id, item_id, doc_at, item_at, doc_words, item_words of all shared windows, in one pass over the documents."""
     items = stored(_item_windows(benchmark), "item-windows")
     kinds = sorted((r["size"], r["raw"]) for r in items.select("size", "raw").distinct().collect())
     few = items.count() <= BROADCAST_WINDOWS
-    key = F.xxhash64("doc_id", "text")
     found_words = template_words(F.coalesce("text", F.lit("")))
-    own = docs.select("doc_id", key.alias("doc_key"), _hashes(found_words).alias("hashes"))
-    own_raw = docs.select("doc_id", key.alias("doc_key"), _raw_hashes(found_words).alias("hashes"))
-    found = None
-    for size, raw in kinds:
-        side = items.filter((F.col("size") == size) & (F.col("raw") == raw))
-        placed = placed_windows(own_raw if raw else own, size).select("doc_id", "doc_key", F.col("at").alias("doc_at"), F.col("window").alias("doc_window"))
-        part = placed.join(F.broadcast(side) if few else side, F.col("doc_window") == F.col("window")).drop("doc_window", "window", "raw")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+    words = docs.select("doc_id", _text_key().alias("doc_key"), found_words.alias("words"))
+    own = words.select("doc_id", "doc_key", _hashes(F.col("words")).alias("hashes"), _raw_hashes(F.col("words")).alias("raw_hashes"))
+    if not kinds:
         empty = "array<string>"
         return own.filter("false").select(
             "doc_key", "doc_id", F.lit(None).cast("bigint").alias("item_id"), F.lit(0).alias("doc_at"),
             F.lit(0).alias("item_at"), F.array().cast(empty).alias("doc_words"), F.array().cast(empty).alias("item_words"),
         )
-    # windows are matched by hash alone; only the documents with a match are read again for their words
+    placed = all_windows(own, kinds).select(
+        "doc_id", "doc_key", F.col("at").alias("doc_at"), F.col("window").alias("doc_window"), F.col("size").alias("doc_size"), F.col("raw").alias("doc_raw")
+    )
+    same = (F.col("doc_window") == F.col("window")) & (F.col("doc_size") == F.col("size")) & (F.col("doc_raw") == F.col("raw"))
+    found = placed.join(F.broadcast(items) if few else items, same).drop("doc_window", "window", "doc_size", "doc_raw")
+    # windows are matched by hash; only the documents with a match are read again, and their words compared
     hits = stored(found, "window-hits")
     matched = stored(hits.select(F.col("doc_key").alias("hit_key")).distinct(), "hit-keys")
     keys = F.broadcast(matched) if matched.count() <= BROADCAST_KEYS else matched
-    texts = docs.select(key.alias("text_key"), "text").join(keys, F.col("text_key") == F.col("hit_key"), "left_semi")
+    texts = docs.select(_text_key().alias("text_key"), "text").join(keys, F.col("text_key") == F.col("hit_key"), "left_semi")
     words = stored(
         texts.dropDuplicates(["text_key"]).select("text_key", template_words(F.coalesce("text", F.lit(""))).alias("words")), "hit-words"
     )
+    pairs = F.arrays_zip(F.col("item_words").alias("i"), F.col("doc_words").alias("d"))
     return hits.join(words, F.col("doc_key") == F.col("text_key")).select(
-        "doc_key", "doc_id", "item_id", "doc_at", "item_at",
+        "doc_key", "doc_id", "item_id", "doc_at", "item_at", "raw",
         F.slice("words", F.col("doc_at") + 1, F.col("size")).alias("doc_words"), "item_words",
-    )
+    ).filter(F.forall(pairs, lambda p: _same_words(p, F.col("raw")))).drop("raw")
 
 
 def _consistent(slots: Column) -> Column:
@@ -242,7 +279,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a benchmark passage, all columns."""
-    bad = stored(contaminated(docs, benchmark).select("doc_key").distinct(), "contaminated")
-    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("own_key"))
+    """The rows of ``docs`` without a benchmark passage, all columns.
+
+    Null and empty texts hold no passage and stay; equal texts go or stay together whatever their ids; an empty table stays
+    empty, and an empty benchmark leaves all rows. Extra columns are carried along, whatever their names.
+    """
+    with scratch(docs.sparkSession) as block:
+        bad = block.keep(stored(contaminated(docs, benchmark).select("doc_key").distinct(), "contaminated"))
+    rows = docs.select(F.struct("*").alias("row"), _text_key().alias("own_key"))
     return rows.join(bad, F.col("own_key") == F.col("doc_key"), "left_anti").select("row.*")
