@@ -1,45 +1,25 @@
-"""Helpers shared by the operators: durable intermediate tables and native text expressions."""
+"""Helpers shared by the operators: native text expressions, and the session's durable tables by a shorter name."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LOWER = UPPER.lower()
+from foliospark.session import new_path, scratch, shared_dir, stored
 
+__all__ = ["ascii_lower", "new_path", "running_totals", "scratch", "shared_dir", "small_or_shuffled", "stored"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only a session without that setting (a test) gets a local folder of its own.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="foliospark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LOWER = UPPER.lower()
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for an intermediate table or file set in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
+#: A side of a join with at most so many short rows (keys and digests, some 50 bytes each) is broadcast.
+BROADCAST_ROWS = 500_000
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
 
-    The table survives lost executors, has no lineage, and its joins are fed by plain
-    exchanges, which adaptive execution can split when a key is hot.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def small_or_shuffled(rows: DataFrame) -> DataFrame:
+    """A written table of short rows, marked for broadcast if it has at most BROADCAST_ROWS; else the join shuffles."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def ascii_lower(text: Column) -> Column:

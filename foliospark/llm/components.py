@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import stored
+from foliospark.llm.common import scratch, stored
 
 
 def _flatten(parents: DataFrame) -> DataFrame:
@@ -34,29 +34,27 @@ def components(edges: DataFrame) -> DataFrame:
     aggregates combine in the map tasks and every join reads written tables, so a node with very
     many edges is neither gathered nor pinned to one task.
     """
-    edges = stored(edges.selectExpr("cast(a as bigint) as a", "cast(b as bigint) as b").filter("a <> b").distinct(), "edges")
-    labels = None
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooked = stored(
-            both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("parent")),
-            "hooked",
-        )
-        roots = _flatten(hooked)
-        if labels is None:
-            labels = roots.withColumnRenamed("parent", "component")
-        else:
+    with scratch(edges.sparkSession) as block:
+        edges = stored(edges.selectExpr("cast(a as bigint) as a", "cast(b as bigint) as b").filter("a <> b").distinct(), "edges")
+        labels = stored(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")), "labels")
+        while not edges.isEmpty():
+            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            hooked = stored(
+                both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("parent")),
+                "hooked",
+            )
+            roots = _flatten(hooked)
             labels = stored(
-                labels.join(roots, F.col("component") == roots["node"], "left").select(
-                    labels["node"], F.coalesce("parent", "component").alias("component")
+                labels.join(roots.withColumnRenamed("node", "root"), F.col("component") == F.col("root"), "left").select(
+                    "node", F.coalesce("parent", "component").alias("component")
                 ),
                 "labels",
             )
-        left = roots.select(F.col("node").alias("a"), F.col("parent").alias("ra"))
-        right = roots.select(F.col("node").alias("b"), F.col("parent").alias("rb"))
-        half = stored(edges.join(left, "a").select("ra", "b"), "half-edges")
-        edges = stored(
-            half.join(right, "b").filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(),
-            "edges",
-        )
-    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            left = roots.select(F.col("node").alias("a"), F.col("parent").alias("ra"))
+            right = roots.select(F.col("node").alias("b"), F.col("parent").alias("rb"))
+            half = stored(edges.join(left, "a").select("ra", "b"), "half-edges")
+            edges = stored(
+                half.join(right, "b").filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(),
+                "edges",
+            )
+        return block.keep(labels)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import ascii_lower, stored
+from foliospark.llm.common import ascii_lower, scratch, small_or_shuffled, stored
 
 MIN_CHUNK = 512
 MAX_CHUNK = 4096
@@ -68,53 +68,56 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     both doc_id and text cannot be told apart: each is reported, with the same values. An empty
     table gives an empty result. Columns other than doc_id and text are ignored.
     """
-    verify_chunks(docs)
-    own = stored(recipes(docs), "recipes")
-    shared = stored(
-        own.groupBy("recipe")
-        .agg(F.max("doc_id").alias("largest"), F.count("*").alias("members"))
-        .filter("members > 1")
-        .withColumnRenamed("recipe", "shared_recipe"),
-        "shared-recipes",
-    )
-    alone = F.col("members").isNull()
-    keep = F.when(alone, F.col("doc_id")).otherwise(F.col("largest"))
-    return own.join(shared, F.col("recipe") == F.col("shared_recipe"), "left").select(
-        "doc_id",
-        keep.alias("keep_id"),
-        F.coalesce("members", F.lit(1)).cast("bigint").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"),
-        "text_sha256",
-    )
+    with scratch(docs.sparkSession) as block:
+        verify_chunks(docs)
+        own = stored(recipes(docs), "recipes")
+        shared = stored(
+            own.groupBy("recipe")
+            .agg(F.max("doc_id").alias("largest"), F.count("*").alias("members"))
+            .filter("members > 1")
+            .withColumnRenamed("recipe", "shared_recipe"),
+            "shared-recipes",
+        )
+        alone = F.col("members").isNull()
+        keep = F.when(alone, F.col("doc_id")).otherwise(F.col("largest"))
+        return block.keep(own.join(shared, F.col("recipe") == F.col("shared_recipe"), "left")).select(
+            "doc_id",
+            keep.alias("keep_id"),
+            F.coalesce("members", F.lit(1)).cast("bigint").alias("group_size"),
+            F.col("doc_id").eqNullSafe(keep).alias("kept"),
+            "text_sha256",
+        )
 
 
 def keep_exact(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns; of rows equal in doc_id and text, one.
 
-    Needs doc_id and text; any other columns, whatever their names, are carried along.
+    Needs doc_id and text; any other columns, whatever their names, are carried along. Null texts count as
+    empty, null doc_ids rank below all others; an empty table stays empty.
     """
-    groups = stored(exact_groups(docs), "exact-groups")
-    gone = groups.filter(~F.col("kept")).select("doc_id", "text_sha256")
-    rows = docs.select(
-        F.struct("*").alias("row"),
-        F.col("doc_id").alias("own_id"),
-        F.sha2(normalised(F.col("text")), 256).alias("own_sha"),
-    )
-
-    def same(other: DataFrame) -> Column:
-        return rows["own_id"].eqNullSafe(other["doc_id"]) & (rows["own_sha"] == other["text_sha256"])
-
-    left = rows.join(gone, same(gone), "left_anti")
-    repeated = stored(
-        groups.filter(F.col("kept") & (F.col("group_size") > 1))
-        .groupBy("doc_id", "text_sha256")
-        .agg(F.count("*").alias("n"))
-        .filter("n > 1")
-        .select("doc_id", "text_sha256"),
-        "repeated-rows",
-    )
-    if repeated.isEmpty():
-        return left.select("row.*")
-    twice = left.join(repeated, same(repeated), "left_semi").dropDuplicates(["own_id", "own_sha"])
-    once = left.join(repeated, same(repeated), "left_anti")
-    return once.unionByName(twice).select("row.*")
+    with scratch(docs.sparkSession) as block:
+        groups = exact_groups(docs)
+        gone = small_or_shuffled(stored(groups.filter(~F.col("kept")).select("doc_id", F.unhex("text_sha256").alias("text_sha256")), "exact-gone"))
+        repeated = stored(
+            groups.filter(F.col("kept") & (F.col("group_size") > 1))
+            .groupBy("doc_id", "text_sha256")
+            .agg(F.count("*").alias("n"))
+            .filter("n > 1")
+            .select("doc_id", F.unhex("text_sha256").alias("text_sha256")),
+            "repeated-rows",
+        )
+        rows = docs.select(
+            F.struct("*").alias("row"),
+            F.col("doc_id").alias("own_id"),
+            F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("own_sha"),
+        )
+
+        def same(other: DataFrame) -> Column:
+            return rows["own_id"].eqNullSafe(other["doc_id"]) & (rows["own_sha"] == other["text_sha256"])
+
+        left = rows.join(gone, same(gone), "left_anti")
+        if repeated.isEmpty():
+            return block.keep(left).select("row.*")
+        twice = left.join(repeated, same(repeated), "left_semi").dropDuplicates(["own_id", "own_sha"])
+        once = left.join(repeated, same(repeated), "left_anti")
+        return block.keep(once.unionByName(twice)).select("row.*")

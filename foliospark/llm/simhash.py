@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import stored
+from foliospark.llm.common import scratch, small_or_shuffled, stored
 from foliospark.llm.components import components
 
 #: bit counts of each byte value, most significant bit first
@@ -116,167 +116,237 @@ def simhash_components(docs: DataFrame, size: int = 3, distance: int = 2) -> Dat
     each; a null doc_id is never a component's smallest unless all its ids are null. An empty
     table gives an empty result. Other columns are ignored.
     """
-    own = stored(
-        fingerprints(docs.selectExpr("cast(doc_id as bigint) as doc_id", "text"), size).select("doc_id", F.col("fp")[0].alias("fp")),
-        "simhash",
-    )
-    classes = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    links = ball_links(classes.select(F.lit(0).alias("g"), "fp"), "g", "fp", 64, distance)
-    member = components(links)
-    rooted = stored(
-        classes.join(member, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root")),
-        "simhash-roots",
-    )
-    least = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
-    named = stored(
-        rooted.select("fp", "root").join(least, "root").select(F.col("fp").alias("class_fp"), "component_id"), "simhash-named"
-    )
-    return own.join(named, F.col("fp") == F.col("class_fp")).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
-
-
-#: Near-copy search: each document gets 2 * FINGERPRINTS bands of BAND_BITS bits over word pairs, which
-#: move less than longer shingles when single words change; candidates are then checked exactly.
+    with scratch(docs.sparkSession) as block:
+        own = stored(
+            fingerprints(docs.selectExpr("cast(doc_id as bigint) as doc_id", "text"), size).select("doc_id", F.col("fp")[0].alias("fp")),
+            "simhash",
+        )
+        classes = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+        links = ball_links(classes.select(F.lit(0).alias("g"), "fp"), "g", "fp", 64, distance)
+        member = components(links)
+        rooted = stored(
+            classes.join(member, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root")),
+            "simhash-roots",
+        )
+        least = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
+        named = stored(
+            rooted.select("fp", "root").join(least, "root").select(F.col("fp").alias("class_fp"), "component_id"), "simhash-named"
+        )
+        return block.keep(own.join(named, F.col("fp") == F.col("class_fp"))).select(
+            "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        )
+
+
+#: Near-copy search: FINGERPRINTS hashes over word pairs, which move less than longer shingles when single words
+#: change, are cut into bands of BAND_BITS bits; candidates are then checked exactly. Unrelated documents meet
+#: in such a band once in some 10^11 pairs, so that candidates grow with the copies and not with the square of the table.
 CANDIDATE_WORDS = 2
 FINGERPRINTS = 3
-BAND_BITS = 32
+BAND_BITS = 48
 BAND_DISTANCE = 2
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 
+_BAND_BYTES = BAND_BITS // 8
+_PLACES = np.array([_mixed(np.array([k], np.uint64), k + 1)[0] | np.uint64(1) for k in range(1, SHINGLE_WORDS + 1)], np.uint64)
 
-def row_key(*columns: str) -> Column:
-    """A 64-bit key of a row's doc_id and text, for tables whose ids may be null or repeated."""
-    return F.xxhash64(*columns)
 
+def word_hashes(text: str | None) -> np.ndarray:
+    """XXH64 of each word: A-Z lower-cased, words between ASCII white space."""
+    words = (text or "").encode().lower().split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
-def _bands(own: DataFrame) -> DataFrame:
-    """who, band, value: each 64-bit fingerprint gives two 32-bit values."""
-    low = F.transform("fp", lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)))
-    high = F.transform("fp", lambda x: F.shiftrightunsigned(x, 32))
-    return own.select("who", F.posexplode(F.concat(low, high)).alias("band", "value"))
 
+def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash for each run of ``size`` words; fewer words are one run, none have none."""
+    size = min(size, len(words))
+    n = len(words) - size + 1 if size else 0
+    total = np.full(n, size, np.uint64)
+    for k in range(size):
+        total = _mixed(total ^ (words[k : k + n] * _PLACES[k]), k)
+    return total
 
-def candidate_links(own: DataFrame) -> DataFrame:
-    """Pairs (a, b) of keys whose fingerprints meet in some band.
 
-    ``own`` has who = {id, key} and fp. In a band, each member of a class (one band value) is paired
-    with the class's smallest ``who``, and the smallest of classes at most BAND_DISTANCE bits
-    apart are paired along ``ball_links``.
-    """
-    members = stored(_bands(own), "bands")
-    classes = stored(
-        members.groupBy("band", "value").agg(F.min("who").alias("first"), F.count("*").alias("n")), "band-classes"
-    )
-    several = stored(
-        classes.filter("n > 1").select(F.col("band").alias("cb"), F.col("value").alias("cv"), "first"), "band-several"
-    )
-    within = (
-        members.join(several, (F.col("band") == F.col("cb")) & (F.col("value") == F.col("cv")))
-        .filter("who.key <> first.key")
-        .select(F.col("first.key").alias("a"), F.col("who.key").alias("b"))
-    )
-    links = stored(ball_links(classes.select("band", "value"), "band", "value", BAND_BITS, BAND_DISTANCE), "band-links")
-    left = classes.select(F.col("band").alias("g"), F.col("value").alias("a"), F.col("first.key").alias("ka"))
-    right = classes.select(F.col("band").alias("g"), F.col("value").alias("b"), F.col("first.key").alias("kb"))
-    between = links.join(left, ["g", "a"]).join(right, ["g", "b"]).filter("ka <> kb").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
-    pairs = within.unionByName(between)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def band_values(words: np.ndarray) -> np.ndarray:
+    """The bands of a text's SimHashes over word pairs, as longs: the band's number above its bits."""
+    first = gram_hashes(words, CANDIDATE_WORDS)
+    ones = np.zeros((FINGERPRINTS, 64), np.int64)
+    for at in range(0, len(first), SLICE):
+        for k in range(FINGERPRINTS):
+            bits = np.unpackbits(_mixed(first[at : at + SLICE], k + 1).view(np.uint8).reshape(-1, 8), axis=1)
+            ones[k] += bits.sum(axis=0, dtype=np.int64)
+    parts = np.packbits(2 * ones > len(first), axis=1).reshape(-1, _BAND_BYTES)
+    wide = np.zeros((len(parts), 8), np.uint8)
+    wide[:, 8 - _BAND_BYTES :] = parts
+    wide[:, 7 - _BAND_BYTES] = np.arange(len(parts))
+    return wide.view(">i8").ravel().astype(np.int64)
 
 
-def _shingle_hashes(text: str | None, size: int) -> np.ndarray:
-    parts = [np.array([xxhash.xxh64_intdigest(s) for s in p], np.uint64) for p in shingles(text, size)]
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    """Arrays of longs as one Arrow column of lists."""
+    ends = np.zeros(len(arrays) + 1, np.int32)
+    np.cumsum([a.size for a in arrays], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)])))
 
 
-def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = np.intersect1d(a, b, assume_unique=True).size
-    return both / max(1, a.size + b.size - both)
+def shingle_set(words: np.ndarray) -> np.ndarray:
+    """The distinct hashes of a text's shingles as longs, sorted."""
+    return np.unique(gram_hashes(words, SHINGLE_WORDS).view(np.int64))
+
+
+def prefix_length(n: int, similarity: float = SIMILARITY) -> int:
+    """How many first shingles of a set of ``n`` hold one of every set that is similar enough, in any common order."""
+    return n - math.ceil(round(similarity * n, 6)) + 1 if n else 0
+
 
+def split_common(own: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that are not among the common ones, and those that are, by their counts; ties in the order of the hashes."""
+    known, counts = common
+    if not known.size:
+        return own, own[:0]
+    at = np.minimum(np.searchsorted(known, own), known.size - 1)
+    hit = known[at] == own
+    found = own[hit]
+    return own[~hit], found[np.argsort(counts[at[hit]], kind="stable")]
 
-def shingle_sets(texts: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """key, hashes: the distinct 64-bit hashes of a text's shingles, sorted, as bytes."""
+
+def _with_sha(docs: DataFrame) -> DataFrame:
+    """id (doc_id, a null one as the largest long), sha (the text's SHA-256) and text; null texts are left out."""
+    last = F.lit((1 << 63) - 1)
+    own = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), last).alias("id"), F.unhex(F.sha2("text", 256)).alias("sha"), "text")
+    return own.filter("text is not null")
+
+
+def near_rows(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """One row for each text with words, in one pass: key, id, sha, bands, and of its shingle set n (the size), p (the length of its
+    prefix), free (the first 2 p shingles that are not common), n_free (how many it has of these) and known (its first p common ones).
+
+    ``key`` numbers the rows: write the table before reading it twice.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, bands, numbers, frees, knowns = [], [], [], [], []
+            for at, text in enumerate(batch.column("text")):
+                words = word_hashes(text.as_py())
+                if words.size:
+                    own = shingle_set(words)
+                    free, known = split_common(own, shared.value)
+                    p = prefix_length(own.size)
+                    kept.append(at)
+                    bands.append(band_values(words))
+                    numbers.append((own.size, p, free.size))
+                    frees.append(free[: 2 * p])
+                    knowns.append(known[:p])
+            rows = batch.select(["key", "id", "sha"]).take(pa.array(kept, pa.int64()))
+            n, p, n_free = np.array(numbers, np.int64).reshape(-1, 3).T
+            yield pa.record_batch(
+                [*rows.columns, _lists(bands), pa.array(n), pa.array(p), _lists(frees), pa.array(n_free), _lists(knowns)],
+                ["key", "id", "sha", "bands", "n", "p", "free", "n_free", "known"],
+            )
+
+    numbered = _with_sha(docs).select(F.monotonically_increasing_id().alias("key"), "id", "sha", "text")
+    return numbered.mapInArrow(
+        run, "key bigint, id bigint, sha binary, bands array<bigint>, n bigint, p bigint, free array<bigint>, n_free bigint, known array<bigint>"
+    )
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key, hashes (a shingle set as bytes) of the texts in ``wanted`` (key and sha, every sha once); equal texts give equal rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [_shingle_hashes(t, size).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("key"), pa.array(sets, pa.binary())], ["key", "hashes"])
+            for at, text in enumerate(batch.column("text")):
+                found = shingle_set(word_hashes(text.as_py())).tobytes()
+                yield pa.record_batch([batch.column("key").slice(at, 1), pa.array([found], pa.binary())], ["key", "hashes"])
 
+    side = small_or_shuffled(wanted.select("key", F.col("sha").alias("wanted_sha")))
+    texts = _with_sha(docs).join(side, F.col("sha") == F.col("wanted_sha"))
     return texts.select("key", "text").mapInArrow(run, "key bigint, hashes binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least ``similarity``."""
+def candidate_links(own: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys whose fingerprints meet in some band, for each b the a that it meets in most bands.
+
+    In a band, each member of a class (one band value) is paired with the class's smallest key, and the smallest
+    keys of classes at most BAND_DISTANCE bits apart are paired along ``ball_links``. Similar pairs that these do not join
+    are found by ``near_links``.
+    """
+    members = own.select("key", F.explode("bands").alias("value"))
+    classes = stored(members.groupBy("value").agg(F.min("key").alias("first"), F.count("*").alias("n")), "band-classes")
+    several = classes.filter("n > 1").select(F.col("value").alias("shared"), "first")
+    within = members.join(several, F.col("value") == F.col("shared")).filter("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    links = stored(ball_links(classes.select(F.lit(0).alias("g"), "value"), "g", "value", BAND_BITS, BAND_DISTANCE), "band-links")
+    left = classes.select(F.col("value").alias("a"), F.col("first").alias("ka"))
+    right = classes.select(F.col("value").alias("b"), F.col("first").alias("kb"))
+    between = links.join(left, "a").join(right, "b").filter("ka <> kb").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    ends = within.unionByName(between).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met = ends.groupBy("a", "b").agg(F.count("*").alias("bands"))
+    return met.groupBy("b").agg(F.max(F.struct("bands", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
+
+
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = np.intersect1d(a, b, assume_unique=True).size
+    return both / max(1, a.size + b.size - both)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, own: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least ``similarity``.
+
+    The sets are made again from the texts of the documents in some pair (``own`` has key and sha). Of each pair the set of the document with fewer pairs is moved to the other, so that
+    the set of a document that many are compared with is never copied for each of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (batch.column(c).to_pylist() for c in ("xa", "xb"))
-            good = [_jaccard(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) >= similarity for p, q in zip(x, y, strict=True)]
+            x, y = (batch.column(c) for c in ("xa", "xb"))
+            good = [_jaccard(np.frombuffer(p.as_buffer(), np.int64), np.frombuffer(q.as_buffer(), np.int64)) >= similarity for p, q in zip(x, y, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    first = sets.select(F.col("key").alias("a"), F.col("hashes").alias("xa"))
-    second = sets.select(F.col("key").alias("b"), F.col("hashes").alias("xb"))
-    half = stored(pairs.join(first, "a"), "pairs-with-first")
-    return half.join(second, "b").select("a", "b", "xa", "xb").mapInArrow(run, "a bigint, b bigint")
-
-
-#: Shingles are ordered by their frequency in about SAMPLE_DOCS documents, rarest first; the COMMON_SHINGLES most
-#: frequent are known by count. Any order gives the same pairs; this one keeps shared passages out of the prefixes.
+    met = stored(pairs.select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count("*").alias("met")), "pair-ends")
+    with_a = pairs.join(met.select(F.col("end").alias("a"), F.col("met").alias("ma")), "a")
+    both = with_a.join(met.select(F.col("end").alias("b"), F.col("met").alias("mb")), "b")
+    turned = F.col("ma") < F.col("mb")
+    wanted = stored(own.select("key", "sha").join(met, F.col("key") == F.col("end"), "left_semi"), "pair-texts")
+    sets = stored(shingle_sets(docs, wanted).dropDuplicates(["key"]), "pair-sets")
+    aimed = stored(both.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b")), "pairs-aimed")
+    first = sets.select(F.col("key").alias("b"), F.col("hashes").alias("xb"))
+    second = sets.select(F.col("key").alias("a"), F.col("hashes").alias("xa"))
+    half = stored(aimed.join(first, "b"), "pairs-with-set")
+    size_a, size_b = F.octet_length("xa"), F.octet_length("xb")
+    whole = half.join(second, "a").filter(F.least(size_a, size_b) >= F.lit(similarity) * F.greatest(size_a, size_b) - 1e-6)
+    return whole.select("a", "b", "xa", "xb").mapInArrow(run, "a bigint, b bigint")
+
+
+#: Shingles are ordered: those of few documents by hash, then those of HEAVY or more components, then the COMMON_SHINGLES most
+#: frequent in about SAMPLE_DOCS documents. Any order gives the same pairs; this one keeps shared passages out of the prefixes.
 SAMPLE_DOCS = 10_000
 COMMON_SHINGLES = 100_000
-#: A prefix shingle of more documents is first compared with one document of most links.
-LARGE_CLASS = 64
+HEAVY = 8
+#: The documents of a prefix shingle that more than so many share are first compared with one of them.
+LARGE_CLASS = 4
 
 
-def common_shingles(keyed: DataFrame, n_docs: int, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, and counts of the most frequent shingles in a sample of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in batch.column("text").to_pylist():
-                yield pa.record_batch([pa.array(_shingle_hashes(t, size).view(np.int64))], ["token"])
+            for text in batch.column("text"):
+                yield pa.record_batch([pa.array(shingle_set(word_hashes(text.as_py())))], ["token"])
 
-    every = max(1, n_docs // SAMPLE_DOCS)
-    seen = keyed.filter(F.pmod("key", F.lit(every)) == 0).select("text").mapInArrow(run, "token bigint").groupBy("token").count()
+    every = max(1, docs.count() // SAMPLE_DOCS)
+    some = docs.select("text").filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0))
+    seen = some.mapInArrow(run, "token bigint").groupBy("token").count()
     rows = seen.filter("count > 2").orderBy(F.desc("count"), "token").limit(COMMON_SHINGLES).collect()
-    hashes = np.array([r["token"] for r in rows], np.int64).view(np.uint64)
+    hashes = np.array([r["token"] for r in rows], np.int64)
     order = np.argsort(hashes)
     return hashes[order], np.array([r["count"] for r in rows], np.int64)[order]
 
 
-def prefix_length(n: int, similarity: float = SIMILARITY) -> int:
-    """How many first shingles of a set of ``n`` hold one of every set that is similar enough, in any common order."""
-    return n - math.ceil(round(similarity * n, 6)) + 1 if n else 0
-
-
-def prefixes(keyed: DataFrame, common: tuple[np.ndarray, np.ndarray], size: int = SHINGLE_WORDS) -> DataFrame:
-    """key, n (size of the shingle set), token: one row for each shingle of a text's prefix."""
-    shared = keyed.sparkSession.sparkContext.broadcast(common)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = shared.value
-        for batch in batches:
-            for key, t in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own = _shingle_hashes(t, size)
-                rank = np.zeros(own.size, np.int64)
-                if known.size:
-                    at = np.minimum(np.searchsorted(known, own), known.size - 1)
-                    rank = np.where(known[at] == own, counts[at], 0)
-                first = own[np.lexsort((own, rank))[: prefix_length(own.size)]]
-                ends = [np.full(first.size, v, np.int64) for v in (key, own.size)]
-                yield pa.record_batch([pa.array(x) for x in (*ends, first.view(np.int64))], ["key", "n", "token"])
-
-    return keyed.select("key", "text").mapInArrow(run, "key bigint, n bigint, token bigint")
-
-
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows (token, key, n) of tokens that documents of several components share, with the component."""
-    found = components(links).withColumnRenamed("node", "linked")
-    rows = stored(
-        members.join(found, F.col("key") == F.col("linked"), "left").select("token", "key", "n", F.coalesce("component", "key").alias("component")),
-        "prefix-labelled",
-    )
+def _mixed_tokens(rows: DataFrame) -> DataFrame:
+    """Of (token, key, n, component) the rows of tokens that documents of several components share, with members (how many)."""
     mixed = stored(
         rows.groupBy(F.col("token").alias("mixed")).agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members"))
         .filter("x <> y").select("mixed", "members"),
@@ -285,27 +355,86 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     return stored(rows.join(mixed, F.col("token") == F.col("mixed")).drop("mixed"), "prefix-open")
 
 
+def _with_component(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` with the component of their key, and share: 1 / the component's size. ``groups`` has node, component, size."""
+    found = groups.select(F.col("node").alias("linked"), F.col("component").alias("joined"), "size")
+    joined = rows.join(found, F.col("key") == F.col("linked"), "left")
+    return joined.select(*rows.columns, F.coalesce("joined", "key").alias("component"), (1 / F.coalesce("size", F.lit(1))).alias("share"))
+
+
+def _sized(links: DataFrame) -> DataFrame:
+    groups = components(links)
+    sizes = groups.groupBy(F.col("component").alias("sized")).agg(F.count("*").alias("size"))
+    return stored(groups.join(sizes, F.col("component") == F.col("sized")).drop("sized"), "near-components")
+
+
+def prefixes(docs: DataFrame, own: DataFrame, groups: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """key, n, component, prefix: the first p shingles of each document in the common order.
+
+    Heavy shingles are told apart among the first 2 p free ones. Where fewer than p of these are light, though the
+    document has more, its whole set is made again from the text.
+    """
+    rows = _with_component(own.select("key", "n", "p", "free", "n_free", "known"), groups)
+    tokens = rows.select("key", "share", F.explode("free").alias("token"))
+    heavy = stored(tokens.groupBy("token").agg(F.sum("share").alias("weight")).filter(F.col("weight") >= HEAVY).withColumnRenamed("token", "heavy"), "heavy-shingles")
+    heavy = small_or_shuffled(heavy)
+    own_heavy = stored(
+        tokens.join(heavy, F.col("token") == F.col("heavy")).groupBy(F.col("key").alias("holder"))
+        .agg(F.sort_array(F.collect_list(F.struct("weight", "token"))).alias("held")),
+        "documents-with-heavy",
+    )
+    held = F.coalesce(F.transform("held", lambda h: h["token"]), F.array().cast("array<bigint>"))
+    marked = rows.join(own_heavy, F.col("key") == F.col("holder"), "left").select(
+        "key", "n", "p", "component", "n_free", "known", F.size("free").alias("n_seen"), F.array_except("free", held).alias("light"), held.alias("held")
+    )
+    short = (F.size("light") < F.col("p")) & (F.col("n_seen") < F.col("n_free"))
+    done = marked.filter(~short).select("key", "n", "component", F.slice(F.concat("light", "held", "known"), F.lit(1), F.col("p").cast("int")).alias("prefix"))
+    rest = stored(marked.filter(short).select("key", "n", "p", "component", "known"), "short-of-light")
+    if rest.isEmpty():
+        return done
+    wanted = stored(own.select("key", "sha").join(rest.select(F.col("key").alias("short_key")), F.col("key") == F.col("short_key"), "left_semi"), "short-texts")
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+
+    def free_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [split_common(np.frombuffer(h.as_buffer(), np.int64), shared.value)[0] for h in batch.column("hashes")]
+            yield pa.record_batch([batch.column("key"), _lists(sets)], ["key", "all_free"])
+
+    whole = shingle_sets(docs, wanted).mapInArrow(free_of, "key bigint, all_free array<bigint>").dropDuplicates(["key"])
+    placed = whole.select(F.col("key").alias("of"), F.explode("all_free").alias("token")).join(heavy, F.col("token") == F.col("heavy"), "left")
+    order = placed.groupBy("of").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("weight", F.lit(0.0)).alias("weight"), "token"))).alias("ordered"))
+    remade = rest.join(order, F.col("key") == F.col("of")).select(
+        "key", "n", "component", F.slice(F.concat(F.transform("ordered", lambda t: t["token"]), "known"), F.lit(1), F.col("p").cast("int")).alias("prefix")
+    )
+    return done.unionByName(remade)
+
+
 def _near_size(x: str, y: str) -> Column:
     return F.least(x, y) >= SIMILARITY * F.greatest(x, y) - 1e-6
 
 
-def hub_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a large token's document of most links with its documents of other components."""
-    ends = links.select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count("*").alias("links"))
-    large = stored(
-        members.filter(F.col("members") > LARGE_CLASS).join(ends, F.col("key") == F.col("end"), "left")
-        .select("token", "key", "n", "component", F.coalesce("links", F.lit(0)).alias("links")),
-        "prefix-large",
-    )
+def hub_pairs(members: DataFrame, links: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): each document with the hub, of another component, that it meets at most of its large tokens.
+
+    A token's hub is its document of most links in the first turn, any one in later turns.
+    """
+    large = members.filter(F.col("members") > LARGE_CLASS).select("token", "key", "n", "component")
+    if turn:
+        ranked = large.withColumn("rank", F.xxhash64("key", F.lit(turn)))
+    else:
+        ends = links.select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count("*").alias("rank"))
+        ranked = large.join(ends, F.col("key") == F.col("end"), "left").select("token", "key", "n", "component", F.coalesce("rank", F.lit(0)).alias("rank"))
+    ranked = stored(ranked, "prefix-large")
     hubs = stored(
-        large.groupBy(F.col("token").alias("hub_token")).agg(F.max(F.struct("links", "key", "n", "component")).alias("hub")), "prefix-hubs"
+        ranked.groupBy(F.col("token").alias("hub_token")).agg(F.max(F.struct("rank", "key", "n", "component")).alias("hub")), "prefix-hubs"
     )
-    return (
-        large.join(hubs, F.col("token") == F.col("hub_token"))
+    met = (
+        ranked.join(hubs, F.col("token") == F.col("hub_token"))
         .filter((F.col("component") != F.col("hub.component")) & _near_size("n", "hub.n"))
-        .select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b"))
-        .distinct()
+        .groupBy("key", F.col("hub.key").alias("hub")).agg(F.count("*").alias("tokens"))
     )
+    best = met.groupBy("key").agg(F.max(F.struct("tokens", "hub")).alias("best"))
+    return best.select(F.least("key", "best.hub").alias("a"), F.greatest("key", "best.hub").alias("b")).distinct()
 
 
 def prefix_pairs(members: DataFrame) -> DataFrame:
@@ -330,28 +459,59 @@ def prefix_pairs(members: DataFrame) -> DataFrame:
     return counted.filter(F.col("shared") + rest >= SIMILARITY / (1 + SIMILARITY) * (F.col("x") + F.col("y")) - 1e-6).select("a", "b")
 
 
-def near_links(keyed: DataFrame, links: DataFrame, n_docs: int) -> DataFrame:
+def near_links(docs: DataFrame, own: DataFrame, links: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Links that join, with ``links``, exactly the documents that chains of similar pairs join.
 
     A prefix-filter join over shingles: two sets of a Jaccard similarity of at least SIMILARITY share
     a shingle of their prefixes, so every such pair meets at a token. Only pairs that the links found so
-    far do not join yet are compared; none of these is left out.
+    far do not join yet are compared; none of these is left out. In groups of many copies most are joined by comparing each with
+    a hub, in turns, before the rest is compared pair by pair.
     """
-    rows = stored(prefixes(keyed, common_shingles(keyed, n_docs)), "prefixes")
-    shared = stored(rows.groupBy(F.col("token").alias("shared")).count().filter("count > 1").select("shared"), "prefix-shared")
-    members = stored(rows.join(shared, F.col("token") == F.col("shared"), "left_semi"), "prefix-members")
-
-    def more(pairs: DataFrame) -> DataFrame:
-        ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct(), "prefix-ends")
-        texts = keyed.join(ends, F.col("key") == F.col("end"), "left_semi")
-        return verified(pairs, stored(shingle_sets(texts).dropDuplicates(["key"]), "prefix-sets"))
-
-    members = _labelled(members, links)
-    hubs = stored(hub_pairs(members, links), "prefix-hub-pairs")
-    if not hubs.isEmpty():
-        links = stored(links.unionByName(more(hubs)), "prefix-links")
-        members = _labelled(members.drop("component", "members"), links)
-    return stored(links.unionByName(more(stored(prefix_pairs(members), "prefix-pairs"))), "prefix-links")
+    groups = _sized(links)
+    rows = stored(prefixes(docs, own, groups, common), "prefixes")
+    members = _mixed_tokens(rows.select("key", "n", "component", F.explode("prefix").alias("token")))
+    turn, fresh = 0, True
+    while fresh:  # as long as a tenth of the hubs are similar
+        tried = stored(hub_pairs(members, links, turn), "prefix-hub-pairs")
+        found = stored(verified(tried, docs, own), "prefix-hub-links")
+        fresh = found.count() > tried.count() / 10
+        if not found.isEmpty():
+            links = stored(links.unionByName(found), "prefix-links")
+            again = _with_component(members.drop("component", "members"), _sized(links)).drop("share")
+            members = _mixed_tokens(stored(again, "prefix-labelled"))
+        turn += 1
+    pairs = stored(prefix_pairs(members), "prefix-pairs")
+    return links if pairs.isEmpty() else stored(links.unionByName(verified(pairs, docs, own)), "prefix-links")
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """id, sha, best_id, best_sha of every row that has a near copy; best is its group's smallest (id, sha).
+
+    ``id`` is doc_id (a null one ranks last, as the largest long), ``sha`` the text's SHA-256. Texts are compared
+    once, however many rows repeat them.
+    """
+    with scratch(docs.sparkSession) as block:
+        common = common_shingles(docs)
+        rows = stored(near_rows(docs, common), "near-rows")
+        texts = rows.groupBy(F.col("sha").alias("text_sha")).agg(F.min("key").alias("first"), F.count("*").alias("n_rows"))
+        repeated = stored(texts.filter("n_rows > 1"), "near-repeated")
+        again = rows.join(repeated, F.col("sha") == F.col("text_sha")).filter("key <> first").select(F.col("key").alias("again"))
+        own = rows if repeated.isEmpty() else rows.join(stored(again, "near-again"), F.col("key") == F.col("again"), "left_anti")
+        pairs = stored(candidate_links(own), "near-pairs")
+        links = near_links(docs, own, stored(verified(pairs, docs, own), "near-links"), common)
+        groups = components(links)
+        grouped = stored(groups.join(own.select("key", "sha"), F.col("node") == F.col("key")).select("component", F.col("sha").alias("group_sha")), "near-grouped")
+        named = rows.select("id", "sha").join(grouped, F.col("sha") == F.col("group_sha")).select("component", "id", "sha")
+        single = repeated.select(F.col("text_sha").alias("group_sha")).join(grouped.select("group_sha"), "group_sha", "left_anti")
+        copies = rows.select("id", "sha", "key").join(single, F.col("sha") == F.col("group_sha")).join(
+            repeated.select("text_sha", "first"), F.col("sha") == F.col("text_sha")
+        ).select(F.col("first").alias("component"), "id", "sha")
+        ranked = stored(named if repeated.isEmpty() else named.unionByName(copies), "near-ranked")
+        best = ranked.groupBy(F.col("component").alias("group")).agg(F.min(F.struct("id", "sha")).alias("best"))
+        result = ranked.join(best, F.col("component") == F.col("group")).select(
+            "id", "sha", F.col("best.id").alias("best_id"), F.col("best.sha").alias("best_sha")
+        )
+        return block.keep(stored(result, "near-groups"))
 
 
 def keep_near(docs: DataFrame) -> DataFrame:
@@ -361,32 +521,13 @@ def keep_near(docs: DataFrame) -> DataFrame:
     followed. Band candidates join most of them, a prefix-filter join all others. A document with no near copy stays as it is, null and
     empty texts among them (texts without words have no shingles and are similar to none). Null
     doc_ids rank last; rows equal in doc_id and text go or stay together. All columns are
-    carried along, whatever their names.
+    carried along, whatever their names; an empty table stays empty.
     """
-    key = row_key("doc_id", "text")
-    last = F.lit((1 << 63) - 1)
-    keyed = docs.select(key.alias("key"), F.coalesce(F.col("doc_id").cast("bigint"), last).alias("id"), "text")
-    own = stored(
-        fingerprints(keyed, CANDIDATE_WORDS, FINGERPRINTS)
-        .select("key", F.struct("id", "key").alias("who"), "fp")
-        .dropDuplicates(["key"]),
-        "near-fingerprints",
+    gone = near_groups(docs).filter((F.col("id") != F.col("best_id")) | (F.col("sha") != F.col("best_sha"))).select(
+        F.col("id").alias("gone_id"), F.col("sha").alias("gone_sha")
     )
-    pairs = stored(candidate_links(own), "near-pairs")
-    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct(), "near-ends")
-    members = keyed.join(ends, F.col("key") == F.col("end"), "left_semi")
-    sets = stored(shingle_sets(members).dropDuplicates(["key"]), "near-sets")
-    links = near_links(keyed, stored(verified(pairs, sets), "near-links"), own.count())
-    groups = components(links)
-    ranked = stored(groups.join(own, F.col("node") == F.col("key")).select("component", "who"), "near-ranked")
-    best = stored(
-        ranked.groupBy(F.col("component").alias("group")).agg(F.min("who").alias("best")), "near-best"
-    )
-    gone = stored(
-        ranked.join(best, F.col("component") == F.col("group"))
-        .filter("who.key <> best.key")
-        .select(F.col("who.key").alias("gone")),
-        "near-gone",
+    last = F.lit((1 << 63) - 1)
+    rows = docs.select(
+        F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), last).alias("own_id"), F.unhex(F.sha2("text", 256)).alias("own_sha")
     )
-    rows = docs.select(F.struct("*").alias("row"), key.alias("own_key"))
-    return rows.join(gone, F.col("own_key") == F.col("gone"), "left_anti").select("row.*")
+    return rows.join(small_or_shuffled(gone), (F.col("own_id") == F.col("gone_id")) & (F.col("own_sha") == F.col("gone_sha")), "left_anti").select("row.*")
