@@ -103,3 +103,29 @@ def block_name(kind: Column) -> Column:
     # Names of the block types that are decoded.
     names = {1: "scene_tree", 2: "tree_node", 3: "glyph", 4: "group", 5: "line", 6: "text", 7: "root_text", 8: "tombstone"}
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), kind.cast("int")), F.lit("other"))
+
+
+def rectangle_points(x: Column, y: Column, width: Column, height: Column, degrees: Column) -> Column:
+    """The closed outline (5 points) of a rectangle turned about its centre."""
+    cx, cy, a = x + width / 2, y + height / 2, F.radians(degrees)
+    corners = F.array(*[F.struct((width / 2 * sx).alias("x"), (height / 2 * sy).alias("y")) for sx, sy in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))])
+    return F.transform(
+        corners, lambda p: F.struct((cx + p["x"] * F.cos(a) - p["y"] * F.sin(a)).alias("x"), (cy + p["x"] * F.sin(a) + p["y"] * F.cos(a)).alias("y"))
+    )
+
+
+def shape_points(kind: Column, shape: Column) -> Column:
+    """The points of a drawn shape (x, y, width, height, degrees, points): its own for a stroke, an outline for ellipse and rect.
+
+    A kind that is not known has null.
+    """
+    half = lambda c: shape[c] / 2
+    oval = ellipse_points(shape["x"] + half("width"), shape["y"] + half("height"), half("width"), half("height"))
+    box = rectangle_points(shape["x"], shape["y"], shape["width"], shape["height"], shape["degrees"])
+    return F.when(kind == "stroke", shape["points"]).when(kind == "ellipse", oval).when(kind == "rect", box)
+
+
+def page_letters(i: Column) -> Column:
+    """Sort keys of pages by their place from 0: ``ba``, ``bb`` and so on to ``bz``, then ``ca``."""
+    letter = lambda n: F.chr(F.lit(97) + n.cast("int"))
+    return F.concat(letter(F.floor(i / 26) + 1), letter(i % 26))

@@ -59,17 +59,41 @@ def truncated(text: Column, most: int, mark: str) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(mark))).otherwise(text)
 
 
+_SPACE = " \t\n\r\f\x0b"
+
+
 def normal_path(path: Column) -> Column:
-    """Trimmed, with one leading slash added if missing and no trailing one; empty is the root."""
-    bare = F.regexp_replace(F.trim(F.coalesce(path, F.lit(""))), "/+$", "")
+    """Trimmed of white space, with one leading slash added if missing and no trailing one; empty is the root."""
+    bare = F.regexp_replace(F.trim(F.coalesce(path, F.lit("")), F.lit(_SPACE)), "/+$", "")
     return F.when(bare == "", "/").when(bare.startswith("/"), bare).otherwise(F.concat(F.lit("/"), bare))
 
 
+def resolved_path(path: Column) -> Column:
+    """A normal path without empty and ``.`` parts; ``..`` leaves the part before it, and the root stays the root."""
+    parts = F.filter(F.split(normal_path(path), "/"), lambda p: ~p.isin("", "."))
+    kept = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda acc, p: F.when(p == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p))),
+    )
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def base_name(path: Column) -> Column:
+    """The last part of a path."""
+    return F.regexp_extract(F.regexp_replace(F.coalesce(path, F.lit("")), "/+$", ""), "[^/]*$", 0)
+
+
 def safe_name(name: Column) -> Column:
-    """A file name of letters, digits, ``_ . -``; runs of ``_`` are one, ends are bare, nothing left is ``document``."""
-    kept = F.regexp_replace(F.replace(F.coalesce(name, F.lit("")), F.lit(" "), F.lit("_")), "[^A-Za-z0-9_.-]", "")
+    """A file name: of the last path part, the stem in letters, digits, ``_ . -`` and the extension as it is.
+
+    Runs of ``_`` are one, the stem's ends are bare, a stem of nothing is ``document``.
+    """
+    base = base_name(name)
+    ending = F.regexp_extract(base, r"\.[^.]*$", 0)
+    stem = F.substring(base, F.lit(1), F.length(base) - F.length(ending))
+    kept = F.regexp_replace(F.replace(stem, F.lit(" "), F.lit("_")), "[^A-Za-z0-9_.-]", "")
     bare = F.regexp_replace(F.regexp_replace(kept, "_+", "_"), "^[_-]+|[_-]+$", "")
-    return F.when(bare == "", "document").otherwise(bare)
+    return F.concat(F.when(bare == "", "document").otherwise(bare), ending)
 
 
 def safe_relative_path(path: Column) -> Column:
@@ -79,9 +103,9 @@ def safe_relative_path(path: Column) -> Column:
 
 
 def safe_attachment(name: Column) -> Column:
-    """Without control characters; slashes, backslashes and quotes become ``_``."""
-    bare = F.trim(F.translate(F.regexp_replace(F.coalesce(name, F.lit("")), r"\p{Cc}", ""), '/\\"', "___"))
-    return F.when(bare.isin("", ".", ".."), "document").otherwise(bare)
+    """Without control characters; slashes, backslashes and quotes become ``_``; blank and dots alone are ``document``."""
+    bare = F.translate(F.regexp_replace(F.coalesce(name, F.lit("")), r"\p{Cc}", ""), '/\\"', "___")
+    return F.when(F.trim(bare, F.lit(_SPACE)) == "", "document").when(bare.isin(".", ".."), "document").otherwise(bare)
 
 
 def remote_key(base: Column, directory: Column, name: Column) -> Column:
@@ -89,9 +113,18 @@ def remote_key(base: Column, directory: Column, name: Column) -> Column:
     return normal_path(F.concat_ws("/", normal_path(base), F.nullif(F.trim(directory), F.lit("")), name))
 
 
-def date_directory(text: Column) -> Column:
-    """``YYYY/MM/DD`` of that form or with dashes; only shape is checked; anything else is null."""
-    return F.when(text.rlike("^[0-9]{4}([/-])[0-9]{2}\\1[0-9]{2}$"), F.replace(text, F.lit("-"), F.lit("/")))
+def date_directory(text: Column, override: Column | None = None, base: str = "/ai") -> Column:
+    """The remote directory of a day: base/YYYY/MM/DD of ``YYYY/MM/DD`` or ``YYYY-MM-DD``, of the current day if blank.
+
+    An override that is not blank wins. Only lengths and digits are checked; any other text fails.
+    """
+    bare = F.regexp_replace(F.trim(F.coalesce(text, F.lit("")), F.lit(_SPACE)), "^/+|/+$", "")
+    shaped = F.when(bare.rlike("^[0-9]{4}/[0-9]{2}/[0-9]{2}$"), bare).when(bare.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.replace(bare, F.lit("-"), F.lit("/")))
+    blank = F.trim(F.coalesce(text, F.lit("")), F.lit(_SPACE)) == ""
+    wrong = F.raise_error(F.concat(F.lit("invalid date: "), text)).cast("string")
+    day = F.when(blank, F.date_format(F.current_date(), "yyyy/MM/dd")).when(shaped.isNotNull(), shaped).otherwise(wrong)
+    own = F.concat(F.lit(base + "/"), day)
+    return own if override is None else F.when(F.trim(F.coalesce(override, F.lit("")), F.lit(_SPACE)) != "", normal_path(override)).otherwise(own)
 
 
 def extension(path: Column) -> Column:
@@ -114,8 +147,12 @@ def ensure_pdf(name: Column) -> Column:
 
 
 def without_front_matter(text: Column) -> Column:
-    """Drops a leading YAML block, if the first line is ``---`` and a closing ``---`` line exists."""
-    return F.regexp_replace(text, r"\A[ \t]*---[ \t]*\n(?s:.*?\n)??[ \t]*---[ \t]*(?:\n|\z)", "")
+    """Drops a leading YAML block and the line breaks behind it.
+
+    The text must begin with ``---`` in its first column, alone on its line but for white space (CRLF too), and a closing
+    ``---`` line must follow.
+    """
+    return F.regexp_replace(text, r"\A---[^\S\n]*\n(?s:.*?\n)??[^\S\n]*---[^\S\n]*(?:\n+|\z)", "")
 
 
 def is_list_line(line: Column) -> Column:
@@ -123,10 +160,10 @@ def is_list_line(line: Column) -> Column:
 
 
 def list_level(line: Column) -> Column:
-    """Two spaces or one tab a level."""
+    """Nesting depth of a list line from 1: two spaces or one tab a level; 0 for other lines."""
     lead = F.regexp_extract(line, r"^([ \t]*)", 1)
     tabs = F.length(F.replace(lead, F.lit(" "), F.lit("")))
-    return (tabs + F.floor((F.length(lead) - tabs) / 2)).cast("int")
+    return F.when(is_list_line(line), F.floor((F.length(lead) + tabs) / 2) + 1).otherwise(0).cast("int")
 
 
 def code_fence(code: Column) -> Column:
@@ -205,7 +242,7 @@ def _subsequence(query: str, text: Column, word_bonus: bool) -> Column:
 
 
 def fuzzy_score(query: str, name: Column, path: Column, is_dir: Column) -> Column:
-    """Rank of an entry for a query, null if it doesn't match.
+    """Rank of an entry for a query, null if it doesn't match; a blank query matches all with 0.
 
     Exact name 1000; prefix 800 and 4 a query byte; name subsequence 400 and its points; path
     subsequence 150 and its points; directories get 5 more on the name's tiers. Positions are
@@ -215,9 +252,58 @@ def fuzzy_score(query: str, name: Column, path: Column, is_dir: Column) -> Colum
     low, where = F.lower(name), F.lower(path)
     extra = F.when(is_dir, 5).otherwise(0)
     if not q:
-        return F.lit(1)
+        return F.lit(0)
     return (
         F.when(low == q, F.lit(1000) + extra)
         .when(low.startswith(q), F.lit(800 + 4 * len(q.encode())) + extra)
         .otherwise(F.coalesce(F.lit(400) + _subsequence(q, low, True) + extra, F.lit(150) + _subsequence(q, where, False)))
     )
+
+
+def command_kinds(tool: str) -> dict[str, list[tuple[str, str]]]:
+    """The four ordered rule sets that name a tool's sub-commands: for listed calls, sequences, the summary and failures."""
+    rule = lambda words, name=None: (f"%{tool} {words}%", name or words)
+    plain = [rule(w) for w in ("upload", "cloud", "rmdoc", "render", "status", "help")]
+    fine = [rule("upload bundle"), rule("upload md"), rule("upload", "upload (other)"), rule("cloud ls"), rule("cloud account")]
+    rest = [rule("cloud", "cloud (other)"), rule("rmdoc"), rule("render"), rule("status")]
+    flag = rule("--", "flag-first")
+    return {
+        "calls": [*plain, flag],
+        "sequences": plain,
+        "summary": [*fine, rule("cloud rm"), *rest, rule("help"), flag],
+        "failures": [*fine, *rest],
+    }
+
+
+def command_excerpt(command: Column, tool: str, most: int = 60) -> Column:
+    """The first word behind the tool's name and the flags that follow it; without the name the command's beginning."""
+    found = F.regexp_extract(F.coalesce(command, F.lit("")), rf"{tool}\s+(\S+(?:\s+--\S+)*)", 1)
+    return F.substring(F.when(found != "", found).otherwise(F.coalesce(command, F.lit(""))), 1, most)
+
+
+def is_auth_error(message: Column) -> Column:
+    """Whether an error text speaks of missing rights; null does not."""
+    low = F.lower(F.coalesce(message, F.lit("")))
+    return reduce(Column.__or__, [low.contains(p) for p in ("401", "unauthorized", "403", "forbidden", "token expired")])
+
+
+def is_not_found_error(message: Column) -> Column:
+    low = F.lower(F.coalesce(message, F.lit("")))
+    return reduce(Column.__or__, [low.contains(p) for p in ("doesnt exist", "doesn't exist", "not found")])
+
+
+def rfc3339(epoch_ms: Column) -> Column:
+    """Milliseconds since 1970 as a UTC time stamp text."""
+    return F.date_format(F.timestamp_millis(epoch_ms), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def cover_page(flag: Column) -> Column:
+    """The page of a cover flag: ``1`` is page 0, empty and ``0`` none; any other value fails."""
+    wrong = F.raise_error(F.concat(F.lit("the cover page flag must be 0 or 1, not "), flag)).cast("int")
+    return F.when(F.coalesce(flag, F.lit("")).isin("", "0"), F.lit(None).cast("int")).when(flag == "1", 0).otherwise(wrong)
+
+
+def layout(name: Column) -> Column:
+    """A layout's name, trimmed and in lower case; blank is ``default``, any other than default and editor fails."""
+    low = F.lower(F.trim(F.coalesce(name, F.lit("")), F.lit(_SPACE)))
+    return F.when(low == "", "default").when(low.isin("default", "editor"), low).otherwise(F.raise_error(F.concat(F.lit("unknown layout: "), name)).cast("string"))

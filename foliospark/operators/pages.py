@@ -17,13 +17,13 @@ def page_plan(content: DataFrame, column: str = "content") -> DataFrame:
     """One row per page of every content JSON: all other columns, doc_type, layout, page_index, page_id, source_page, template.
 
     With a ``cPages`` key deleted pages go before numbering and a page without a source has -1. Else the
-    page count is the largest of three; a missing id is the index as text, a missing source the index. JSON that
-    cannot be read, and null, has no pages.
+    page count is the largest of three; a missing id is the index as text, a missing source the index. Only the value 1 means
+    deleted. JSON that cannot be read fails; null has no pages.
     """
-    parsed = content.withColumn("j", F.from_json(column, CONTENT_SCHEMA)).filter("j is not null")
+    parsed = content.filter(F.col(column).isNotNull()).withColumn("j", F.from_json(column, CONTENT_SCHEMA, {"mode": "FAILFAST"}))
     kind = F.coalesce(F.col("j.fileType"), F.lit(""))
     doc_type = F.when(kind.isin("pdf", "epub"), kind).when(kind.isin("", "notebook"), "notebook").otherwise("unknown")
-    kept = F.filter("j.cPages.pages", lambda p: F.coalesce(p["deleted"]["value"], F.lit(0)) == 0)
+    kept = F.filter("j.cPages.pages", lambda p: F.coalesce(p["deleted"]["value"], F.lit(0)) != 1)
     new = F.transform(
         kept,
         lambda p, i: F.struct(
@@ -69,6 +69,14 @@ def parse_selection(spec: str, total: int) -> list[int]:
     return chosen
 
 
+def parse_page_list(spec: str) -> list[int]:
+    """Page numbers of ``1,3``: blank, and nothing but commas, is page 1; numbers below 1 raise."""
+    numbers = [int(part) for part in spec.split(",") if part.strip()] or [1]
+    if min(numbers) < 1:
+        raise ValueError(f"page numbers begin with 1: {spec}")
+    return numbers
+
+
 def select_pages(plan: DataFrame, spec: str, total: int) -> DataFrame:
     """The chosen pages with their ordinal; a page chosen twice comes twice."""
     places = parse_selection(spec, total)
@@ -164,6 +172,45 @@ def compare_pages(a: DataFrame, b: DataFrame, tolerance: float = 0.01) -> DataFr
     ).withColumn("match", F.col("ratio") <= tolerance)
 
 
+def equal_page_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """doc_id, pages_a, pages_b, same: documents whose page counts differ are a mismatch, without page rows to compare."""
+    count = lambda df, name: df.groupBy(F.col("doc_id").alias(f"of_{name}")).agg(F.count("*").alias(f"pages_{name}"))
+    both = count(a, "a").join(count(b, "b"), F.col("of_a") == F.col("of_b"), "full_outer")
+    n = [F.coalesce(c, F.lit(0)) for c in ("pages_a", "pages_b")]
+    return both.select(F.coalesce("of_a", "of_b").alias("doc_id"), n[0].alias("pages_a"), n[1].alias("pages_b"), (n[0] == n[1]).alias("same"))
+
+
+def compare_documents(a: DataFrame, b: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """doc_id, match, max_ratio, pages: documents of unequal page counts do not match and have ratio 1 and no pages compared."""
+    counts = equal_page_counts(a, b)
+    equal = counts.filter("same").select(F.col("doc_id").alias("equal_id"))
+    kept = lambda df: df.join(equal, F.col("doc_id") == F.col("equal_id"), "left_semi")
+    unequal = counts.filter("not same").select("doc_id", F.lit(False).alias("match"), F.lit(1.0).alias("max_ratio"), F.lit(0).cast("bigint").alias("pages"))
+    return document_verdict(compare_pages(kept(a), kept(b), tolerance)).unionByName(unequal)
+
+
+def joined_to_page_files(plan: DataFrame, files: DataFrame) -> DataFrame:
+    """The page plan with the bytes of each page's file; a page without one, or with one of another version than V6, has null."""
+    v6 = files.filter(F.col("version") == "V6").select(F.col("doc").alias("file_doc"), F.col("page_id").alias("file_page"), "bytes")
+    return plan.join(v6, (F.col("doc") == F.col("file_doc")) & (F.col("page_id") == F.col("file_page")), "left").drop("file_doc", "file_page")
+
+
+def joined_to_source(plan: DataFrame, source: DataFrame) -> DataFrame:
+    """The page plan with width and height of the source page each shows; source pages count from 1 and may be shown many times.
+
+    A page with source -1 is blank: it gets the document's usual size, that of the first page in order that shows a valid source
+    page, else of source page 1.
+    """
+    sized = source.select(F.col("doc").alias("source_doc"), F.col("number"), F.col("width"), F.col("height"))
+    both = plan.join(sized, (F.col("doc") == F.col("source_doc")) & (F.col("source_page") + 1 == F.col("number")), "left")
+    size = F.struct("width", "height")
+    usual = both.groupBy(F.col("doc").alias("of")).agg(F.min_by(F.when(F.col("number").isNotNull(), size), F.when(F.col("number").isNotNull(), F.col("page_index"))).alias("usual"))
+    first = sized.filter("number = 1").select(F.col("source_doc").alias("first_doc"), size.alias("first"))
+    filled = both.join(usual, F.col("doc") == F.col("of"), "left").join(first, F.col("doc") == F.col("first_doc"), "left")
+    own = F.when(F.col("number").isNotNull(), size).otherwise(F.coalesce("usual", "first"))
+    return filled.select(*plan.columns, F.col("number").isNull().alias("blank"), own["width"].alias("width"), own["height"].alias("height"))
+
+
 def document_verdict(compared: DataFrame) -> DataFrame:
     return compared.groupBy("doc_id").agg(F.bool_and("match").alias("match"), F.max("ratio").alias("max_ratio"), F.count("*").alias("pages"))
 

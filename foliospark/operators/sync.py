@@ -73,3 +73,68 @@ def upsert(existing: DataFrame, new: DataFrame, key: list[str], force: bool = Fa
     base, more = (existing, new) if force else (new, existing)
     others = base.join(more.select(*key).distinct(), key, "left_anti")
     return more.unionByName(others)
+
+
+def executed(planned: DataFrame, attempts: DataFrame, force: bool = False) -> DataFrame:
+    """key, action, outcome, phase of every planned item, whatever became of the others.
+
+    ``attempts`` has key, phase (delete, convert or upload, in this order of trial) and error (null for success). Skips and
+    errors are left alone; stale and orphan items need ``force``, else they are skipped. An item fails in the first phase
+    with an error; an orphan is done once deleted.
+    """
+    rank = F.element_at(F.create_map(*[F.lit(x) for p in (("delete", 1), ("convert", 2), ("upload", 3)) for x in p]), F.col("phase"))
+    failed = attempts.filter("error is not null").groupBy(F.col("key").alias("failed_key")).agg(F.min(F.struct(rank.alias("rank"), "phase")).alias("first"))
+    both = planned.join(failed, F.col("key") == F.col("failed_key"), "left")
+    held = F.col("action").isin("stale", "orphan") & F.lit(not force)
+    outcome = (
+        F.when(F.col("action").isin("skip", "error"), "none").when(held, "skipped").when(F.col("first").isNotNull(), "failed")
+        .when(F.col("action") == "orphan", "deleted").otherwise("uploaded")
+    )
+    return both.select("key", "action", outcome.alias("outcome"), F.when(outcome == "failed", F.col("first.phase")).alias("phase"))
+
+
+def failures_by_phase(done: DataFrame) -> DataFrame:
+    """One row: failed items in all and by phase, zeros included."""
+    failed = F.col("outcome") == "failed"
+    return done.agg(
+        F.count_if(failed).alias("failed"), *[F.count_if(failed & (F.col("phase") == p)).alias(f"{p}_failed") for p in ("convert", "upload", "delete")]
+    )
+
+
+def missing_by_leaf(local: DataFrame, remote: DataFrame) -> DataFrame:
+    """Local rows whose last path part no remote path has: a weaker test than that of ``plan``."""
+    leaf = lambda c: F.regexp_extract(c, "[^/]*$", 0)
+    there = remote.select(leaf("path").alias("there")).distinct()
+    return local.withColumn("leaf", leaf("path")).join(there, F.col("leaf") == F.col("there"), "left_anti").drop("leaf")
+
+
+def put(existing: DataFrame, new: DataFrame, force: bool = False, content_only: bool = False) -> DataFrame:
+    """``existing`` (parent_id, name, content, meta) with the documents of ``new`` put in, and outcome for each row.
+
+    A new name is added. A name that is there is refused unless forced (all of it is replaced) or ``content_only``, which
+    replaces the content and keeps the rest; the two exclude each other, and content alone is for PDF only (column ext of ``new``).
+    """
+    if force and content_only:
+        raise ValueError("force and content-only exclude each other")
+    old = existing.select(F.col("parent_id").alias("op"), F.col("name").alias("on"), F.col("content").alias("old_content"), F.col("meta").alias("old_meta"))
+    put_in = new.select(F.col("parent_id").alias("np"), F.col("name").alias("nn"), F.col("content").alias("new_content"), F.col("meta").alias("new_meta"), "ext")
+    both = old.join(put_in, (F.col("op") == F.col("np")) & (F.col("on") == F.col("nn")), "full_outer")
+    here, there = F.col("nn").isNotNull(), F.col("on").isNotNull()
+    outcome = (
+        F.when(~here, "kept").when(F.lit(content_only) & (F.lower("ext") != "pdf"), "refused: not a PDF").when(~there, "added")
+        .when(F.lit(force), "replaced").when(F.lit(content_only), "content replaced").otherwise("refused: exists")
+    )
+    fresh = outcome.isin("added", "replaced", "content replaced")
+    rows = both.select(
+        F.coalesce("op", "np").alias("parent_id"), F.coalesce("on", "nn").alias("name"),
+        F.when(fresh, F.col("new_content")).otherwise(F.col("old_content")).alias("content"),
+        F.when(outcome.isin("added", "replaced"), F.col("new_meta")).otherwise(F.col("old_meta")).alias("meta"), outcome.alias("outcome"), there.alias("there"),
+    )
+    return rows.filter(F.col("there") | ~F.col("outcome").startswith("refused")).drop("there")
+
+
+def status_counts(entries: DataFrame) -> DataFrame:
+    """One row: documents, folders and all entries."""
+    return entries.agg(
+        F.count_if(F.col("type") == "DocumentType").alias("documents"), F.count_if(F.col("type") == "CollectionType").alias("folders"), F.count("*").alias("entries")
+    )

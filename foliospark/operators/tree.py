@@ -11,13 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import fuzzy_score
-from foliospark.session import stored
+from foliospark.functions.text import fuzzy_score, resolved_path
+from foliospark.session import scratch, stored
 
 ROOT = ""
 TRASH = "trash"
 FOLDER, DOCUMENT, TEMPLATE = "CollectionType", "DocumentType", "TemplateType"
-MAX_ROUNDS = 7  # depth 128
 
 
 def ancestors(entries: DataFrame) -> DataFrame:
@@ -30,14 +29,17 @@ def ancestors(entries: DataFrame) -> DataFrame:
         "id", F.when(F.col("kid").isNotNull(), F.col("parent_id")).alias("up"),
         F.array("id").alias("chain"), F.array("name").alias("names"), F.array("type").alias("types"),
     )
-    state = stored(rooted, "tree")
-    for _ in range(MAX_ROUNDS):
-        if state.filter("up is not null").isEmpty():
-            break
-        above = state.select(*[F.col(c).alias(f"above_{c}") for c in state.columns])
-        joined = state.join(above, F.col("up") == F.col("above_id"), "left")
-        longer = [F.when(F.col("above_id").isNotNull(), F.concat(f"above_{c}", c)).otherwise(F.col(c)).alias(c) for c in ("chain", "names", "types")]
-        state = stored(joined.select("id", F.col("above_up").alias("up"), *longer), "tree")
+    with scratch(entries.sparkSession) as block:
+        state = stored(rooted, "tree")
+        left, before = state.filter("up is not null").count(), None
+        # a round resolves some entry of any tree; where none is resolved, all that is left hangs on a cycle
+        while left and left != before:
+            above = state.select(*[F.col(c).alias(f"above_{c}") for c in state.columns])
+            joined = state.join(above, F.col("up") == F.col("above_id"), "left")
+            longer = [F.when(F.col("above_id").isNotNull(), F.concat(f"above_{c}", c)).otherwise(F.col(c)).alias(c) for c in ("chain", "names", "types")]
+            state = stored(joined.select("id", F.col("above_up").alias("up"), *longer), "tree")
+            left, before = state.filter("up is not null").count(), left
+        block.keep(state)
     done = F.col("up").isNull()
     return state.select("id", *[F.when(done, F.col(c)).alias(c) for c in ("chain", "names", "types")])
 
@@ -123,7 +125,9 @@ def search(
 
 
 def ranked_search(walked: DataFrame, query: str, limit: int = 100) -> DataFrame:
-    """The best matches: by score, then lower-case name, then path, then id."""
+    """The best matches: by score, then lower-case name, then path, then id; for a blank query the first entries in path order."""
+    if not query.strip():
+        return walked.withColumn("score", F.lit(0)).orderBy("path", "id").limit(limit)
     scored = walked.withColumn("score", fuzzy_score(query, F.col("name"), F.col("path"), F.col("is_dir")))
     return scored.filter("score is not null").orderBy(F.desc("score"), F.lower("name"), "path", "id").limit(limit)
 
@@ -179,18 +183,49 @@ def create_folder(entries: DataFrame, parent_id: str, new_id: str, name: str) ->
     return entries.unionByName(checked, allowMissingColumns=True)
 
 
+def _taken(entries: DataFrame, entry_id: str, parent_id: str, name: str) -> bool:
+    same = (F.coalesce("parent_id", F.lit(ROOT)) == parent_id) & (F.col("name") == name) & (F.col("id") != entry_id)
+    return not entries.filter(same).isEmpty()
+
+
 def rename(entries: DataFrame, entry_id: str, name: str) -> DataFrame:
-    if not name.strip() or "/" in name or "\\" in name:
+    """Entries with one renamed; an unknown entry, a blank name, one with slashes and one that a sibling has fail."""
+    name = name.strip()
+    if not name or "/" in name or "\\" in name:
         raise ValueError("an entry needs a name without slashes")
+    own = entries.filter(F.col("id") == entry_id).select(F.coalesce("parent_id", F.lit(ROOT)).alias("up")).first()
+    if own is None:
+        raise ValueError(f"no such entry: {entry_id}")
+    if _taken(entries, entry_id, own["up"], name):
+        raise ValueError(f"the name is taken: {name}")
     return entries.withColumn("name", F.when(F.col("id") == entry_id, name).otherwise(F.col("name")))
 
 
-def move(walked: DataFrame, entry_id: str, new_parent: str) -> DataFrame:
-    """Entries with one moved; moving it into its own subtree fails."""
-    inside = F.array_contains("chain", entry_id) & (F.col("id") == new_parent)
-    moved = F.when(inside, F.raise_error(F.lit("cannot move an entry into itself")).cast("string"))
-    moved = moved.when(F.col("id") == entry_id, new_parent).otherwise(F.col("parent_id"))
-    return walked.withColumn("parent_id", moved).drop("chain", "path", "depth", "is_dir")
+def move(entries: DataFrame, entry_id: str, new_parent: str) -> DataFrame:
+    """All entries, walked or not, with one moved; the walk only checks.
+
+    An unknown entry, a target that is no directory, that lies in the entry itself or that has the entry's name fail.
+    """
+    own = entries.filter(F.col("id") == entry_id).select("name").first()
+    if own is None:
+        raise ValueError(f"no such entry: {entry_id}")
+    if new_parent != ROOT:
+        target = entries.filter(F.col("id") == new_parent).select("type").first()
+        if target is None or target["type"] != FOLDER:
+            raise ValueError(f"not a directory: {new_parent}")
+        plain = entries.select("id", "parent_id", "name", "type")
+        inside = ancestors(plain).filter((F.col("id") == new_parent) & F.coalesce(F.array_contains("chain", entry_id), F.lit(True)))
+        if not inside.isEmpty():
+            raise ValueError("cannot move an entry into itself")
+    if _taken(entries, entry_id, new_parent, own["name"]):
+        raise ValueError(f"the name is taken: {own['name']}")
+    moved = entries.withColumn("parent_id", F.when(F.col("id") == entry_id, new_parent).otherwise(F.col("parent_id")))
+    return moved.drop("chain", "path", "depth", "is_dir")
+
+
+def at_path(walked: DataFrame, path: Column) -> DataFrame:
+    """The entries at a path, in which ``.`` and ``..`` are resolved first."""
+    return walked.filter(F.col("path") == resolved_path(path))
 
 
 def missing_directories(paths: DataFrame, existing: DataFrame) -> DataFrame:

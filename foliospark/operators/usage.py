@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.session import scratch, stored
+
 
 def failed(success: Column) -> Column:
     return ~success.cast("string").eqNullSafe("true")
@@ -49,6 +51,24 @@ def sequences(calls: DataFrame, gap_ms: int, least: int = 2, shown: int = 5, key
     return grouped.select(key, "run", "calls", "kinds", "succeeded", "failed", "duration_ms", "first_ts", commands.alias("commands"))
 
 
+def numbered_sequences(found: DataFrame, key: str = "session_id", ts: str = "first_ts") -> DataFrame:
+    """Kept runs with number, counted from 1 over all sessions in order of session, first time and run.
+
+    Range partitions are numbered on their own and moved on by the sizes of those before, so that no task holds all runs.
+    """
+    order = [key, ts, "run"]
+    with scratch(found.sparkSession) as block:
+        placed = stored(found.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranged-runs")
+        sizes = placed.groupBy("part").agg(F.count("*").alias("size"))
+        # one short row a partition
+        before = F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+        offsets = stored(sizes.select(F.col("part").alias("of"), F.coalesce(before, F.lit(0)).alias("before")), "run-offsets")
+        own = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+        return block.keep(placed.withColumn("own", own).join(offsets, F.col("part") == F.col("of"))).withColumn("number", F.col("own") + F.col("before")).drop(
+            "own", "before", "part", "of"
+        )
+
+
 def timeline(calls: DataFrame, gap_s: int, key: str = "session_id", ts: str = "ts", tie: str = "id") -> DataFrame:
     """Every call with the gap before it in rounded seconds and its run by that gap."""
     w = Window.partitionBy(key).orderBy(ts, tie)
@@ -65,12 +85,12 @@ def kind_summary(calls: DataFrame, key: str = "session_id") -> DataFrame:
     ).select("kind", "calls", (n - bad).alias("succeeded"), "failed", "sessions", ((n - bad) * 100.0 / n).alias("success_rate"), (n / sessions).alias("per_session"))
 
 
-def churn(calls: DataFrame, gap_ms: int, least_failures: int, key: str = "session_id", ts: str = "ts", tie: str = "id") -> DataFrame:
-    """Sessions by how much their calls fail and restart; every session's runs are counted, none cut off."""
+def churn(calls: DataFrame, gap_ms: int, least_calls: int, key: str = "session_id", ts: str = "ts", tie: str = "id") -> DataFrame:
+    """Sessions of at least ``least_calls`` calls by how much these fail and restart; every session's runs are counted, none cut off."""
     runs = with_runs(calls, gap_ms, key, ts, tie)
     summed = runs.groupBy(key).agg(
         F.count("*").alias("calls"), F.count_if(failed(F.col("success"))).alias("failed"), (F.max("run") + 1).alias("runs")
-    ).filter(F.col("failed") >= least_failures)
+    ).filter(F.col("calls") >= least_calls)
     ratio = F.col("failed") / F.col("calls")
     return summed.select(key, "calls", "failed", "runs", ratio.alias("fail_ratio"), (F.floor(F.col("runs") * (1 + ratio) * 10 + 0.5) / 10).alias("score"))
 

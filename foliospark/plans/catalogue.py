@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions import ink, text
-from foliospark.operators import pages, sync, tree, usage
+from foliospark.functions import ink, markdown, text
+from foliospark.operators import pages, scene, sync, tree, usage
 from foliospark.session import table
+from foliospark.sources import pagefile, pagewriter
 from foliospark.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -266,8 +267,11 @@ def sync_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.action_counts(_sync(spark, sf_dir))
 
 
-_SAFE = r"""coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(replace(coalesce({0}, ''), ' ', '_'),
-  '[^A-Za-z0-9_.-]', '', 'g'), '_+', '_', 'g'), '^[_-]+|[_-]+$', '', 'g'), ''), 'document')"""
+_BASE = r"regexp_extract(rtrim(coalesce({0}, ''), '/'), '[^/]*$')"
+_ENDING = rf"regexp_extract({_BASE}, '\.[^.]*$')"
+_STEM = rf"left({_BASE}, length({_BASE}) - length({_ENDING}))"
+_SAFE = rf"""coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(replace({_STEM}, ' ', '_'),
+  '[^A-Za-z0-9_.-]', '', 'g'), '_+', '_', 'g'), '^[_-]+|[_-]+$', '', 'g'), ''), 'document') || {_ENDING}"""
 
 
 @query(f"""select key, count(*) as inputs, min(p_name) as first_input, max(p_name) as last_input
@@ -297,7 +301,7 @@ def remote_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.remote_key(F.lit("backup/"), F.col("p_brand"), F.col("p_name")).alias("key"))
 
 
-@query("select o_orderkey, strftime(o_orderdate, '%Y/%m/%d') as directory from orders")
+@query("select o_orderkey, '/ai/' || strftime(o_orderdate, '%Y/%m/%d') as directory from orders")
 def date_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", text.date_directory(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("directory"))
 
@@ -310,17 +314,24 @@ def ext_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.language_of(F.col("url")).alias("language"))
 
 
-@query("select doc_id, sha256(text) as body_sha from documents where text is not null")
+@query(r"""select doc_id, sha256(case doc_id % 4 when 2 then ' ---' || chr(10) || 'a' || chr(10) || '---' || chr(10) || coalesce(text, '')
+    when 3 then '--- x' || chr(10) || coalesce(text, '') else ltrim(coalesce(text, ''), chr(10)) end) as body_sha from documents""")
 def md_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("text is not null")
-    wrapped = F.concat(F.lit("---\ntitle: x\ntags: [a]\n---\n"), "text")
-    return d.select("doc_id", F.sha2(text.without_front_matter(wrapped), 256).alias("body_sha"))
+    """Each text behind a YAML block: plain, with CRLF and empty lines after it, out of the first column, or no block at all."""
+    own = F.coalesce("text", F.lit(""))
+    heads = ("---\ntitle: x\ntags: [a]\n---\n\n\n", "---\r\nt\r\n---  \r\n", " ---\na\n---\n", "--- x\n")
+    head = F.element_at(F.array(*map(F.lit, heads)), (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.without_front_matter(F.concat(head, own)), 256).alias("body_sha"))
 
 
-@query("select doc_id, repeat('`', 3 + cast(doc_id % 4 as int)) as fence from documents")
+_RUNS_OF_TICKS = "list_max(list_transform(regexp_extract_all({0}, '`+'), lambda r: length(r)))"
+_TICKED = "coalesce(text, '') || ' ' || repeat('`', cast(doc_id % 5 as int))"
+
+
+@query(f"select doc_id, repeat('`', cast(greatest(3, coalesce({_RUNS_OF_TICKS.format(_TICKED)}, 0) + 1) as int)) as fence from documents")
 def md_fence_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ticks = F.repeat(F.lit("`"), (F.col("doc_id") % 4 + 2).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", text.code_fence(F.concat(F.lit("a ` b "), ticks, F.lit(" c"))).alias("fence"))
+    code = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.repeat(F.lit("`"), (F.col("doc_id") % 5).cast("int")))
+    return table(spark, sf_dir, "documents").select("doc_id", text.code_fence(code).alias("fence"))
 
 
 @query(r"""select doc_id, cast(line - 1 as int) as line, regexp_matches(l, '^[ \t]*(?:[-*+] |[0-9]+\. )') as is_list
@@ -467,3 +478,175 @@ def gestures_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+_WORDS = ["upload bundle a", "upload md b", "upload c", "cloud ls", "cloud account", "cloud rm x", "cloud put", "rmdoc", "Render p", "status", "help", "--flag", "other"]
+_COMMAND = "'cd x && Pen ' || ([" + ", ".join(f"'{w}'" for w in _WORDS) + "])[1 + event_id % 13] || ' --a --b ' || event_type"
+
+
+def _case(rules: list[tuple[str, str]]) -> str:
+    return "case " + " ".join(f"when command ilike '{p}' then '{n}'" for p, n in rules) + " else 'other' end"
+
+
+def _commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = F.element_at(F.array(*map(F.lit, _WORDS)), (F.col("event_id") % 13 + 1).cast("int"))
+    command = F.concat(F.lit("cd x && Pen "), word, F.lit(" --a --b "), "event_type")
+    return table(spark, sf_dir, "events").select("event_id", "event_type", command.alias("command"))
+
+
+@query(f"""select event_id, {", ".join(f"{_case(r)} as {n}" for n, r in text.command_kinds("pen").items())}
+  from (select event_id, {_COMMAND} as command from events)""")
+def usage_command_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A call's sub-command by each of the four rule sets."""
+    rules = text.command_kinds("pen")
+    return _commands(spark, sf_dir).select("event_id", *[text.first_like(F.col("command"), r).alias(n) for n, r in rules.items()])
+
+
+@query(f"""select {_case(text.command_kinds("pen")["calls"])} as kind, count(*) as n, regexp_extract(command, 'Pen\\s+(\\S+(?:\\s+--\\S+)*)', 1) as excerpt
+  from (select {_COMMAND} as command from events) group by 1, 3""")
+def usage_calls_by_command(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = text.first_like(F.col("command"), text.command_kinds("pen")["calls"])
+    return _commands(spark, sf_dir).groupBy(kind.alias("kind"), text.command_excerpt(F.col("command"), "Pen").alias("excerpt")).agg(F.count("*").alias("n"))
+
+
+@query(f"""with {_RUNS}, k as (select user_id, run, min(ts) as first_ts, count(*) as calls from r group by 1, 2 having count(*) >= 2)
+  select user_id as session_id, run, calls, row_number() over (order by user_id, first_ts, run) as number from k""")
+def usage_numbered_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = usage.sequences(_calls(spark, sf_dir), GAP_MS)
+    return usage.numbered_sequences(found).select("session_id", "run", "calls", "number")
+
+
+@query("""with p as (select o_orderkey as key, o_orderkey % 5 as a, o_custkey % 4 as f from orders)
+  select count(*) filter (a in (0, 1) and f > 0 or a = 2 and f = 1) as failed, count(*) filter (a in (0, 1) and f = 2) as convert_failed,
+    count(*) filter (a in (0, 1) and f = 3) as upload_failed, count(*) filter (a in (0, 1) and f = 1 or a = 2 and f = 1) as delete_failed from p""")
+def sync_execution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures by phase of a forced plan of uploads (0), stale items (1), orphans (2), skips and errors."""
+    o = table(spark, sf_dir, "orders")
+    action = F.element_at(F.array(*map(F.lit, ("upload", "stale", "orphan", "skip", "error"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    phase = F.element_at(F.array(*map(F.lit, ("none", "delete", "convert", "upload"))), (F.col("o_custkey") % 4 + 1).cast("int"))
+    tried = o.filter("o_custkey % 4 > 0 and not (o_orderkey % 5 = 2 and o_custkey % 4 > 1)")
+    attempts = tried.select(F.col("o_orderkey").alias("key"), phase.alias("phase"), F.lit("broken").alias("error"))
+    return sync.failures_by_phase(sync.executed(o.select(F.col("o_orderkey").alias("key"), action.alias("action")), attempts, True))
+
+
+@query("""select p_partkey from part where p_name not in (select regexp_extract('/x/' || p_name, '[^/]*$') from part where p_partkey % 3 = 0)""")
+def sync_missing_by_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    remote = part.filter("p_partkey % 3 = 0").select(F.concat(F.lit("/x/"), "p_name").alias("path"))
+    return sync.missing_by_leaf(part.select("p_partkey", F.concat_ws("/", "p_brand", "p_name").alias("path")), remote).select("p_partkey")
+
+
+@query("""with o as (select c_custkey as k, 'old' || c_custkey as content from customer where c_custkey % 3 <> 0),
+  n as (select c_custkey as k, 'new' || c_custkey as content, c_custkey % 2 = 0 as pdf from customer where c_custkey % 5 < 3)
+  select coalesce(o.k, n.k)::varchar as name, case when n.k is null or (o.k is not null and not n.pdf) then o.content else n.content end as content,
+    case when n.k is null then 'kept' when not n.pdf then 'refused: not a PDF' when o.k is null then 'added' else 'content replaced' end as outcome
+  from o full join n on o.k = n.k where o.k is not null or n.pdf""")
+def cloud_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    name = F.col("c_custkey").cast("string").alias("name")
+    text_of = lambda word: F.concat(F.lit(word), F.col("c_custkey").cast("string")).alias("content")
+    old = c.filter("c_custkey % 3 <> 0").select(F.lit("d").alias("parent_id"), name, text_of("old"), F.lit("m").alias("meta"))
+    ext = F.when(F.col("c_custkey") % 2 == 0, "PDF").otherwise("epub").alias("ext")
+    new = c.filter("c_custkey % 5 < 3").select(F.lit("d").alias("parent_id"), name, text_of("new"), F.lit("m").alias("meta"), ext)
+    return sync.put(old, new, content_only=True).select("name", "content", "outcome")
+
+
+@query("""with l as (select l_orderkey as doc, cast(row_number() over (partition by l_orderkey order by l_linenumber) - 1 as int) as page_index,
+    l_partkey % 4 - 1 as source_page from (select distinct l_orderkey, l_linenumber, min(l_partkey) over (partition by l_orderkey, l_linenumber) as l_partkey from lineitem)),
+  s as (select o_orderkey as doc, n as number, 100.0 + n as width from orders, unnest([1, 2]) as u(n)),
+  j as (select l.*, s.width from l left join s on l.doc = s.doc and l.source_page + 1 = s.number),
+  u as (select doc, arg_min(width, page_index) filter (width is not null) as usual from j group by 1)
+  select j.doc, j.page_index, j.width is null as blank, coalesce(j.width, u.usual, f.width) as width from j join u on j.doc = u.doc
+  left join s f on f.doc = j.doc and f.number = 1""")
+def page_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with the size of the source page that they show; blank ones get their document's usual size."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("k"))
+    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1
+    plan = li.select(F.col("l_orderkey").alias("doc"), at.alias("page_index"), (F.col("k") % 4 - 1).alias("source_page"))
+    numbers = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.explode(F.array(F.lit(1), F.lit(2))).alias("number"))
+    source = numbers.withColumn("width", 100.0 + F.col("number")).withColumn("height", F.lit(1.0))
+    return pages.joined_to_source(plan, source).select("doc", "page_index", "blank", "width")
+
+
+@query(r"""with t as (select event_id, case event_id % 6 when 0 then 'HTTP 401' when 1 then 'it doesn''t exist' when 2 then 'Token Expired' when 3 then 'page NOT found' else event_type end as m,
+    ['', '0', '1'][1 + event_id % 3] as f, [' Editor ', 'default', ''][1 + event_id % 3] as l from events)
+  select event_id, event_id % 6 in (0, 2) as auth, event_id % 6 in (1, 3) as missing, case when f = '1' then 0 end as cover,
+    case when event_id % 3 = 0 then 'editor' else 'default' end as layout, strftime(to_timestamp(event_id * 3600) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') as at from t""")
+def log_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    of = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (k % n + 1).cast("int"))
+    message = F.when(k % 6 < 4, of(("HTTP 401", "it doesn't exist", "Token Expired", "page NOT found", "", ""), 6)).otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", text.is_auth_error(message).alias("auth"), text.is_not_found_error(message).alias("missing"), text.cover_page(of(("", "0", "1"), 3)).alias("cover"),
+        text.layout(of((" Editor ", "default", ""), 3)).alias("layout"), text.rfc3339(k.cast("bigint") * 3600000).alias("at"),
+    )
+
+
+@query(r"""with d as (select doc_id, coalesce(text, '') || ' ![a](<x y.png> "t") ![b\]](u' || doc_id || '.png)' as t from documents),
+  e as (select doc_id, unnest(regexp_extract_all(t, '!\[((?:\\.|[^\]])*)\]\((<[^>\n]*>|[^)\n]+)\)', 2)) as target from d)
+  select doc_id, case when target like '<%' then regexp_extract(target, '^<([^>]*)>', 1) else regexp_extract(trim(target), '^\S*') end as path, count(*) as n from e group by 1, 2""")
+def md_image_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    own = F.concat(F.coalesce("text", F.lit("")), F.lit(' ![a](<x y.png> "t") ![b\\]](u'), F.col("doc_id").cast("string"), F.lit(".png)"))
+    target = d.select("doc_id", F.explode(markdown.image_targets(own)).alias("target"))
+    return target.select("doc_id", markdown.split_target(F.col("target"))["path"].alias("path")).groupBy("doc_id", "path").agg(F.count("*").alias("n"))
+
+
+@query(f"""select doc_id, sha256('# notes.go' || chr(10) || chr(10) || f || 'go' || chr(10) || t || case when t like '%' || chr(10) then '' else chr(10) end || f || chr(10)) as page_sha
+  from (select doc_id, t, repeat('`', cast(greatest(3, coalesce({_RUNS_OF_TICKS.format("t")}, 0) + 1) as int)) as f from (select doc_id, {_TICKED} as t from documents))""")
+def md_source_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.repeat(F.lit("`"), (F.col("doc_id") % 5).cast("int")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(markdown.source_page(F.lit("/src/notes.go"), F.lit(""), code), 256).alias("page_sha"))
+
+
+@query()
+def md_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with spaced and flattened lists; tested against hand-made texts."""
+    d = markdown.with_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", F.sha2(markdown.spaced_lists(), 256).alias("spaced_sha"), F.sha2(markdown.flattened_lists(4), 256).alias("flat_sha"))
+
+
+@query("""select c_custkey, round(1 + c_custkey % 9 / 2.0 * (1 - cos(radians(c_custkey % 360))) + 2 * sin(radians(c_custkey % 360)), 6) as first_x, 5 as n,
+  round(c_custkey % 9 / 1.0, 6) as oval_width, chr(cast(98 + c_custkey // 26 % 20 as int)) || chr(cast(97 + c_custkey % 26 as int)) as letters from customer""")
+def drawn_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turned rectangles, ovals and page letters."""
+    k = F.col("c_custkey")
+    shape = F.struct(
+        F.lit(1.0).alias("x"), F.lit(2.0).alias("y"), (k % 9).cast("double").alias("width"), F.lit(4.0).alias("height"), (k % 360).cast("double").alias("degrees"),
+        F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))).alias("points"),
+    )
+    rect, oval = ink.shape_points(F.lit("rect"), shape), ink.points_box(ink.shape_points(F.lit("ellipse"), shape))
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", F.round(F.get(rect, F.lit(0))["x"], 6).alias("first_x"), F.size(rect).alias("n"), F.round(oval["max_x"] - oval["min_x"], 6).alias("oval_width"),
+        ink.page_letters(k % 520).alias("letters"),
+    )
+
+
+def _drawn_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of page files written from orders: a stroke for each return flag, a point for each line item."""
+    li = table(spark, sf_dir, "lineitem")
+    point = F.struct("l_linenumber", "l_partkey", F.col("l_quantity").cast("double").alias("x"), F.col("l_linenumber").cast("double").alias("y"), (F.col("l_partkey") % 50).cast("double").alias("width"))
+    lines = li.groupBy("l_orderkey", "l_returnflag").agg(F.transform(F.array_sort(F.collect_list(point)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["width"].alias("width"))).alias("points"))
+    stroke = F.struct(F.lit(17).alias("tool"), F.lit(0).alias("color"), F.lit(2.0).alias("thickness"), "points")
+    drawn = lines.groupBy(F.col("l_orderkey").alias("page")).agg(F.collect_list(stroke).alias("strokes"))
+    return pagefile.page_blocks(drawn.select("page", pagewriter.page_file(F.col("strokes"), "made").alias("bytes")), ["page"])
+
+
+@query("""select l_orderkey as page, count(distinct l_returnflag) as strokes, count(*) as points, max(l_partkey % 50)::double as widest,
+  min(l_quantity)::double as min_x, max(l_quantity)::double as max_x, max(l_linenumber)::double as max_y from lineitem group by 1""")
+def scene_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strokes, points, widths and boxes of written and decoded page files."""
+    drawn = scene.strokes(_drawn_blocks(spark, sf_dir))
+    boxed = drawn.select("page", F.size("points").alias("n"), F.array_max(F.transform("points", lambda p: p["width"])).alias("w"), ink.points_box(F.col("points")).alias("box"))
+    return boxed.groupBy("page").agg(
+        F.count("*").alias("strokes"), F.sum("n").alias("points"), F.max("w").alias("widest"), F.min("box.min_x").alias("min_x"), F.max("box.max_x").alias("max_x"),
+        F.max("box.max_y").alias("max_y"),
+    )
+
+
+@query("""with n as (select count(distinct l_orderkey) as pages from lineitem), s as (select count(*) as strokes from (select distinct l_orderkey, l_returnflag from lineitem))
+  select u.type, case when u.type = 5 then strokes else pages end as blocks, 2 as last_version from n, s, unnest([1, 2, 4, 5]) as u(type)""")
+def scene_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks by type and the version last seen of each."""
+    b = _drawn_blocks(spark, sf_dir)
+    return b.groupBy("type").agg(F.count("*").alias("blocks"), F.max_by("current_version", F.struct("page", "block")).alias("last_version"))
