@@ -96,7 +96,7 @@ def usage_sequence_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {_RUNS},
   s as (select user_id as session_id, count(*) as calls, count(*) filter (event_type = 'error') as failed, max(run) + 1 as runs from r group by 1)
-  select *, failed / calls::double as fail_ratio, floor(runs * (1 + failed / calls::double) * 10 + 0.5) / 10 as score from s where failed >= 3""")
+  select *, failed / calls::double as fail_ratio, floor(runs * (1 + failed / calls::double) * 10 + 0.5) / 10 as score from s where calls >= 3""")
 def usage_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.churn(_calls(spark, sf_dir), GAP_MS, 3)
 
@@ -217,9 +217,9 @@ def tree_delete_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with recursive {_TREE} select id, case when id = 'n2' then 'r0' else parent_id end as parent_id,
-  case when id = 'n3' then 'RENAMED' else name end as name from v""")
+  case when id = 'n3' then 'RENAMED' else name end as name from e""")
 def tree_move_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.rename(tree.move(_walk(spark, sf_dir), "n2", "r0"), "n3", "RENAMED").select("id", "parent_id", "name")
+    return tree.rename(tree.move(_entries(spark, sf_dir), "n2", "r0"), "n3", " RENAMED ").select("id", "parent_id", "name")
 
 
 _HASHED = "select p_partkey as id, {} as hash from part where p_partkey % 10 <> {}"

@@ -1,6 +1,6 @@
 """Sources over file trees: Markdown and source files, notebook archives (zip), session logs.
 
-Spark's file scans leave out files of no bytes, so these sources do too.
+Spark's file scans leave out files of no bytes; the text sources add them from the listing.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -26,15 +26,60 @@ def _files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
 
+def _empty_files(spark: SparkSession, path: str) -> DataFrame:
+    """path and content of the files of no bytes below ``path``; like Spark's scans without names that begin with ``_`` or a dot."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed, found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True), []
+    while listed.hasNext():
+        status = listed.next()
+        if not status.getLen() and status.getPath().getName()[0] not in "_.":
+            found.append((status.getPath().toString(), b""))
+    return spark.createDataFrame(found, "path string, content binary")
+
+
+def _all_files(spark: SparkSession, path: str) -> DataFrame:
+    return _files(spark, path).select("path", "content").unionByName(_empty_files(spark, path))
+
+
+def _is_markdown() -> Column:
+    return F.lower("path").endswith(".md")
+
+
+def bundle_inputs(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """place, abs_path, title, text of Markdown files and folders in the order of the arguments.
+
+    A folder's files follow in the order of their lower-case titles, which are relative paths without the ending; a file's title
+    is its name. A file that comes twice counts once, at its first place; a blank argument is left out and one that is no Markdown file fails.
+    """
+    found = None
+    for ordinal, path in enumerate(p.strip() for p in paths):
+        if not path:
+            continue
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+        if not folder and not path.lower().endswith(".md"):
+            raise ValueError(f"not a Markdown file: {path}")
+        rows = _text(_all_files(spark, path).filter(_is_markdown()), path if folder else path.rsplit("/", 1)[0])
+        one = rows.select(F.lit(ordinal).alias("ordinal"), "abs_path", F.regexp_replace("rel_path", r"\.[^.]*$", "").alias("title"), "text")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return spark.createDataFrame([], "place long, abs_path string, title string, text string")
+    order = [F.col("ordinal"), F.lower("title"), F.col("abs_path")]
+    once = found.withColumn("nth", F.row_number().over(Window.partitionBy("abs_path").orderBy("ordinal"))).filter("nth = 1")
+    # one row an argument or file of a bundle, which is one document
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long")
+    return once.select(place.alias("place"), "abs_path", "title", "text")
+
+
 def markdown_inputs(spark: SparkSession, path: str) -> DataFrame:
     """abs_path, rel_path, text of every Markdown file below ``path`` (ending in any case), by lower-case path."""
-    return _text(_files(spark, path, "*.[mM][dD]"), path).orderBy(F.lower("abs_path"), "abs_path")
+    return _text(_all_files(spark, path).filter(_is_markdown()), path).orderBy(F.lower("abs_path"), "abs_path")
 
 
 def source_inputs(spark: SparkSession, path: str, extensions: list[str] | None = None) -> DataFrame:
     """abs_path, rel_path, text of every file that is not Markdown; with ``extensions``, of those endings only."""
     ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    found = _files(spark, path).filter(ending != "md")
+    found = _all_files(spark, path).filter(ending != "md")
     if extensions:
         found = found.filter(ending.isin([e.lower().lstrip(".") for e in extensions]))
     return _text(found, path).orderBy("abs_path")
@@ -79,6 +124,26 @@ def archives(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path, "*.{zip,rmdoc}").select("path", "content").mapInArrow(run, _ARCHIVE)
 
 
+def archive_members(spark: SparkSession, path: str) -> DataFrame:
+    """path, place, member, size of every file in the archives below ``path``, in the archive's own order; folders are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    inside = [i for i in z.infolist() if not i.is_dir()]
+                columns = ([name] * len(inside), list(range(len(inside))), [i.filename for i in inside], [i.file_size for i in inside])
+                kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "place", "member", "size"])
+
+    return _files(spark, path, "*.{zip,rmdoc}").select("path", "content").mapInArrow(run, "path string, place int, member string, size bigint")
+
+
+def manifest_entry(spark: SparkSession, path: str, doc_id: str) -> DataFrame:
+    """The rows of a JSON manifest (an array of objects, or one object a line) that have this id."""
+    return spark.read.json(path, multiLine=True).filter(F.col("id") == doc_id)
+
+
 def page_files(opened: DataFrame) -> DataFrame:
     """path, uuid, page_id, size, header (the first 43 bytes) and bytes of every page file of ``archives``."""
     one = opened.select("path", "uuid", F.explode("pages").alias("page"))

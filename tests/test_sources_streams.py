@@ -21,7 +21,7 @@ def test_text_inputs(spark, tmp_path):
     for name, text in (("b.md", "two"), ("sub/A.MD", "é"), ("x.py", "print()"), ("y.Go", "package y"), ("none", "plain"), ("empty.py", "")):
         (tmp_path / name).write_text(text)
     assert [(r["rel_path"], r["text"]) for r in files.markdown_inputs(spark, str(tmp_path)).collect()] == [("b.md", "two"), ("sub/A.MD", "é")]
-    assert [r["rel_path"] for r in files.source_inputs(spark, str(tmp_path)).collect()] == ["none", "x.py", "y.Go"]
+    assert [r["rel_path"] for r in files.source_inputs(spark, str(tmp_path)).collect()] == ["empty.py", "none", "x.py", "y.Go"]
     assert [r["rel_path"] for r in files.source_inputs(spark, str(tmp_path), [".go"]).collect()] == ["y.Go"]
 
 
@@ -62,3 +62,25 @@ def test_rerun_adds_nothing(spark, tmp_path):
         events.drain(stream, str(tmp_path / "out"), str(tmp_path / checkpoint), "update")
     got = spark.read.parquet(str(tmp_path / "out")).select("job_id", "item", "state").collect()
     assert sorted(map(tuple, got)) == [(1, 1, "done"), (1, 2, "queued")]
+
+
+def test_empty_files_bundles_and_members(spark, tmp_path):
+    import zipfile
+
+    from foliospark.sources import files
+
+    (tmp_path / "d/sub").mkdir(parents=True)
+    for name, body in (("d/b.md", "B"), ("d/A.MD", ""), ("d/sub/c.md", "C"), ("d/x.go", ""), ("solo.md", "S")):
+        (tmp_path / name).write_text(body)
+    root = str(tmp_path)
+    assert [(r["rel_path"], r["text"]) for r in files.markdown_inputs(spark, f"{root}/d").collect()] == [("A.MD", ""), ("b.md", "B"), ("sub/c.md", "C")]
+    assert [r["rel_path"] for r in files.source_inputs(spark, f"{root}/d").collect()] == ["x.go"]
+    rows = files.bundle_inputs(spark, [f"{root}/solo.md", " ", f"{root}/d", f"{root}/d/b.md"]).orderBy("place").collect()
+    assert [(r["title"], r["text"]) for r in rows] == [("solo", "S"), ("A", ""), ("b", "B"), ("sub/c", "C")]
+    with pytest.raises(ValueError):
+        files.bundle_inputs(spark, [f"{root}/d/x.go"])
+    with zipfile.ZipFile(tmp_path / "one.zip", "w") as z:
+        z.writestr("q/one.txt", "12345")
+    assert [(r["member"], r["size"]) for r in files.archive_members(spark, root).collect()] == [("q/one.txt", 5)]
+    (tmp_path / "m.json").write_text('[{"id": "a", "v": 1}, {"id": "b", "v": 2}]')
+    assert [r["v"] for r in files.manifest_entry(spark, f"{root}/m.json", "b").collect()] == [2]
