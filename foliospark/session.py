@@ -63,6 +63,17 @@ _OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open_scratch", default=()
 _CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
+    """Actions inside delete their shuffle files when they end."""
+    before = spark.conf.get(_CLEAN_SHUFFLES)
+    spark.conf.set(_CLEAN_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN_SHUFFLES, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
@@ -71,12 +82,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    before = spark.conf.get(_CLEAN_SHUFFLES)
-    spark.conf.set(_CLEAN_SHUFFLES, "true")
-    try:
+    with shuffles_cleaned(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEAN_SHUFFLES, before)
     if _OPEN.get():
         _OPEN.get()[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
