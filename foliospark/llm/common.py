@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.session import new_path, scratch, shared_dir, stored
+from foliospark.session import new_path, scratch, shared_dir, shuffles_cleaned, stored
 
-__all__ = ["ascii_lower", "new_path", "running_totals", "scratch", "shared_dir", "small_or_shuffled", "stored"]
+__all__ = ["ascii_lower", "new_path", "running_totals", "scratch", "shared_dir", "shuffles_cleaned", "small_or_shuffled", "stored"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()

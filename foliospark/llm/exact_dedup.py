@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import ascii_lower, scratch, small_or_shuffled, stored
+from foliospark.llm.common import ascii_lower, scratch, shuffles_cleaned, small_or_shuffled, stored
 
 MIN_CHUNK = 512
 MAX_CHUNK = 4096
@@ -56,7 +56,9 @@ def verify_chunks(docs: DataFrame) -> None:
         .agg(F.count("*").alias("contents"))
         .filter("contents > 1")
     )
-    if clash.count():
+    with shuffles_cleaned(docs.sparkSession):
+        clashes = clash.count()
+    if clashes:
         raise RuntimeError("two different chunks share a SHA-256 identifier")
 
 

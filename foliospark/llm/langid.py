@@ -36,6 +36,8 @@ _LETTER = re.compile(r"[^\W\d_]")
 _BLANK = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 _PAD = max(NGRAMS)
 _SLICE_CELLS = 1 << 22
+#: So many characters of texts are scored at once.
+_PART_CHARS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -83,6 +85,19 @@ def class_sums(texts: list[str], table: np.ndarray) -> np.ndarray:
     return sums
 
 
+def _parts(numbers: list[int], texts: list[str]) -> Iterator[list[int]]:
+    """The numbers of texts in runs of some _PART_CHARS characters."""
+    part, size = [], 0
+    for i in numbers:
+        part.append(i)
+        size += len(texts[i])
+        if size >= _PART_CHARS:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def _features(text: str) -> tuple[np.ndarray, np.ndarray]:
     raw, _ = _buffer([text])
     ids = np.concatenate([i[c] for i, c in _buckets(raw)]) if len(raw) else np.zeros(0, np.uint32)
@@ -171,10 +186,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             found = batch.to_pylist()
             named = [i for i, t in enumerate(found) if t and _LETTER.search(t)]
             langs, scores = [UNKNOWN] * len(found), np.zeros(len(found))
-            if named:
-                sums = class_sums([found[i] for i in named], extended)
+            for part in _parts(named, found):
+                sums = class_sums([found[i] for i in part], extended)
                 chance = _softmax(sums[:, :-1] / np.maximum(1, sums[:, -1:]))
-                for i, p in zip(named, chance, strict=True):
+                for i, p in zip(part, chance, strict=True):
                     langs[i], scores[i] = own.languages[int(p.argmax())], float(p.max())
             reject = [lang == UNKNOWN or s < REJECT_BELOW for lang, s in zip(langs, scores, strict=True)]
             yield pa.StructArray.from_arrays(

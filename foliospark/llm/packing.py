@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from foliospark.llm.tokens import WORD_BPE, encode_all
+from foliospark.llm.tokens import WORD_BPE, encode_all, forget_words
 
 MAX_TOKENS = 2048
 END_ID = 1
@@ -68,6 +68,7 @@ def pack(docs: DataFrame, tokenizer: str = WORD_BPE, max_tokens: int = MAX_TOKEN
                     start += n
                     if len(rows) * (4 * n + 64) >= FLUSH_BYTES:
                         yield written(n)
+        forget_words()
         for n in list(buckets):
             yield written(n)
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import scratch, small_or_shuffled, stored
+from foliospark.llm.common import scratch, shuffles_cleaned, small_or_shuffled, stored
 from foliospark.llm.components import components
 
 #: bit counts of each byte value, most significant bit first
@@ -339,7 +339,8 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     every = max(1, docs.count() // SAMPLE_DOCS)
     some = docs.select("text").filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0))
     seen = some.mapInArrow(run, "token bigint").groupBy("token").count()
-    rows = seen.filter("count > 2").orderBy(F.desc("count"), "token").limit(COMMON_SHINGLES).collect()
+    with shuffles_cleaned(docs.sparkSession):
+        rows = seen.filter("count > 2").orderBy(F.desc("count"), "token").limit(COMMON_SHINGLES).collect()
     hashes = np.array([r["token"] for r in rows], np.int64)
     order = np.argsort(hashes)
     return hashes[order], np.array([r["count"] for r in rows], np.int64)[order]

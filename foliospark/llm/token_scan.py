@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import stored
-from foliospark.llm.tokens import WORD_BPE, encode_all
+from foliospark.llm.tokens import WORD_BPE, encode_all, forget_words
 
 #: The vocabulary's <|endoftext|>. Ids fit into 16 bits.
 END_OF_DOCUMENT = 49407
@@ -40,6 +40,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = WORD_BPE) ->
         for batch in batches:
             ids = list(encode_all(batch.column(0).to_pylist(), tokenizer, DTYPE, plain=True))
             yield pa.record_batch([pa.array(ids, pa.binary())], ["ids"])
+        forget_words()
 
     (
         docs.select("text")

@@ -18,7 +18,7 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 #: Distinct words, and parts of words, that a worker remembers; when full it starts anew. Longer ones are not remembered.
-KNOWN_WORDS = 1 << 18
+KNOWN_WORDS = 1 << 17
 KNOWN_PARTS = 1 << 18
 KNOWN_BYTES = 64
 
@@ -92,3 +92,10 @@ def encode_all(texts: Iterable[str | None], path: str = WORD_BPE, dtype: str = "
     if key not in _ENCODERS:
         _ENCODERS[key] = WordEncoder(*key)
     return map(_ENCODERS[key].encode, texts)
+
+
+def forget_words() -> None:
+    """Frees what the worker's encoders remember, at the end of a task: the next one may be of another stage."""
+    for own in _ENCODERS.values():
+        own.known.clear()
+        own.parts.clear()
