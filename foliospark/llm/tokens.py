@@ -19,7 +19,7 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 #: Distinct words, and parts of words, that a worker remembers; when full it starts anew. Longer ones are not remembered.
 KNOWN_WORDS = 1 << 17
-KNOWN_PARTS = 1 << 18
+KNOWN_PARTS = 1 << 19
 KNOWN_BYTES = 64
 
 # The vocabulary's own contractions, and the letters for which its normaliser does no more than lower-case.
