@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.session import new_path, scratch, shared_dir, shuffles_cleaned, stored
 
-__all__ = ["ascii_lower", "new_path", "running_totals", "scratch", "shared_dir", "shuffles_cleaned", "small_or_shuffled", "stored"]
+__all__ = ["ascii_lower", "new_path", "running_totals", "scratch", "shared_dir", "shuffles_cleaned", "small_batches", "small_or_shuffled", "stored"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -17,6 +17,17 @@ LOWER = UPPER.lower()
 BROADCAST_ROWS = 500_000
 
 
+#: Rows of whole texts that go to a Python worker at once.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches have at most BATCH_ROWS rows, so that a batch of long texts fits into a worker."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def small_or_shuffled(rows: DataFrame) -> DataFrame:
     """A written table of short rows, marked for broadcast if it has at most BROADCAST_ROWS; else the join shuffles."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm.common import small_batches
+
 BUCKETS = 1 << 16
 DIMENSIONS = 16
 NGRAMS = (2, 3, 4)
@@ -197,6 +199,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 ["lang_pred", "score", "rejected"],
             )
 
+    small_batches(docs.sparkSession)
     guessed = F.arrow_udf(guess, schema)(F.col("text"))
     return docs.select(F.struct("*").alias("row"), guessed.alias("guess")).select("row", "guess.*")
 

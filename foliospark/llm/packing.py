@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from foliospark.llm.common import small_batches
 from foliospark.llm.tokens import WORD_BPE, encode_all, forget_words
 
 MAX_TOKENS = 2048
@@ -72,6 +73,7 @@ def pack(docs: DataFrame, tokenizer: str = WORD_BPE, max_tokens: int = MAX_TOKEN
         for n in list(buckets):
             yield written(n)
 
+    small_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(run, SCHEMA)
 
 

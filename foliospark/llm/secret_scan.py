@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.automaton import BREAK, Automaton
+from foliospark.llm.common import small_batches
 
 
 def _any_match(match: bytes) -> bool:
@@ -148,6 +149,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             rows = [[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in own] for own in spans]
             yield pa.array(rows, kind)
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.arrow_udf(scan, schema)(F.col("text")).alias("found"))
 
 

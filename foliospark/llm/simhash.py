@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import scratch, shuffles_cleaned, small_or_shuffled, stored
+from foliospark.llm.common import scratch, shuffles_cleaned, small_batches, small_or_shuffled, stored
 from foliospark.llm.components import components
 
 #: bit counts of each byte value, most significant bit first
@@ -78,6 +78,7 @@ def fingerprints(docs: DataFrame, size: int = 3, count: int = 1) -> DataFrame:
             names = [f.name for f in others]
             yield pa.record_batch([*(batch.column(c) for c in names), pa.array(fps, pa.list_(pa.int64()))], [*names, "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 
@@ -261,6 +262,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 found = shingle_set(word_hashes(text.as_py())).tobytes()
                 yield pa.record_batch([batch.column("key").slice(at, 1), pa.array([found], pa.binary())], ["key", "hashes"])
 
+    small_batches(docs.sparkSession)
     side = small_or_shuffled(wanted.select("key", F.col("sha").alias("wanted_sha")))
     texts = _with_sha(docs).join(side, F.col("sha") == F.col("wanted_sha"))
     return texts.select("key", "text").mapInArrow(run, "key bigint, hashes binary")
@@ -336,6 +338,7 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for text in batch.column("text"):
                 yield pa.record_batch([pa.array(shingle_set(word_hashes(text.as_py())))], ["token"])
 
+    small_batches(docs.sparkSession)
     every = max(1, docs.count() // SAMPLE_DOCS)
     some = docs.select("text").filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0))
     seen = some.mapInArrow(run, "token bigint").groupBy("token").count()

@@ -16,7 +16,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import stored
+from foliospark.llm.common import small_batches, stored
 from foliospark.llm.tokens import WORD_BPE, encode_all, forget_words
 
 #: The vocabulary's <|endoftext|>. Ids fit into 16 bits.
@@ -42,6 +42,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = WORD_BPE) ->
             yield pa.record_batch([pa.array(ids, pa.binary())], ["ids"])
         forget_words()
 
+    small_batches(docs.sparkSession)
     (
         docs.select("text")
         .mapInArrow(run, "ids binary")
