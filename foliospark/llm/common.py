@@ -18,7 +18,7 @@ BROADCAST_ROWS = 500_000
 
 
 #: Rows of whole texts that go to a Python worker at once.
-BATCH_ROWS = 1_000
+BATCH_ROWS = 500
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
