@@ -17,15 +17,18 @@ LOWER = UPPER.lower()
 BROADCAST_ROWS = 500_000
 
 
-#: Rows of whole texts that go to a Python worker at once.
+#: Rows of whole texts, and about as many bytes of them, that go to a Python worker at once. A longer text goes alone.
 BATCH_ROWS = 500
+BATCH_BYTES = 8 << 20
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lets Arrow batches have at most BATCH_ROWS rows, so that a batch of long texts fits into a worker."""
+    """Bounds Arrow batches by BATCH_ROWS and BATCH_BYTES, so that a batch of long texts fits into a worker."""
     if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
+    spark.conf.set(_BYTES, str(BATCH_BYTES))
 
 
 def small_or_shuffled(rows: DataFrame) -> DataFrame:

@@ -253,8 +253,15 @@ def near_rows(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
     )
 
 
+def _wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key, text of the texts in ``wanted`` (key and sha, every sha once); equal texts give equal rows."""
+    small_batches(docs.sparkSession)
+    side = small_or_shuffled(wanted.select("key", F.col("sha").alias("wanted_sha")))
+    return _with_sha(docs).join(side, F.col("sha") == F.col("wanted_sha")).select("key", "text")
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, hashes (a shingle set as bytes) of the texts in ``wanted`` (key and sha, every sha once); equal texts give equal rows."""
+    """key, hashes (a shingle set as bytes) of the texts in ``wanted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,10 +269,20 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 found = shingle_set(word_hashes(text.as_py())).tobytes()
                 yield pa.record_batch([batch.column("key").slice(at, 1), pa.array([found], pa.binary())], ["key", "hashes"])
 
-    small_batches(docs.sparkSession)
-    side = small_or_shuffled(wanted.select("key", F.col("sha").alias("wanted_sha")))
-    texts = _with_sha(docs).join(side, F.col("sha") == F.col("wanted_sha"))
-    return texts.select("key", "text").mapInArrow(run, "key bigint, hashes binary")
+    return _wanted_texts(docs, wanted).mapInArrow(run, "key bigint, hashes binary")
+
+
+def free_shingles(docs: DataFrame, wanted: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """key, all_free (the shingles that are not common, sorted) of the texts in ``wanted``."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, text in enumerate(batch.column("text")):
+                free = split_common(shingle_set(word_hashes(text.as_py())), shared.value)[0]
+                yield pa.record_batch([batch.column("key").slice(at, 1), _lists([free])], ["key", "all_free"])
+
+    return _wanted_texts(docs, wanted).mapInArrow(run, "key bigint, all_free array<bigint>")
 
 
 def candidate_links(own: DataFrame) -> DataFrame:
@@ -275,17 +292,19 @@ def candidate_links(own: DataFrame) -> DataFrame:
     keys of classes at most BAND_DISTANCE bits apart are paired along ``ball_links``. Similar pairs that these do not join
     are found by ``near_links``.
     """
-    members = own.select("key", F.explode("bands").alias("value"))
-    classes = stored(members.groupBy("value").agg(F.min("key").alias("first"), F.count("*").alias("n")), "band-classes")
-    several = classes.filter("n > 1").select(F.col("value").alias("shared"), "first")
-    within = members.join(several, F.col("value") == F.col("shared")).filter("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
-    links = stored(ball_links(classes.select(F.lit(0).alias("g"), "value"), "g", "value", BAND_BITS, BAND_DISTANCE), "band-links")
-    left = classes.select(F.col("value").alias("a"), F.col("first").alias("ka"))
-    right = classes.select(F.col("value").alias("b"), F.col("first").alias("kb"))
-    between = links.join(left, "a").join(right, "b").filter("ka <> kb").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
-    ends = within.unionByName(between).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    met = ends.groupBy("a", "b").agg(F.count("*").alias("bands"))
-    return met.groupBy("b").agg(F.max(F.struct("bands", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
+    with scratch(own.sparkSession) as block:
+        members = own.select("key", F.explode("bands").alias("value"))
+        classes = stored(members.groupBy("value").agg(F.min("key").alias("first"), F.count("*").alias("n")), "band-classes")
+        several = classes.filter("n > 1").select(F.col("value").alias("shared"), "first")
+        within = members.join(several, F.col("value") == F.col("shared")).filter("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+        links = stored(ball_links(classes.select(F.lit(0).alias("g"), "value"), "g", "value", BAND_BITS, BAND_DISTANCE), "band-links")
+        left = classes.select(F.col("value").alias("a"), F.col("first").alias("ka"))
+        right = classes.select(F.col("value").alias("b"), F.col("first").alias("kb"))
+        between = links.join(left, "a").join(right, "b").filter("ka <> kb").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+        ends = within.unionByName(between).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        met = ends.groupBy("a", "b").agg(F.count("*").alias("bands"))
+        best = met.groupBy("b").agg(F.max(F.struct("bands", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
+        return block.keep(stored(best, "near-pairs"))
 
 
 def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -306,19 +325,20 @@ def verified(pairs: DataFrame, docs: DataFrame, own: DataFrame, similarity: floa
             good = [_jaccard(np.frombuffer(p.as_buffer(), np.int64), np.frombuffer(q.as_buffer(), np.int64)) >= similarity for p, q in zip(x, y, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    met = stored(pairs.select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count("*").alias("met")), "pair-ends")
-    with_a = pairs.join(met.select(F.col("end").alias("a"), F.col("met").alias("ma")), "a")
-    both = with_a.join(met.select(F.col("end").alias("b"), F.col("met").alias("mb")), "b")
-    turned = F.col("ma") < F.col("mb")
-    wanted = stored(own.select("key", "sha").join(met, F.col("key") == F.col("end"), "left_semi"), "pair-texts")
-    sets = stored(shingle_sets(docs, wanted).dropDuplicates(["key"]), "pair-sets")
-    aimed = stored(both.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b")), "pairs-aimed")
-    first = sets.select(F.col("key").alias("b"), F.col("hashes").alias("xb"))
-    second = sets.select(F.col("key").alias("a"), F.col("hashes").alias("xa"))
-    half = stored(aimed.join(first, "b"), "pairs-with-set")
-    size_a, size_b = F.octet_length("xa"), F.octet_length("xb")
-    whole = half.join(second, "a").filter(F.least(size_a, size_b) >= F.lit(similarity) * F.greatest(size_a, size_b) - 1e-6)
-    return whole.select("a", "b", "xa", "xb").mapInArrow(run, "a bigint, b bigint")
+    with scratch(docs.sparkSession) as block:
+        met = stored(pairs.select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count("*").alias("met")), "pair-ends")
+        with_a = pairs.join(met.select(F.col("end").alias("a"), F.col("met").alias("ma")), "a")
+        both = with_a.join(met.select(F.col("end").alias("b"), F.col("met").alias("mb")), "b")
+        turned = F.col("ma") < F.col("mb")
+        wanted = stored(own.select("key", "sha").join(met, F.col("key") == F.col("end"), "left_semi"), "pair-texts")
+        sets = stored(shingle_sets(docs, wanted).dropDuplicates(["key"]), "pair-sets")
+        aimed = stored(both.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b")), "pairs-aimed")
+        first = sets.select(F.col("key").alias("b"), F.col("hashes").alias("xb"))
+        second = sets.select(F.col("key").alias("a"), F.col("hashes").alias("xa"))
+        half = stored(aimed.join(first, "b"), "pairs-with-set")
+        size_a, size_b = F.octet_length("xa"), F.octet_length("xb")
+        whole = half.join(second, "a").filter(F.least(size_a, size_b) >= F.lit(similarity) * F.greatest(size_a, size_b) - 1e-6)
+        return block.keep(stored(whole.select("a", "b", "xa", "xb").mapInArrow(run, "a bigint, b bigint"), "verified"))
 
 
 #: Shingles are ordered: those of few documents by hash, then those of HEAVY or more components, then the COMMON_SHINGLES most
@@ -351,12 +371,13 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _mixed_tokens(rows: DataFrame) -> DataFrame:
     """Of (token, key, n, component) the rows of tokens that documents of several components share, with members (how many)."""
-    mixed = stored(
-        rows.groupBy(F.col("token").alias("mixed")).agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members"))
-        .filter("x <> y").select("mixed", "members"),
-        "prefix-mixed",
-    )
-    return stored(rows.join(mixed, F.col("token") == F.col("mixed")).drop("mixed"), "prefix-open")
+    with scratch(rows.sparkSession) as block:
+        mixed = stored(
+            rows.groupBy(F.col("token").alias("mixed")).agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members"))
+            .filter("x <> y").select("mixed", "members"),
+            "prefix-mixed",
+        )
+        return block.keep(stored(rows.join(mixed, F.col("token") == F.col("mixed")).drop("mixed"), "prefix-open"))
 
 
 def _with_component(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -367,9 +388,10 @@ def _with_component(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _sized(links: DataFrame) -> DataFrame:
-    groups = components(links)
-    sizes = groups.groupBy(F.col("component").alias("sized")).agg(F.count("*").alias("size"))
-    return stored(groups.join(sizes, F.col("component") == F.col("sized")).drop("sized"), "near-components")
+    with scratch(links.sparkSession) as block:
+        groups = components(links)
+        sizes = groups.groupBy(F.col("component").alias("sized")).agg(F.count("*").alias("size"))
+        return block.keep(stored(groups.join(sizes, F.col("component") == F.col("sized")).drop("sized"), "near-components"))
 
 
 def prefixes(docs: DataFrame, own: DataFrame, groups: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -378,39 +400,33 @@ def prefixes(docs: DataFrame, own: DataFrame, groups: DataFrame, common: tuple[n
     Heavy shingles are told apart among the first 2 p free ones. Where fewer than p of these are light, though the
     document has more, its whole set is made again from the text.
     """
-    rows = _with_component(own.select("key", "n", "p", "free", "n_free", "known"), groups)
-    tokens = rows.select("key", "share", F.explode("free").alias("token"))
-    heavy = stored(tokens.groupBy("token").agg(F.sum("share").alias("weight")).filter(F.col("weight") >= HEAVY).withColumnRenamed("token", "heavy"), "heavy-shingles")
-    heavy = small_or_shuffled(heavy)
-    own_heavy = stored(
-        tokens.join(heavy, F.col("token") == F.col("heavy")).groupBy(F.col("key").alias("holder"))
-        .agg(F.sort_array(F.collect_list(F.struct("weight", "token"))).alias("held")),
-        "documents-with-heavy",
-    )
-    held = F.coalesce(F.transform("held", lambda h: h["token"]), F.array().cast("array<bigint>"))
-    marked = rows.join(own_heavy, F.col("key") == F.col("holder"), "left").select(
-        "key", "n", "p", "component", "n_free", "known", F.size("free").alias("n_seen"), F.array_except("free", held).alias("light"), held.alias("held")
-    )
-    short = (F.size("light") < F.col("p")) & (F.col("n_seen") < F.col("n_free"))
-    done = marked.filter(~short).select("key", "n", "component", F.slice(F.concat("light", "held", "known"), F.lit(1), F.col("p").cast("int")).alias("prefix"))
-    rest = stored(marked.filter(short).select("key", "n", "p", "component", "known"), "short-of-light")
-    if rest.isEmpty():
-        return done
-    wanted = stored(own.select("key", "sha").join(rest.select(F.col("key").alias("short_key")), F.col("key") == F.col("short_key"), "left_semi"), "short-texts")
-    shared = docs.sparkSession.sparkContext.broadcast(common)
-
-    def free_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [split_common(np.frombuffer(h.as_buffer(), np.int64), shared.value)[0] for h in batch.column("hashes")]
-            yield pa.record_batch([batch.column("key"), _lists(sets)], ["key", "all_free"])
-
-    whole = shingle_sets(docs, wanted).mapInArrow(free_of, "key bigint, all_free array<bigint>").dropDuplicates(["key"])
-    placed = whole.select(F.col("key").alias("of"), F.explode("all_free").alias("token")).join(heavy, F.col("token") == F.col("heavy"), "left")
-    order = placed.groupBy("of").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("weight", F.lit(0.0)).alias("weight"), "token"))).alias("ordered"))
-    remade = rest.join(order, F.col("key") == F.col("of")).select(
-        "key", "n", "component", F.slice(F.concat(F.transform("ordered", lambda t: t["token"]), "known"), F.lit(1), F.col("p").cast("int")).alias("prefix")
-    )
-    return done.unionByName(remade)
+    with scratch(docs.sparkSession) as block:
+        rows = _with_component(own.select("key", "n", "p", "free", "n_free", "known"), groups)
+        tokens = rows.select("key", "share", F.explode("free").alias("token"))
+        heavy = stored(tokens.groupBy("token").agg(F.sum("share").alias("weight")).filter(F.col("weight") >= HEAVY).withColumnRenamed("token", "heavy"), "heavy-shingles")
+        heavy = small_or_shuffled(heavy)
+        own_heavy = stored(
+            tokens.join(heavy, F.col("token") == F.col("heavy")).groupBy(F.col("key").alias("holder"))
+            .agg(F.sort_array(F.collect_list(F.struct("weight", "token"))).alias("held")),
+            "documents-with-heavy",
+        )
+        held = F.coalesce(F.transform("held", lambda h: h["token"]), F.array().cast("array<bigint>"))
+        marked = rows.join(own_heavy, F.col("key") == F.col("holder"), "left").select(
+            "key", "n", "p", "component", "n_free", "known", F.size("free").alias("n_seen"), F.array_except("free", held).alias("light"), held.alias("held")
+        )
+        short = (F.size("light") < F.col("p")) & (F.col("n_seen") < F.col("n_free"))
+        done = marked.filter(~short).select("key", "n", "component", F.slice(F.concat("light", "held", "known"), F.lit(1), F.col("p").cast("int")).alias("prefix"))
+        rest = stored(marked.filter(short).select("key", "n", "p", "component", "known"), "short-of-light")
+        if rest.isEmpty():
+            return block.keep(stored(done, "prefixes"))
+        wanted = stored(own.select("key", "sha").join(rest.select(F.col("key").alias("short_key")), F.col("key") == F.col("short_key"), "left_semi"), "short-texts")
+        whole = free_shingles(docs, wanted, common).dropDuplicates(["key"])
+        placed = whole.select(F.col("key").alias("of"), F.explode("all_free").alias("token")).join(heavy, F.col("token") == F.col("heavy"), "left")
+        order = placed.groupBy("of").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("weight", F.lit(0.0)).alias("weight"), "token"))).alias("ordered"))
+        remade = rest.join(order, F.col("key") == F.col("of")).select(
+            "key", "n", "component", F.slice(F.concat(F.transform("ordered", lambda t: t["token"]), "known"), F.lit(1), F.col("p").cast("int")).alias("prefix")
+        )
+        return block.keep(stored(done.unionByName(remade), "prefixes"))
 
 
 def _near_size(x: str, y: str) -> Column:
@@ -422,23 +438,25 @@ def hub_pairs(members: DataFrame, links: DataFrame, turn: int) -> DataFrame:
 
     A token's hub is its document of most links in the first turn, any one in later turns.
     """
-    large = members.filter(F.col("members") > LARGE_CLASS).select("token", "key", "n", "component")
-    if turn:
-        ranked = large.withColumn("rank", F.xxhash64("key", F.lit(turn)))
-    else:
-        ends = links.select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count("*").alias("rank"))
-        ranked = large.join(ends, F.col("key") == F.col("end"), "left").select("token", "key", "n", "component", F.coalesce("rank", F.lit(0)).alias("rank"))
-    ranked = stored(ranked, "prefix-large")
-    hubs = stored(
-        ranked.groupBy(F.col("token").alias("hub_token")).agg(F.max(F.struct("rank", "key", "n", "component")).alias("hub")), "prefix-hubs"
-    )
-    met = (
-        ranked.join(hubs, F.col("token") == F.col("hub_token"))
-        .filter((F.col("component") != F.col("hub.component")) & _near_size("n", "hub.n"))
-        .groupBy("key", F.col("hub.key").alias("hub")).agg(F.count("*").alias("tokens"))
-    )
-    best = met.groupBy("key").agg(F.max(F.struct("tokens", "hub")).alias("best"))
-    return best.select(F.least("key", "best.hub").alias("a"), F.greatest("key", "best.hub").alias("b")).distinct()
+    with scratch(members.sparkSession) as block:
+        large = members.filter(F.col("members") > LARGE_CLASS).select("token", "key", "n", "component")
+        if turn:
+            ranked = large.withColumn("rank", F.xxhash64("key", F.lit(turn)))
+        else:
+            ends = links.select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count("*").alias("rank"))
+            ranked = large.join(ends, F.col("key") == F.col("end"), "left").select("token", "key", "n", "component", F.coalesce("rank", F.lit(0)).alias("rank"))
+        ranked = stored(ranked, "prefix-large")
+        hubs = stored(
+            ranked.groupBy(F.col("token").alias("hub_token")).agg(F.max(F.struct("rank", "key", "n", "component")).alias("hub")), "prefix-hubs"
+        )
+        met = (
+            ranked.join(hubs, F.col("token") == F.col("hub_token"))
+            .filter((F.col("component") != F.col("hub.component")) & _near_size("n", "hub.n"))
+            .groupBy("key", F.col("hub.key").alias("hub")).agg(F.count("*").alias("tokens"))
+        )
+        best = met.groupBy("key").agg(F.max(F.struct("tokens", "hub")).alias("best"))
+        pairs = best.select(F.least("key", "best.hub").alias("a"), F.greatest("key", "best.hub").alias("b")).distinct()
+        return block.keep(stored(pairs, "prefix-hub-pairs"))
 
 
 def prefix_pairs(members: DataFrame) -> DataFrame:
@@ -447,45 +465,49 @@ def prefix_pairs(members: DataFrame) -> DataFrame:
     They share as many prefix shingles as similarity asks for: what the prefixes do not share can only
     come from the rest of the set whose prefix ends first.
     """
-    main = stored(members.groupBy(F.col("token").alias("main_token")).agg(F.mode("component").alias("main")), "prefix-main")
-    rows = stored(
-        members.join(main, F.col("token") == F.col("main_token")).select("token", "key", "n", "component", (F.col("component") == F.col("main")).alias("in_main")),
-        "prefix-rows",
-    )
-    # the documents of a token's largest component meet only those outside it
-    left = rows.filter("not in_main").select("token", F.col("key").alias("ka"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = rows.select("token", F.col("key").alias("kb"), F.col("n").alias("nb"), F.col("component").alias("cb"), "in_main")
-    met = left.join(right, "token").filter((F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("ka") < F.col("kb"))) & _near_size("na", "nb"))
-    counted = met.select(
-        F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), F.least("na", "nb").alias("x"), F.greatest("na", "nb").alias("y")
-    ).groupBy("a", "b", "x", "y").agg(F.count("*").alias("shared"))
-    rest = F.floor(F.round(F.lit(SIMILARITY) * F.col("y"), 6) + 1)  # no set has more after its prefix
-    return counted.filter(F.col("shared") + rest >= SIMILARITY / (1 + SIMILARITY) * (F.col("x") + F.col("y")) - 1e-6).select("a", "b")
-
-
-def near_links(docs: DataFrame, own: DataFrame, links: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    with scratch(members.sparkSession) as block:
+        main = stored(members.groupBy(F.col("token").alias("main_token")).agg(F.mode("component").alias("main")), "prefix-main")
+        rows = stored(
+            members.join(main, F.col("token") == F.col("main_token")).select("token", "key", "n", "component", (F.col("component") == F.col("main")).alias("in_main")),
+            "prefix-rows",
+        )
+        # the documents of a token's largest component meet only those outside it
+        left = rows.filter("not in_main").select("token", F.col("key").alias("ka"), F.col("n").alias("na"), F.col("component").alias("ca"))
+        right = rows.select("token", F.col("key").alias("kb"), F.col("n").alias("nb"), F.col("component").alias("cb"), "in_main")
+        met = left.join(right, "token").filter((F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("ka") < F.col("kb"))) & _near_size("na", "nb"))
+        counted = met.select(
+            F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), F.least("na", "nb").alias("x"), F.greatest("na", "nb").alias("y")
+        ).groupBy("a", "b", "x", "y").agg(F.count("*").alias("shared"))
+        rest = F.floor(F.round(F.lit(SIMILARITY) * F.col("y"), 6) + 1)  # no set has more after its prefix
+        pairs = counted.filter(F.col("shared") + rest >= SIMILARITY / (1 + SIMILARITY) * (F.col("x") + F.col("y")) - 1e-6).select("a", "b")
+        return block.keep(stored(pairs, "prefix-pairs"))
+
+
+def near_links(docs: DataFrame, own: DataFrame, links: DataFrame, prefixed: DataFrame) -> DataFrame:
     """Links that join, with ``links``, exactly the documents that chains of similar pairs join.
 
-    A prefix-filter join over shingles: two sets of a Jaccard similarity of at least SIMILARITY share
+    ``prefixed`` has the ``prefixes``, with the components of the links. A prefix-filter join over shingles: two sets of a Jaccard similarity of at least SIMILARITY share
     a shingle of their prefixes, so every such pair meets at a token. Only pairs that the links found so
     far do not join yet are compared; none of these is left out. In groups of many copies most are joined by comparing each with
     a hub, in turns, before the rest is compared pair by pair.
     """
-    groups = _sized(links)
-    rows = stored(prefixes(docs, own, groups, common), "prefixes")
-    members = _mixed_tokens(rows.select("key", "n", "component", F.explode("prefix").alias("token")))
-    turn, fresh = 0, True
-    while fresh:  # as long as a tenth of the hubs are similar
-        tried = stored(hub_pairs(members, links, turn), "prefix-hub-pairs")
-        found = stored(verified(tried, docs, own), "prefix-hub-links")
-        fresh = found.count() > tried.count() / 10
-        if not found.isEmpty():
-            links = stored(links.unionByName(found), "prefix-links")
-            again = _with_component(members.drop("component", "members"), _sized(links)).drop("share")
-            members = _mixed_tokens(stored(again, "prefix-labelled"))
-        turn += 1
-    pairs = stored(prefix_pairs(members), "prefix-pairs")
-    return links if pairs.isEmpty() else stored(links.unionByName(verified(pairs, docs, own)), "prefix-links")
+    with scratch(docs.sparkSession) as block:
+        members = _mixed_tokens(prefixed.select("key", "n", "component", F.explode("prefix").alias("token")))
+        turn, fresh = 0, True
+        while fresh:  # as long as a tenth of the hubs are similar
+            tried = hub_pairs(members, links, turn)
+            found = verified(tried, docs, own)
+            fresh = found.count() > tried.count() / 10
+            if not found.isEmpty():
+                links = stored(links.unionByName(found), "prefix-links")
+                again = stored(_with_component(members.drop("component", "members"), _sized(links)).drop("share"), "prefix-labelled")
+                block.drop(members)
+                members = _mixed_tokens(again)
+                block.drop(again)
+            turn += 1
+        pairs = prefix_pairs(members)
+        block.drop(members)
+        return block.keep(links if pairs.isEmpty() else stored(links.unionByName(verified(pairs, docs, own)), "prefix-links"))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -496,13 +518,17 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """
     with scratch(docs.sparkSession) as block:
         common = common_shingles(docs)
-        rows = stored(near_rows(docs, common), "near-rows")
+        wide = stored(near_rows(docs, common), "near-rows")
+        rows = stored(wide.select("key", "id", "sha"), "near-keys")
         texts = rows.groupBy(F.col("sha").alias("text_sha")).agg(F.min("key").alias("first"), F.count("*").alias("n_rows"))
         repeated = stored(texts.filter("n_rows > 1"), "near-repeated")
         again = rows.join(repeated, F.col("sha") == F.col("text_sha")).filter("key <> first").select(F.col("key").alias("again"))
-        own = rows if repeated.isEmpty() else rows.join(stored(again, "near-again"), F.col("key") == F.col("again"), "left_anti")
-        pairs = stored(candidate_links(own), "near-pairs")
-        links = near_links(docs, own, stored(verified(pairs, docs, own), "near-links"), common)
+        again = None if repeated.isEmpty() else stored(again, "near-again")
+        once, own = (t if again is None else t.join(again, F.col("key") == F.col("again"), "left_anti") for t in (wide, rows))
+        links = verified(candidate_links(once), docs, own)
+        prefixed = prefixes(docs, once, _sized(links), common)
+        block.drop(wide)
+        links = near_links(docs, own, links, prefixed)
         groups = components(links)
         grouped = stored(groups.join(own.select("key", "sha"), F.col("node") == F.col("key")).select("component", F.col("sha").alias("group_sha")), "near-grouped")
         named = rows.select("id", "sha").join(grouped, F.col("sha") == F.col("group_sha")).select("component", "id", "sha")
