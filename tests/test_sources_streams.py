@@ -1,9 +1,11 @@
 """File sources and streams on small fixtures."""
 
 import zipfile
+from pathlib import Path
 
 import pytest
 
+from foliospark import session
 from foliospark.sources import files
 from foliospark.streaming import events
 
@@ -84,3 +86,15 @@ def test_empty_files_bundles_and_members(spark, tmp_path):
     assert [(r["member"], r["size"]) for r in files.archive_members(spark, root).collect()] == [("q/one.txt", 5)]
     (tmp_path / "m.json").write_text('[{"id": "a", "v": 1}, {"id": "b", "v": 2}]')
     assert [r["v"] for r in files.manifest_entry(spark, f"{root}/m.json", "b").collect()] == [2]
+
+
+def test_shared_dir_without_a_setting(spark):
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        conf, sparkContext = Conf(), spark.sparkContext
+
+    first = session.shared_dir(Session())
+    assert Path(first).is_dir() and session.shared_dir(Session()) == first
