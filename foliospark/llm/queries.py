@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import chat, decontam, exact_dedup, langid, packing, pii, secret_scan, simhash, token_scan, warc
+from foliospark.llm import chat, decontam, exact_dedup, filter_audit, langid, packing, pii, secret_scan, simhash, token_scan, warc
 from foliospark.llm.common import new_path
 from foliospark.session import table
 
@@ -64,6 +64,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of five filters over all documents, by language."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -77,6 +82,7 @@ QUERIES = {
         op8_decontamination,
         op9_language_id,
         op10_warc,
+        op13_filter_audit,
     )
 }
 ORACLES = {
@@ -116,4 +122,38 @@ ORACLES = {
                case when payload_bytes < 1000 or page_id = first_id then 'response' else 'revisit' end as record_type,
                case when payload_bytes < 1000 or page_id = first_id then null else first_id end as refers_to
         from grouped""",
+    "op13_filter_audit": r"""
+        with d as (select doc_id, coalesce(text, '') as t, coalesce(lang, '') as part from documents),
+        w as (select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from d),
+        f as (
+          select doc_id, part, len(ws) < 100 as a, 100 * len(list_distinct(ws)) < 80 * len(ws) as b,
+                 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) as c,
+                 regexp_matches(t, '[#$%&*|]') as d, doc_id > min(doc_id) over (partition by t) as e
+          from w),
+        m as (
+          select part, a::int + 2 * b::int + 4 * c::int + 8 * d::int + 16 * coalesce(e, false)::int as s, count(*) as n,
+                 count(*) filter (doc_id in (select doc_id from labels where quality = 1)) as g,
+                 count(*) filter (doc_id in (select doc_id from labels where toxic = 1)) as x
+          from f group by all),
+        l as (select unnest(['A', 'B', 'C', 'D', 'E']) as c),
+        o as (
+          select p.c || q.c || r.c || u.c || v.c as filter_order
+          from l p, l q, l r, l u, l v
+          where len(list_distinct([p.c, q.c, r.c, u.c, v.c])) = 5),
+        k as (
+          select filter_order, step, 1 << (ascii(filter_order[step]) - 65) as own,
+                 list_sum(list_transform(range(0, step), lambda i: case when i = 0 then 0 else 1 << (ascii(filter_order[i]) - 65) end)) as before
+          from o, (select unnest([1, 2, 3, 4, 5]) as step)),
+        z as (
+          select part, filter_order, step, own,
+                 coalesce(sum(n) filter (s & (before | own) = 0), 0)::bigint as kept,
+                 coalesce(sum(n) filter (s & own <> 0 and s & before = 0), 0)::bigint as removed,
+                 coalesce(sum(n) filter (s & own <> 0 and s & before <> 0), 0)::bigint as redundant,
+                 coalesce(sum(n) filter (s = own), 0)::bigint as unique_fails,
+                 coalesce(sum(g) filter (s & own <> 0 and s & before = 0), 0)::bigint as good_lost,
+                 coalesce(sum(x) filter (s & own <> 0 and s & before = 0), 0)::bigint as toxic_lost
+          from m, (select *, before::bigint as b0 from k) group by part, filter_order, step, own)
+        select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               (sum(removed) over (partition by part, own))::bigint as shapley
+        from z""",
 }
