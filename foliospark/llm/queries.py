@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import chat, decontam, exact_dedup, filter_audit, langid, packing, pii, secret_scan, simhash, token_scan, warc
+from foliospark.llm import chat, decontam, exact_dedup, filter_audit, langid, packing, pii, secret_scan, simhash, token_scan, warc, whitening
 from foliospark.llm.common import new_path
 from foliospark.session import table
 
@@ -64,6 +64,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on their eight principal components, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit of five filters over all documents, by language."""
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -82,6 +87,7 @@ QUERIES = {
         op8_decontamination,
         op9_language_id,
         op10_warc,
+        op12_whitening,
         op13_filter_audit,
     )
 }
