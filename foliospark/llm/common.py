@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.session import new_path, scratch, shared_dir, shuffles_cleaned, stored
 
-__all__ = ["ascii_lower", "new_path", "running_totals", "scratch", "shared_dir", "shuffles_cleaned", "small_batches", "small_or_shuffled", "stored"]
+__all__ = ["ascii_lower", "file_at", "new_path", "running_totals", "scratch", "shared_dir", "shuffles_cleaned", "small_batches", "small_or_shuffled", "stored"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -36,6 +39,14 @@ def small_or_shuffled(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
+def file_at(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path that Spark's URI of a file names."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), unquote("/" + rest.lstrip("/"))
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Texts of one byte a character take the fast built-in path."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import chat, decontam, exact_dedup, filter_audit, langid, packing, pii, secret_scan, simhash, token_scan, warc, whitening
+from foliospark.llm import chat, decontam, exact_dedup, filter_audit, langid, packing, pii, secret_scan, simhash, token_archive, token_scan, warc, whitening
 from foliospark.llm.common import new_path
 from foliospark.session import table
 
@@ -64,6 +64,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token ids, written to range-coded files and read back."""
+    path = new_path(spark, "token-archive")
+    token_archive.write_archive(table(spark, sf_dir, "documents"), path)
+    return token_archive.read_archive(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings on their eight principal components, whitened."""
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
@@ -87,6 +94,7 @@ QUERIES = {
         op8_decontamination,
         op9_language_id,
         op10_warc,
+        op11_token_output,
         op12_whitening,
         op13_filter_audit,
     )

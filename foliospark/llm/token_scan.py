@@ -8,15 +8,13 @@ scan over block summaries stitches documents that span blocks.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import small_batches, stored
+from foliospark.llm.common import file_at, small_batches, stored
 from foliospark.llm.tokens import WORD_BPE, encode_all, forget_words
 
 #: The vocabulary's <|endoftext|>. Ids fit into 16 bits.
@@ -53,14 +51,6 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = WORD_BPE) ->
     )
 
 
-def _at(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system and path that Spark's URI of a file names."""
-    scheme, _, rest = path.partition(":")
-    if scheme == "file":
-        return fs.LocalFileSystem(), unquote("/" + rest.lstrip("/"))
-    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
-
-
 def _blocks(spark: SparkSession, path: str, width: int, size: int) -> DataFrame:
     """path, block, length (of the file) of all blocks, dealt to tasks regardless of the file they are from."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "length").filter("length > 0")
@@ -89,7 +79,7 @@ def scan_token_files(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, block, length in zip(*(batch.column(c).to_pylist() for c in ("path", "block", "length")), strict=True):
-                store, name = _at(file)
+                store, name = file_at(file)
                 with store.open_input_file(name) as f:
                     raw = f.read_at(min(size, length - block * size), block * size)
                 cuts = np.flatnonzero(np.frombuffer(raw, dtype) == end_id).astype(np.int64)

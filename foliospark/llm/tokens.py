@@ -7,6 +7,7 @@ import re
 import struct
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import public_tokenizers
 
 # a task has one core; the library's own threads would only contend for it
@@ -15,12 +16,15 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer  # noqa: E402
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 #: Distinct words, and parts of words, that a worker remembers; when full it starts anew. Longer ones are not remembered.
 KNOWN_WORDS = 1 << 17
 KNOWN_PARTS = 1 << 19
 KNOWN_BYTES = 64
+#: Words that an encoder of a byte-level vocabulary remembers, some 200 bytes each.
+KNOWN_WORDS_BYTE = 1 << 20
 
 # The vocabulary's own contractions, and the letters for which its normaliser does no more than lower-case.
 _PLAIN = "a-z\u00df-\u00f6\u00f8-\u017f"
@@ -83,6 +87,76 @@ class WordEncoder:
         return b"".join(map(self.known.__getitem__, text.encode().split())) if text else b""
 
 
+class ByteEncoder:
+    """``Tokenizer.encode(text, add_special_tokens=False).ids`` of a byte-level vocabulary of at most 65,536 ids, as little-endian 16-bit integers.
+
+    The pre-tokenizer begins a piece at each space that stands before anything but white space, so the ids of a text are
+    those of its words, each with the space before it, and a word met before need not be encoded again. The new words of a batch go to the
+    library in one text. Texts with other spaces or with a special token's string go to it whole. What is remembered outlives a task: most
+    words come again in the next.
+    """
+
+    def __init__(self, path: str = BYTE_BPE):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        coded = self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False)
+        ids = np.array(coded.ids, "<u2").tobytes()
+        starts = np.fromiter((start for start, _ in coded.offsets), np.int64)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64) + 1)
+        cuts = [0, *(2 * np.searchsorted(starts, ends)).tolist()]
+        self.words.update(zip(words, map(ids.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
+
+    def _splits(self, text: str) -> bool:
+        return not any(s in text for s in self.special)
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.words) > KNOWN_WORDS_BYTE:
+            self.words.clear()
+        known = self.words.get
+        coded: list[bytes] = []
+        open_texts: list[tuple[int, list[str], list[bytes | None]]] = []
+        new: set[str] = set()
+        for text in texts:
+            if not text or not self._splits(text):
+                coded.append(self._whole(text) if text else b"")
+                continue
+            first, *words = text.split(" ")
+            ids = list(map(known, words))
+            if None in ids:
+                new.update(w for w, i in zip(words, ids) if i is None)
+                open_texts.append((len(coded), words, ids))
+            ids.insert(0, self._whole(first) if first else b"")
+            coded.append(text if None in ids else b"".join(ids))
+        odd = {w for w in new if not w or w[0].isspace()}
+        if learn := list(new - odd):
+            self._learn(learn)
+        for at, words, ids in open_texts:
+            if odd and not odd.isdisjoint(words):
+                coded[at] = self._whole(coded[at])
+            else:
+                coded[at] = ids[0] + b"".join(map(self.words.__getitem__, words))
+        for word in learn:
+            if len(word) > KNOWN_BYTES:
+                del self.words[word]
+        return coded
+
+
+_BYTE_ENCODERS: dict[str, ByteEncoder] = {}
+
+
+def encode_bytes(texts: list[str | None], path: str = BYTE_BPE) -> list[bytes]:
+    """The ids of each text by a byte-level vocabulary; the worker process's encoder outlives a task."""
+    if path not in _BYTE_ENCODERS:
+        _BYTE_ENCODERS[path] = ByteEncoder(path)
+    return _BYTE_ENCODERS[path].encode_batch(texts)
+
+
 _ENCODERS: dict[tuple[str, str, bool], WordEncoder] = {}
 
 
