@@ -99,18 +99,19 @@ class ByteEncoder:
     def __init__(self, path: str = BYTE_BPE):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token[0] == chr(_BYTE_LETTERS[0x20])]] = True
         self.words: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        coded = self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False)
-        ids = np.array(coded.ids, "<u2").tobytes()
-        starts = np.fromiter((start for start, _ in coded.offsets), np.int64)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64) + 1)
-        cuts = [0, *(2 * np.searchsorted(starts, ends)).tolist()]
-        self.words.update(zip(words, map(ids.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
+        """Every word stands after a space and holds none, so its ids begin where a token begins with a space."""
+        coded = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u2")
+        cuts = [*(2 * np.flatnonzero(self.spaced[coded])).tolist(), 2 * len(coded)]
+        self.words.update(zip(words, map(coded.tobytes().__getitem__, map(slice, cuts, cuts[1:])), strict=True))
 
     def _splits(self, text: str) -> bool:
         return not any(s in text for s in self.special)
