@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,54 +104,6 @@ def split_paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(*others, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "line_text"))
 
 
-def _layers(items: pd.DataFrame) -> list:
-    """Order of one sequence: layers of items whose neighbours before are out, each layer by id."""
-    ids = [tuple(x) for x in zip(items["p1"], items["p2"], strict=True)]
-    known, after, waits = set(ids), {i: set() for i in ids}, {i: 0 for i in ids}
-
-    def before(a: tuple, b: tuple) -> None:
-        if a in known and b in known and b not in after[a]:
-            after[a].add(b)
-            waits[b] += 1
-
-    for own, l1, l2, r1, r2 in zip(ids, items["left_p1"], items["left_p2"], items["right_p1"], items["right_p2"], strict=True):
-        before((l1, l2), own)
-        before(own, (r1, r2))
-    ready, order = sorted(i for i in ids if not waits[i]), []
-    while ready:
-        order.extend(ready)
-        found = []
-        for i in ready:
-            for j in after[i]:
-                waits[j] -= 1
-                if not waits[j]:
-                    found.append(j)
-        ready = sorted(found)
-    if len(order) != len(known):
-        raise ValueError("the sequence has a cycle")
-    return order
-
-
-def sequence_order(items: DataFrame) -> DataFrame:
-    """seq_id, p1, p2, place: items (with left and right neighbour ids) in replicated-sequence order.
-
-    Unknown neighbours are the sequence's ends; a cycle fails. A sequence is one page's text or group and fits
-    into a task; many sequences run in parallel.
-    """
-
-    def run(one: pd.DataFrame) -> pd.DataFrame:
-        order = _layers(one)
-        return pd.DataFrame({
-            "seq_id": one["seq_id"].iloc[0], "p1": [i[0] for i in order], "p2": [i[1] for i in order], "place": range(len(order)),
-        })
-
-    chosen = items.selectExpr(
-        "cast(seq_id as bigint) seq_id", "cast(p1 as int) p1", "cast(p2 as bigint) p2",
-        *[f"coalesce(cast({c} as bigint), -1) {c}" for c in ("left_p1", "left_p2", "right_p1", "right_p2")],
-    ).dropDuplicates(["seq_id", "p1", "p2"])
-    return chosen.groupBy("seq_id").applyInPandas(run, "seq_id bigint, p1 int, p2 bigint, place int")
-
-
 def compare_pages(a: DataFrame, b: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Pages of two sets of documents, side by side: doc_id, page, ratio of differing cells, same_text and match.
 

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.ink import points_box
-from foliospark.operators.pages import paragraph_positions, sequence_order
+from foliospark.operators.pages import paragraph_positions
+from foliospark.operators.sequences import sequence_order
 from foliospark.session import scratch, stored
 from foliospark.sources.pagefile import decoded_glyph, decoded_line
 
@@ -80,12 +81,18 @@ def group_offsets(blocks: DataFrame, anchors: DataFrame | None = None) -> DataFr
 
 
 def strokes(blocks: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
-    """page, block, item, parent, dx, dy, stroke, points (moved by their group's offset) of all lines on the root's tree."""
-    lines = checked_items(blocks).filter("kind = 'line'")
-    drawn = lines.select("page", "block", "item", "parent", decoded_line(F.col("value"), F.col("current_version")).alias("stroke"))
-    at = group_offsets(blocks, anchors).select(F.col("page").alias("gp"), F.col("node").alias("gn"), "dx", "dy")
-    moved = F.transform("stroke.points", lambda p: p.withField("x", p["x"] + F.col("dx")).withField("y", p["y"] + F.col("dy")))
-    return drawn.join(at, (F.col("page") == F.col("gp")) & (F.col("parent") == F.col("gn"))).select("page", "block", "item", "parent", "dx", "dy", "stroke", moved.alias("points"))
+    """page, block, item, parent, dx, dy, stroke, points (moved by their group's offset) of all lines on the root's tree.
+
+    The blocks are stored once: groups, checks and strokes each read them, and files are decoded a single time.
+    """
+    with scratch(blocks.sparkSession) as block:
+        blocks = stored(blocks, "scene-blocks")
+        lines = checked_items(blocks).filter("kind = 'line'")
+        drawn = lines.select("page", "block", "item", "parent", decoded_line(F.col("value"), F.col("current_version")).alias("stroke"))
+        at = group_offsets(blocks, anchors).select(F.col("page").alias("gp"), F.col("node").alias("gn"), "dx", "dy")
+        moved = F.transform("stroke.points", lambda p: p.withField("x", p["x"] + F.col("dx")).withField("y", p["y"] + F.col("dy")))
+        placed = drawn.join(at, (F.col("page") == F.col("gp")) & (F.col("parent") == F.col("gn")))
+        return block.keep(placed.select("page", "block", "item", "parent", "dx", "dy", "stroke", moved.alias("points")))
 
 
 def highlights(blocks: DataFrame, anchors: DataFrame | None = None) -> DataFrame:

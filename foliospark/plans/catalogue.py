@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import ink, markdown, text
-from foliospark.operators import pages, scene, sync, tree, usage
+from foliospark.operators import pages, scene, sequences, sync, tree, usage
 from foliospark.session import table
 from foliospark.sources import pagefile, pagewriter
 from foliospark.streaming import events as streams
@@ -379,7 +379,7 @@ def crdt_order(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv_id").alias("seq_id"), F.lit(1).alias("p1"), F.col("turn").alias("p2"), F.lit(1).alias("left_p1"), (F.col("turn") - 1).alias("left_p2"),
         F.lit(None).alias("right_p1"), F.lit(None).alias("right_p2"),
     )
-    return pages.sequence_order(own).drop("p1")
+    return sequences.sequence_order(own).drop("p1")
 
 
 @query("""with l as (select conv_id, turn, case turn % 4 + 1 when 1 then 70 when 2 then 150 else 35 end as h from conversations)

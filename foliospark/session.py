@@ -28,6 +28,7 @@ def build_session(app: str = "foliospark", cpus: str | int = "*", shuffle: int =
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEM", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", os.environ.get("SPARK_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="foliospark-"))
         .getOrCreate()
     )
 
@@ -95,11 +96,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file set in any store that Spark writes to."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _roots(df: DataFrame) -> set[str]:
+    """The folders that a DataFrame's scans start from, by the plan alone: no file is listed."""
+    found, leaves = set(), df._jdf.queryExecution().analyzed().collectLeaves().iterator()
+    while leaves.hasNext():
+        leaf = leaves.next()
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            paths = leaf.relation().location().rootPaths().iterator()
+            while paths.hasNext():
+                found.add(paths.next().getName())
+    return found
+
+
 class Scratch:
     """The tables of one ``scratch`` block."""
 
@@ -107,8 +121,8 @@ class Scratch:
         self.spark, self.paths = spark, paths
 
     def _read_by(self, df: DataFrame) -> list[str]:
-        files = df.inputFiles()
-        return [p for p in self.paths if any(f"/{p.rsplit('/', 1)[-1]}/" in f for f in files)]
+        read = _roots(df)
+        return [p for p in self.paths if p.rsplit("/", 1)[-1] in read]
 
     def keep(self, df: DataFrame) -> DataFrame:
         """``df``; the tables it reads outlive the block and then belong to the block around it."""
@@ -122,7 +136,7 @@ class Scratch:
         """Delete the tables that these DataFrames read, before the block ends."""
         for path in {p for df in done for p in self._read_by(df)}:
             self.paths.remove(path)
-            _delete(self.spark, path)
+            delete_path(self.spark, path)
 
 
 @contextmanager
@@ -135,4 +149,4 @@ def scratch(spark: SparkSession) -> Iterator[Scratch]:
     finally:
         _OPEN.reset(token)
         for path in block.paths:
-            _delete(spark, path)
+            delete_path(spark, path)

@@ -192,6 +192,10 @@ def blocks_of(content: bytes) -> Iterator[dict]:
         number += 1
 
 
+#: Blocks that go back to Spark together; a file's blocks stay together.
+BATCH_BLOCKS = 4096
+
+
 def page_blocks(files: DataFrame, keys: list[str], content: str = "bytes") -> DataFrame:
     """The ``keys`` of each file and one row per block (``BLOCKS``), in file order by ``block``. Null contents have no blocks."""
     chosen = files.select(*keys, F.col(content).alias("_content")).filter("_content is not null")
@@ -201,11 +205,15 @@ def page_blocks(files: DataFrame, keys: list[str], content: str = "bytes") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found: list[dict] = []
             for row in batch.to_pylist():
                 data = row.pop("_content")
-                found = [row | b for b in blocks_of(data)]
-                if found:
+                found += [row | b for b in blocks_of(data)]
+                if len(found) >= BATCH_BLOCKS:
                     yield pa.RecordBatch.from_pylist(found, schema=arrow)
+                    found = []
+            if found:
+                yield pa.RecordBatch.from_pylist(found, schema=arrow)
 
     return chosen.mapInArrow(run, f"{kinds}, {BLOCKS}")
 
@@ -221,24 +229,32 @@ def _marker(v: Values) -> int | None:
     return int.from_bytes(bytes([left[4], left[3], left[2], left[5]]), "big", signed=True) if len(left) == 6 and left[:2] in _MARKS else None
 
 
-def line_of(value: bytes, version: int) -> dict:
-    """A stroke. Points of version 1 are floats and are scaled, those of version 2 are stored as they are."""
+_POINT_NAMES = ("x", "y", "speed", "direction", "width", "pressure")
+
+
+def line_of(value: bytes, version: int) -> tuple[tuple, np.ndarray]:
+    """A stroke: tool, color, thickness, starting_length and marker, and its points, a row for each.
+
+    Points of version 1 are floats and are scaled, those of version 2 are stored as they are.
+    """
     v = Values(memoryview(value))
-    row = {"tool": v.number(1), "color": v.number(2), "thickness": v.number(3, "d"), "starting_length": v.number(4, "f")}
+    head = (v.number(1), v.number(2), v.number(3, "d"), v.number(4, "f"))
     if version not in _POINT:
         raise Broken(f"unknown point version {version}")
     raw = v.inner(5).rest()
     kind = _POINT[version]
     if len(raw) % kind.itemsize:
         raise Broken("not a whole number of points")
-    p = {n: np.frombuffer(raw, kind)[n].astype(np.float64) for n in kind.names}
+    read = np.frombuffer(raw, kind)
+    points = np.column_stack([read[n].astype(np.float64) for n in _POINT_NAMES])
     if version == 1:
-        p |= {"speed": p["speed"] * 4, "direction": 255 * p["direction"] / (2 * np.pi), "width": np.floor(p["width"] * 4 + 0.5), "pressure": p["pressure"] * 255}
+        points *= (1, 1, 4, 1, 4, 255)
+        points[:, 3] = 255 * points[:, 3] / (2 * np.pi)
+        points[:, 4] = np.floor(points[:, 4] + 0.5)
     for index in (6, 7):
         if v.has(index, ID):
             v.id(index)
-    names = ("x", "y", "speed", "direction", "width", "pressure")
-    return row | {"marker": _marker(v), "points": [dict(zip(names, q, strict=True)) for q in zip(*(p[n].tolist() for n in names), strict=True)]}
+    return (*head, _marker(v)), points
 
 
 GLYPH = "struct<start:bigint,length:bigint,color:int,text:string,marker:int,boxes:array<struct<x:double,y:double,w:double,h:double>>>"
@@ -262,9 +278,18 @@ _ARROWS = {
 
 
 def _lines(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    kinds = {f.name: f.type for f in _ARROWS[LINE]}
+    nothing = ((None,) * 5, np.zeros((0, len(_POINT_NAMES))))
     for values, versions in batches:
         pairs = zip(values.to_pylist(), versions.to_pylist(), strict=True)
-        yield pa.array([None if value is None else line_of(value, version) for value, version in pairs], _ARROWS[LINE])
+        found = [nothing if value is None else line_of(value, version) for value, version in pairs]
+        heads = [pa.array([h[k] for h, _ in found], kinds[name]) for k, name in enumerate(("tool", "color", "thickness", "starting_length", "marker"))]
+        points = np.concatenate([p for _, p in found] or [nothing[1]])
+        columns = [pa.array(np.ascontiguousarray(points[:, k])) for k in range(len(_POINT_NAMES))]
+        ends = np.cumsum([0, *[len(p) for _, p in found]], dtype=np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, fields=list(_POINT_ARROW)))
+        gone = values.is_null()
+        yield pa.StructArray.from_arrays([*heads, lists], fields=list(_ARROWS[LINE]), mask=gone)
 
 
 def _glyph_or_none(value: bytes | None) -> dict | None:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions import ink, text
-from foliospark.operators import pages, sync, tree, usage
+from foliospark.operators import pages, sequences, sync, tree, usage
 
 SCHEMA = "id string, parent_id string, name string, type string"
 ROWS = [
@@ -102,11 +102,11 @@ def test_sequence_order(spark):
         (4, 2, 30, None, None, 2, 31), (4, 2, 31, 2, 30, 3, 1), (4, 3, 1, 2, 31, None, None), (4, 2, 40, 2, 30, 2, 31), (4, 1, 99, 2, 30, 2, 31),
         (5, 1, 1, 8, 8, 8, 9), (5, 1, 2, 1, 1, None, None),
     ]
-    found = pages.sequence_order(spark.createDataFrame(rows, schema)).orderBy("seq_id", "place").collect()
+    found = sequences.sequence_order(spark.createDataFrame(rows, schema)).orderBy("seq_id", "place").collect()
     assert [(r["p1"], r["p2"]) for r in found] == [(2, 30), (1, 99), (2, 40), (2, 31), (3, 1), (1, 1), (1, 2)]
     loop = spark.createDataFrame([(1, 1, 1, 1, 2, None, None), (1, 1, 2, 1, 1, None, None)], schema)
     with pytest.raises(Exception, match="cycle"):
-        pages.sequence_order(loop).collect()
+        sequences.sequence_order(loop).collect()
 
 
 def test_page_joins(spark):
