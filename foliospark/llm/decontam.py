@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, units after numbers, and names (capitalised words inside a sentence) become typed
-placeholders, windows of the resulting template are hashed, and the hashes of documents and
+Numbers, units after numbers, and names (capitalised words, at the start of a sentence too, since
+nothing tells the names there from other words) become typed placeholders, windows of the resulting template are hashed, and the hashes of documents and
 benchmark items are joined. Where a window is shared, the values in its slots are compared: a
 re-parameterised question replaces each value by one other value throughout. DataFrame
 functions only.
@@ -9,8 +9,6 @@ functions only.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +36,7 @@ def template_words(text: Column) -> Column:
     """The text's words in lower case, slot words behind a mark of their type."""
     # each pattern begins with a plain character class, so that it fails at once at most characters
     marked = F.regexp_replace(text, rf"[0-9](?<![{_WORD}].)[0-9]*+(?:[.,][0-9]+)*+", _NUMBER + "$0")
-    marked = F.regexp_replace(marked, rf"\p{{Lu}}(?<=[{_WORD},;] .)\p{{Ll}}++(?![{_WORD}])", _NAME + "$0")
+    marked = F.regexp_replace(marked, rf"\p{{Lu}}(?<![{_WORD}].)\p{{Ll}}++(?![{_WORD}])", _NAME + "$0")
     marked = F.regexp_replace(marked, rf"([0-9] ?)({_UNITS})(?![{_WORD}])", "$1 " + _UNIT + "$2")
     marked = F.regexp_replace(marked, r"[.,](?:(?![0-9])|(?<![0-9].))", " ")
     # names in a row are one name
@@ -215,18 +213,8 @@ def shared_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _consistent(slots: Column) -> Column:
-    """Whether each item value has one document value.
-
-    Different item values may have the same one, but three or more values of a type that all
-    become one value are no re-parameterised question.
-    """
-    values = lambda side, own: F.size(F.array_distinct(F.transform(own, lambda p: p[side])))
-
-    def levelled(mark: str) -> Column:
-        own = F.filter(slots, lambda p: F.substring(p["i"], 1, 1) == mark)
-        return (values("i", own) >= 3) & (values("d", own) == 1)
-
-    return (values("i", slots) == F.size(slots)) & ~reduce(Column.__or__, [levelled(m) for m in _MARKS])
+    """Whether each item value has one document value. Different item values may have the same one."""
+    return F.size(F.array_distinct(F.transform(slots, lambda p: p["i"]))) == F.size(slots)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

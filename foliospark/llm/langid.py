@@ -11,7 +11,6 @@ goes to the executors (BUCKETS * languages floats: 256 KB a language, however ma
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +33,6 @@ RATE = 0.5
 UNKNOWN = "und"
 REJECT_BELOW = 0.5
 
-_LETTER = re.compile(r"[^\W\d_]")
 _BLANK = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 _PAD = max(NGRAMS)
 _SLICE_CELLS = 1 << 22
@@ -50,6 +48,11 @@ class Model:
     scores: np.ndarray
 
 
+def has_letter(text: str | None) -> bool:
+    """Digits and number signs in any script, marks and punctuation are no letters."""
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def _buffer(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The texts' lower-cased bytes between blanks, and where each begins."""
     parts = [b" " + t.lower().encode().translate(_BLANK) + b" " * _PAD for t in texts]
@@ -126,7 +129,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
         words = text.split()
         at = int(rng.integers(0, max(1, len(words) - 10)))
         short = " ".join(words[at : at + int(rng.integers(2, 25))])
-        seen += [(k % 10 == 9, *_features(t), number[lang]) for t in (text, short) if _LETTER.search(t)]
+        seen += [(k % 10 == 9, *_features(t), number[lang]) for t in (text, short) if has_letter(t)]
     emb = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
     out = np.zeros((DIMENSIONS, len(languages)))
     fit = [s for s in seen if not s[0]]
@@ -186,7 +189,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         extended = np.hstack([own.scores, np.ones((BUCKETS, 1), np.float32)])
         for batch in texts:
             found = batch.to_pylist()
-            named = [i for i, t in enumerate(found) if t and _LETTER.search(t)]
+            named = [i for i, t in enumerate(found) if has_letter(t)]
             langs, scores = [UNKNOWN] * len(found), np.zeros(len(found))
             for part in _parts(named, found):
                 sums = class_sums([found[i] for i in part], extended)

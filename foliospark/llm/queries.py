@@ -110,12 +110,14 @@ ORACLES = {
         from norm window w as (partition by text_sha256)""",
     "op6_chat": """
         with t as (
-          select conv_id, turn, coalesce(role, 'unknown') as r, coalesce(text, '') as x from conversations),
+          select conv_id, turn, coalesce(role, 'unknown') as r, coalesce(text, '') as x,
+                 coalesce('c' || conv_id, 'row' || row_number() over ()) as own
+          from conversations),
         c as (
-          select conv_id, list(sha256(r) || sha256(x) order by turn) as hs,
+          select min(conv_id) as conv_id, list(sha256(r) || sha256(x) order by turn) as hs,
                  list('<|start|>' || replace(r, '<|', '< |') || chr(10) || replace(x, '<|', '< |')
                       || '<|end|>' || chr(10) order by turn) as parts
-          from t group by conv_id),
+          from t group by own),
         k as (
           select conv_id, hs, array_to_string(hs, '|') as whole, len(hs) as n_turns,
                  array_to_string(parts, '') as chat
@@ -124,7 +126,7 @@ ORACLES = {
           select distinct array_to_string(hs[1:i], '|') as whole from k, unnest(range(1, n_turns)) as u(i)),
         g as (
           select whole, min(conv_id) as conv_id, max(n_turns) as n_turns, count(*) as n_copies,
-                 arg_min(chat, conv_id) as chat
+                 any_value(chat) as chat
           from k group by whole)
         select conv_id, n_turns, n_copies, chat from g where whole not in (select whole from shorter)""",
     "op10_warc": """

@@ -204,9 +204,9 @@ def test_reparameterised_question(spark):
     docs = spark.createDataFrame([(1, item), (2, other), (3, "Nothing of that kind is said in this text at all, not once."), (4, None), (5, wrong)], "doc_id bigint, text string")
     bench = spark.createDataFrame([(7, item), (8, None)], "item_id bigint, text string")
     found = {r["doc_id"]: r for r in decontam.contaminated(docs, bench).collect()}
-    assert set(found) == {1, 2}
-    assert found[1]["verbatim"] and not found[2]["verbatim"]
-    assert sorted(r["doc_id"] for r in decontam.keep_clean(docs, bench).collect()) == [3, 4, 5]
+    assert set(found) == {1, 2, 5}  # values that all become one are reported too
+    assert found[1]["verbatim"] and not found[2]["verbatim"] and found[5]["n_changed"] > found[2]["n_changed"] - 2
+    assert sorted(r["doc_id"] for r in decontam.keep_clean(docs, bench).collect()) == [3, 4]
 
 
 def test_values_that_meet_and_one_altered_number(spark):

@@ -4,11 +4,12 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from test_brute_force import kept_by_brute_force
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from foliospark.llm import decontam, exact_dedup, langid, packing, pii, secret_scan, token_scan, tokens, warc
+from foliospark.llm import chat, decontam, exact_dedup, langid, packing, pii, secret_scan, token_scan, tokens, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string"
@@ -108,23 +109,48 @@ def test_keep_exact(spark):
     assert exact_dedup.keep_exact(docs.limit(0)).count() == 0
 
 
-def moved_item(text, rng):
-    """The item with all numbers and names within its sentences replaced."""
-    names = ("Ida", "Otto Lamb", "Zoe")
-    text = re.sub(r"[0-9]+", lambda m: str(rng.randrange(2, 90)), text)
-    return re.sub(r"(?<=[a-z] )(Alice|Bob|Carol|Dave|Emma|Tom|Anna|Ben|Sara|Maria)\b", lambda m: rng.choice(names), text)
+NAMES = "Alice Bob Carol Dave Emma Tom Anna Ben Sara Maria Ida Otto Zoe Nils Ruth Hugo".split()
+FRAMES = {
+    "numbers": ["a farmer sold {#} crates of pears on market day and {#} more the week after so how many crates were left of {#}", "if {#} pipes fill the old tank then {#} pipes need less time to fill it up"],
+    "units": ["the train went {#} km in {#} hours and later it went {#} km more before stopping", "each bag held {#} kg of rice and was carried over {#} meters to the river bank"],
+    "names inside": ["on the way home {N} gave {N} a small red kite and a long piece of string", "we know that {N} is older than {N} but not as old as the teacher thinks"],
+    "names first": ["{N} has {#} apples. {N} has {#} pears. {N} has {#} plums. How many fruits?", "{N} walks {#} miles to school. {N} walks only half as far as that. Who is first?"],
+}
+
+
+def filled(frame, rng):
+    """The frame with values for its slots, and the same with other values for all of them."""
+    first, second = frame, frame
+    names = rng.sample(NAMES, 2 * frame.count("{N}"))
+    numbers = rng.sample(range(2, 900), 2 * frame.count("{#}"))
+    for mark, values in (("{N}", names), ("{#}", numbers)):
+        for k in range(0, len(values), 2):
+            first, second = first.replace(mark, str(values[k]), 1), second.replace(mark, str(values[k + 1]), 1)
+    return first, second
 
 
 def test_reparameterised_benchmark(spark):
+    """240 items that all hold numbers, units or names; every value is replaced. Each item has words of its own besides the frame."""
     rng = random.Random(11)
-    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").select("item_id", "text")
-    items = [(r["item_id"], r["text"]) for r in bench.orderBy("item_id").limit(150).collect()]
-    rows = [(i, f"We read on. {moved_item(t, rng)} So it went.") for i, t in items]
+    syllables = "ka lo mi nu ra se to vi be du".split()
+    word = lambda: "".join(rng.choices(syllables, k=3))
+    items, docs, kinds = [], [], {}
+    for k in range(240):
+        kind = list(FRAMES)[k % 4]
+        # a third of the frame's common words are the item's own
+        frame = " ".join(w if "{" in w or not w.isalpha() or rng.random() < 0.67 else word() for w in rng.choice(FRAMES[kind]).split())
+        item, moved = filled(frame, rng)
+        items.append((k, item))
+        kinds[k] = kind
+        docs.append((k, f"We read on today. {moved} So it went, they say."))
     vocabulary = sorted({w for _, t in items for w in t.split()})
-    rows += [(10_000 + k, " ".join(rng.choice(vocabulary) for _ in range(120))) for k in range(150)]  # the items' words in no order
-    found = {r["doc_id"] for r in decontam.contaminated(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
-    assert sum(i in found for i, _ in items) / len(items) >= 0.9
-    assert not [i for i in found if i >= 10_000]
+    docs += [(10_000 + k, " ".join(rng.choice(vocabulary) for _ in range(120))) for k in range(240)]  # the items' words and values in no order
+    found = decontam.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    hit = {(r["doc_id"], r["item_id"]) for r in found}
+    for kind in FRAMES:
+        own = [k for k in kinds if kinds[k] == kind]
+        assert sum((k, k) in hit for k in own) / len(own) >= 0.9, kind
+    assert not [d for d, _ in hit if d >= 10_000]
 
 
 def test_names_in_a_row_are_one_slot(spark):
@@ -172,3 +198,32 @@ def test_pipeline(spark):
     for r in corpus_pipeline.run(spark, SF).collect():
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
     assert got == want and len(want) < docs.count()
+
+
+@pytest.mark.parametrize("text", ["½ ² ①", "Ⅷ 12", "٣ ٤", "_ -", "́", " \n"])
+def test_no_letter_has_no_language(spark, text):
+    """Number signs in any script are no letters."""
+    learned = [(k, "the house and the garden of a friend", "en", "s", 1) for k in range(40)]
+    docs = spark.createDataFrame([*learned, (100, text, None, "s", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    row = langid.identify(docs).filter("doc_id = 100").first()
+    assert (row["lang_pred"], row["score"], row["rejected"]) == ("und", 0.0, True)
+    assert langid.keep_identified(docs).filter("doc_id = 100").count() == 0
+
+
+def test_turns_without_a_conversation(spark):
+    """Each is a conversation of its own: a copy, the beginning of another, or maximal."""
+    rows = [(1, 0, "u", "a"), (1, 1, "v", "b"), (None, 0, "u", "a"), (None, 5, "u", "x"), (None, 9, "u", "x"), (None, 1, None, None), (2, 0, "u", "z"), (None, 0, "u", "z")]
+    got = {(r["conv_id"], r["n_turns"], r["n_copies"], r["chat"].count("<|start|>")) for r in chat.render(spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")).collect()}
+    assert got == {(1, 2, 1, 2), (None, 1, 2, 1), (None, 1, 1, 1), (2, 1, 2, 1)}
+
+
+def test_many_turns_and_many_without_a_conversation(spark):
+    """A conversation of 50,000 turns, its beginnings, and a third of all rows without an id."""
+    turn = F.col("id").cast("int").alias("turn")
+    said = [F.lit("u").alias("role"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text")]
+    long = spark.range(50_000).select(F.lit(1).cast("bigint").alias("conv_id"), turn, *said)
+    short = spark.range(300).select(F.lit(2).cast("bigint").alias("conv_id"), turn, *said)
+    loose = spark.range(25_000).select(F.lit(None).cast("bigint").alias("conv_id"), turn, F.lit("w").alias("role"), F.concat(F.lit("x"), (F.col("id") % 7).cast("string")).alias("text"))
+    got = chat.render(long.unionByName(short).unionByName(loose)).select("conv_id", "n_turns", "n_copies", F.length("chat").alias("n")).collect()
+    assert {(r["conv_id"], r["n_turns"]) for r in got} == {(1, 50_000), (None, 1)} and len(got) == 8
+    assert sum(r["n_copies"] for r in got) == 25_001
