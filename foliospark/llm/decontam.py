@@ -17,6 +17,8 @@ from foliospark.llm.common import scratch, stored
 WINDOW = 8
 #: A window with fewer literal words says too little without its slot values.
 LEAST_LITERAL = 4
+#: Windows of a size and kind that has at most so many are picked out inside each text's row, those of other kinds by the join.
+RARE_WINDOWS = 256
 #: Up to this many benchmark windows (some 200 bytes each) they are broadcast, beyond it shuffled.
 BROADCAST_WINDOWS = 200_000
 #: Up to this many keys of matched documents (32 bytes each) they are broadcast, beyond it the texts are shuffled.
@@ -139,19 +141,27 @@ def _item_windows(benchmark: DataFrame) -> DataFrame:
     return found
 
 
-def _described(windows: Column, size: int, raw: bool) -> Column:
-    return F.transform(windows, lambda w, i: F.struct(F.lit(size).alias("size"), F.lit(raw).alias("raw"), i.alias("at"), w.alias("window")))
+def _window_key(window: Column, size: Column, raw: Column) -> Column:
+    """One number for a window and its kind, so that windows of all kinds join by a single long."""
+    return window.bitwiseXOR(F.xxhash64(size, raw))
 
 
-def all_windows(rows: DataFrame, kinds: list[tuple[int, bool]]) -> DataFrame:
-    """``rows`` with ``hashes`` and ``raw_hashes`` (one a word) replaced by one row per window of each kind: size, raw, at, window.
+def _described(windows: Column, size: int, raw: bool, rare: list[int] | None) -> Column:
+    """array<struct<at, key>> of the windows; of a rare kind only those that are looked for."""
+    described = F.transform(windows, lambda w, i: F.struct(i.alias("at"), _window_key(w, F.lit(size), F.lit(raw)).alias("key")))
+    return described if rare is None else F.filter(described, lambda w: w["key"].isin(rare))
 
-    The windows of all kinds grow from the same doubled ones, so that a text is templated and read once.
+
+def all_windows(rows: DataFrame, kinds: list[tuple[int, bool, list[int] | None]]) -> DataFrame:
+    """``rows`` with ``hashes`` and ``raw_hashes`` (one a word) replaced by one row per window of each kind: at, key.
+
+    The windows of all kinds grow from the same doubled ones, so that a text is templated and read once. A kind comes with the keys that are
+    looked for if they are few: then no other window of it leaves the text's row.
     """
     others = [c for c in rows.columns if c not in ("hashes", "raw_hashes")]
     found = []
     for flag, source, name in ((False, "hashes", "t"), (True, "raw_hashes", "r")):
-        sizes = [size for size, raw in kinds if raw == flag]
+        sizes = {size: rare for size, raw, rare in kinds if raw == flag}
         if not sizes:
             continue
         rows = rows.withColumn(f"{name}1", F.transform(source, lambda h: F.xxhash64(h)))
@@ -159,11 +169,11 @@ def all_windows(rows: DataFrame, kinds: list[tuple[int, bool]]) -> DataFrame:
         while 2 * width <= max(sizes):
             rows = rows.withColumn(f"{name}{2 * width}", _joined(F.col(f"{name}{width}"), width))
             width *= 2
-        for size in sizes:
+        for size, rare in sizes.items():
             base = 1 << (size.bit_length() - 1)
             own = F.col(f"{name}{base}")
             windows = own if base == size else _joined(own, size - base)
-            found.append(_described(windows, size, flag))
+            found.append(_described(windows, size, flag, rare))
     return rows.select(*others, F.explode(F.concat(*found)).alias("w")).select(*others, "w.*")
 
 
@@ -180,8 +190,13 @@ def _same_words(pair: Column, raw: Column) -> Column:
 
 def shared_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_key, doc_id, item_id, doc_at, item_at, doc_words, item_words of all shared windows, in one pass over the documents."""
-    items = stored(_item_windows(benchmark), "item-windows")
-    kinds = sorted((r["size"], r["raw"]) for r in items.select("size", "raw").distinct().collect())
+    items = stored(_item_windows(benchmark).withColumn("key", _window_key(F.col("window"), F.col("size"), F.col("raw"))), "item-windows")
+    counted = items.groupBy("size", "raw").agg(F.count("*").alias("n")).collect()
+    few_keys = items.join(F.broadcast(items.groupBy("size", "raw").count().filter(F.col("count") <= RARE_WINDOWS)), ["size", "raw"], "left_semi")
+    listed: dict[tuple[int, bool], set[int]] = {(r["size"], r["raw"]): set() for r in counted if r["n"] <= RARE_WINDOWS}
+    for r in few_keys.select("size", "raw", "key").collect():  # RARE_WINDOWS a kind at most
+        listed[r["size"], r["raw"]].add(r["key"])
+    kinds = sorted(((*k, sorted(listed[k]) if k in listed else None) for k in ((r["size"], r["raw"]) for r in counted)), key=lambda k: k[:2])
     few = items.count() <= BROADCAST_WINDOWS
     found_words = template_words(F.coalesce("text", F.lit("")))
     words = docs.select("doc_id", _text_key().alias("doc_key"), found_words.alias("words"))
@@ -192,11 +207,8 @@ def shared_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             "doc_key", "doc_id", F.lit(None).cast("bigint").alias("item_id"), F.lit(0).alias("doc_at"),
             F.lit(0).alias("item_at"), F.array().cast(empty).alias("doc_words"), F.array().cast(empty).alias("item_words"),
         )
-    placed = all_windows(own, kinds).select(
-        "doc_id", "doc_key", F.col("at").alias("doc_at"), F.col("window").alias("doc_window"), F.col("size").alias("doc_size"), F.col("raw").alias("doc_raw")
-    )
-    same = (F.col("doc_window") == F.col("window")) & (F.col("doc_size") == F.col("size")) & (F.col("doc_raw") == F.col("raw"))
-    found = placed.join(F.broadcast(items) if few else items, same).drop("doc_window", "window", "doc_size", "doc_raw")
+    placed = all_windows(own, kinds).select("doc_id", "doc_key", F.col("at").alias("doc_at"), F.col("key").alias("sought"))
+    found = placed.join(F.broadcast(items) if few else items, F.col("sought") == F.col("key")).drop("sought", "key", "window")
     # windows are matched by hash; only the documents with a match are read again, and their words compared
     hits = stored(found, "window-hits")
     matched = stored(hits.select(F.col("doc_key").alias("hit_key")).distinct(), "hit-keys")
