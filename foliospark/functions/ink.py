@@ -19,6 +19,12 @@ RGB = [
 ]
 # Alpha of the shader colours, of 255.
 SHADER_ALPHA = {20: 64, 21: 115, 22: 128, 23: 77, 24: 102, 25: 128, 26: 115, 27: 102}
+# Colours by the red, green, blue and alpha bytes of a marker.
+MARKED = {
+    (255, 237, 117, 255): 14, (190, 234, 254, 255): 15, (242, 158, 255, 255): 16, (255, 195, 140, 255): 17, (172, 255, 133, 255): 18,
+    (199, 199, 198, 255): 19, (33, 30, 28, 64): 20, (254, 178, 0, 115): 21, (192, 127, 210, 128): 22, (48, 74, 224, 77): 23,
+    (194, 49, 50, 102): 24, (145, 218, 113, 128): 25, (250, 231, 25, 115): 26, (116, 210, 232, 102): 27,
+}
 SCALE = 72 / 226
 
 
@@ -46,6 +52,12 @@ def rgb(color: Column, highlight: bool = False) -> Column:
     return F.when(color.between(0, len(RGB) - 1), F.get(table, color.cast("int"))).otherwise(F.array(*[F.lit(x) for x in unknown]))
 
 
+def marked_color(color: Column, marker: Column) -> Column:
+    """The colour that a marker (its four bytes as one signed int) names; ``color`` without one or with an unknown one."""
+    pairs = [F.lit(v) for rgba, c in MARKED.items() for v in (int.from_bytes(bytes(rgba), "big", signed=True), c)]
+    return F.coalesce(F.element_at(F.create_map(*pairs), marker.cast("int")), color.cast("int"))
+
+
 def points_box(points: Column, pad: float = 0.0) -> Column:
     """struct<min_x, min_y, max_x, max_y> of an array of points with x and y; null if there are none."""
     side = lambda f, c: f(F.transform(points, lambda p: p[c]))

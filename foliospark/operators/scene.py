@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions.ink import points_box
+from foliospark.functions.ink import marked_color, points_box
 from foliospark.operators.pages import paragraph_positions
 from foliospark.operators.sequences import sequence_order
 from foliospark.session import scratch, stored
@@ -26,6 +26,11 @@ def _root() -> Column:
     return F.struct(F.lit(ROOT[0]).alias("p1"), F.lit(ROOT[1]).cast("bigint").alias("p2"))
 
 
+def _coloured(decoded: Column) -> Column:
+    """A decoded stroke or highlight with the colour that its marker names."""
+    return decoded.withField("color", marked_color(decoded["color"], decoded["marker"]))
+
+
 def groups(blocks: DataFrame) -> DataFrame:
     """page, node, parent, anchor, origin_x of every group: its place in the tree is that of the item that shows it."""
     known = blocks.filter("type = 1 and not malformed").select("page", "node").distinct()
@@ -88,7 +93,7 @@ def strokes(blocks: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     with scratch(blocks.sparkSession) as block:
         blocks = stored(blocks, "scene-blocks")
         lines = checked_items(blocks).filter("kind = 'line'")
-        drawn = lines.select("page", "block", "item", "parent", decoded_line(F.col("value"), F.col("current_version")).alias("stroke"))
+        drawn = lines.select("page", "block", "item", "parent", _coloured(decoded_line(F.col("value"), F.col("current_version"))).alias("stroke"))
         at = group_offsets(blocks, anchors).select(F.col("page").alias("gp"), F.col("node").alias("gn"), "dx", "dy")
         moved = F.transform("stroke.points", lambda p: p.withField("x", p["x"] + F.col("dx")).withField("y", p["y"] + F.col("dy")))
         placed = drawn.join(at, (F.col("page") == F.col("gp")) & (F.col("parent") == F.col("gn")))
@@ -97,7 +102,7 @@ def strokes(blocks: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
 
 def highlights(blocks: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     """page, block, item, glyph, boxes (moved) and box (around them) of all highlights on the root's tree."""
-    found = blocks.filter("kind = 'glyph' and not malformed").select("page", "block", "item", "parent", decoded_glyph(F.col("value")).alias("glyph")).filter("glyph is not null")
+    found = blocks.filter("kind = 'glyph' and not malformed").select("page", "block", "item", "parent", _coloured(decoded_glyph(F.col("value"))).alias("glyph")).filter("glyph is not null")
     at = group_offsets(blocks, anchors).select(F.col("page").alias("gp"), F.col("node").alias("gn"), "dx", "dy")
     boxes = F.transform("glyph.boxes", lambda r: r.withField("x", r["x"] + F.col("dx")).withField("y", r["y"] + F.col("dy")))
     moved = found.join(at, (F.col("page") == F.col("gp")) & (F.col("parent") == F.col("gn"))).select("page", "block", "item", "glyph", boxes.alias("boxes"))
