@@ -113,7 +113,9 @@ def file_version(header: Column) -> Column:
 
 def block_name(kind: Column) -> Column:
     # Names of the block types that are decoded.
-    names = {1: "scene_tree", 2: "tree_node", 3: "glyph", 4: "group", 5: "line", 6: "text", 7: "root_text", 8: "tombstone"}
+    names = {
+        0: "migration_info", 1: "scene_tree", 2: "tree_node", 3: "glyph", 4: "group", 5: "line", 6: "text", 7: "root_text", 8: "tombstone", 10: "page_info",
+    }
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), kind.cast("int")), F.lit("other"))
 
 
@@ -138,6 +140,10 @@ def shape_points(kind: Column, shape: Column) -> Column:
 
 
 def page_letters(i: Column) -> Column:
-    """Sort keys of pages by their place from 0: ``ba``, ``bb`` and so on to ``bz``, then ``ca``."""
+    """Sort keys of pages by their place from 0: ``ba``, ``bb`` and so on to ``bz``, then ``ca``.
+
+    Behind ``zz`` come ``za`` to ``zz`` again, and page 676 begins anew with ``ba``; a place below 0 is ``ba``.
+    """
     letter = lambda n: F.chr(F.lit(97) + n.cast("int"))
-    return F.concat(letter(F.floor(i / 26) + 1), letter(i % 26))
+    at = F.greatest(i, F.lit(0)) % 676
+    return F.concat(letter(F.least(F.floor(at / 26) + 1, F.lit(25))), letter(at % 26))

@@ -202,3 +202,19 @@ def anchor_positions(blocks: DataFrame) -> DataFrame:
     ends = F.array(*[F.struct(F.lit(a).alias("p1"), F.lit(b).cast("bigint").alias("p2")) for a, b in END_ANCHORS])
     fixed = blocks.select("page").distinct().select("page", F.explode(ends).alias("anchor"), F.lit(END_ANCHOR_Y).alias("y"))
     return own.unionByName(fixed)
+
+
+def exported(drawn: DataFrame) -> DataFrame:
+    """page, drawing: the strokes of each page in order as JSON of the drawing language, one layer, for another compile.
+
+    Only strokes, those of fewer than two points are left out, every width is 1; tool and colour are their numbers as text. A page
+    whose strokes are all left out has an empty layer. A page is one drawing, so its strokes meet in one row.
+    """
+    points = F.transform("points", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    style = F.struct(F.col("stroke.tool").cast("string").alias("tool"), F.col("stroke.color").cast("string").alias("color"), F.lit(1).alias("width"))
+    item = F.when(F.size("points") >= 2, F.struct(F.lit("stroke").alias("kind"), style.alias("stroke"), points.alias("points")))
+    listed = F.transform(F.array_sort(F.collect_list(F.when(item.isNotNull(), F.struct("block", item.alias("item"))))), lambda x: x["item"])
+    # The canvas of a drawing.
+    canvas = F.struct(F.lit("rm_screen_v6").alias("space"), F.lit(1404).alias("width"), F.lit(1872).alias("height"))
+    layer = F.struct(F.lit("strokes").alias("name"), F.col("items"))
+    return drawn.groupBy("page").agg(listed.alias("items")).select("page", F.to_json(F.struct(canvas.alias("canvas"), F.array(layer).alias("layers"))).alias("drawing"))
