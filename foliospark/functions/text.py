@@ -143,7 +143,20 @@ def extension_allowed(path: Column, allowed: list[str]) -> Column:
 
 
 def ensure_pdf(name: Column) -> Column:
-    return F.when(F.lower(name).endswith(".pdf"), name).otherwise(F.concat(name, F.lit(".pdf")))
+    bare = F.trim(name, F.lit(_SPACE))
+    return F.when(F.lower(bare).endswith(".pdf"), bare).otherwise(F.concat(bare, F.lit(".pdf")))
+
+
+def pdf_name(path: Column, total: int, override: str = "") -> Column:
+    """The name of a Markdown file's PDF: its own stem, or an override, which only one file may have and which is a bare name."""
+    wanted = override.strip()
+    if not wanted:
+        return F.concat(F.regexp_replace(base_name(path), r"\.[^.]*$", ""), F.lit(".pdf"))
+    if total != 1:
+        raise ValueError("a name is valid for one file only")
+    if "/" in wanted or "\\" in wanted:
+        raise ValueError("a name may not contain path separators")
+    return ensure_pdf(F.lit(wanted))
 
 
 def without_front_matter(text: Column) -> Column:
@@ -185,9 +198,34 @@ def is_remote_target(target: Column) -> Column:
     return F.lower(F.trim(target)).rlike("^(?:https?://|data:)")
 
 
+# The pattern of a mermaid fence, its body the group.
+MERMAID = "(?s)```mermaid\\s*\\n(.*?)\\n\\s*```"
+
+
 def mermaid_blocks(text: Column) -> Column:
     """The bodies of mermaid fences, in order."""
-    return F.regexp_extract_all(text, F.lit("(?s)```mermaid\\s*\\n(.*?)\\n\\s*```"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(MERMAID), F.lit(1))
+
+
+def mermaid_pictures(text: Column, prefix: str = "", width: str = "") -> Column:
+    """struct<text, pictures>: mermaid fences as pictures below ./images, and what is to be drawn (number, name, source).
+
+    Fences are numbered from 1; an empty one has a number too, but stays in the text and is not drawn. Null is empty.
+    """
+    own = F.coalesce(text, F.lit(""))
+    whole = F.regexp_extract_all(own, F.lit(MERMAID), F.lit(0))
+
+    def block(body: Column, i: Column) -> Column:
+        name = F.concat(F.lit(f"{prefix}mermaid-"), F.lpad((i + 1).cast("string"), F.greatest(F.lit(3), F.length((i + 1).cast("string"))), F.lit("0")), F.lit(".png"))
+        return F.struct((i + 1).alias("number"), name.alias("name"), F.trim(body, F.lit(_SPACE)).alias("source"))
+
+    found = F.transform(mermaid_blocks(own), block)
+    size = f"{{width={width}}}" if width else ""
+    shown = lambda b: F.concat(F.lit("![mermaid diagram "), b["number"].cast("string"), F.lit("](./images/"), b["name"], F.lit(")" + size))
+    put = F.zip_with(whole, found, lambda old, b: F.when(b["source"] == "", old).otherwise(shown(b)))
+    between = F.split(own, MERMAID, -1)
+    joined = F.array_join(F.zip_with(between, F.concat(put, F.array(F.lit(""))), lambda plain, new: F.concat(plain, new)), "")
+    return F.struct(joined.alias("text"), F.filter(found, lambda b: b["source"] != "").alias("pictures"))
 
 
 def text_counts(text: Column) -> Column:

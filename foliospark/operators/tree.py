@@ -65,7 +65,9 @@ def cycles(entries: DataFrame) -> DataFrame:
 
 
 def children(walked: DataFrame, parent_id: str) -> DataFrame:
-    return walked.filter(F.col("parent_id") == parent_id)
+    """The entries of a folder, folders first, then by lower-case name; the trash is none of them."""
+    own = walked.filter((F.col("parent_id") == parent_id) & (F.col("id") != TRASH))
+    return own.orderBy(F.col("is_dir").desc(), F.lower("name"), "id")
 
 
 def subtree(walked: DataFrame, top_id: str) -> DataFrame:
@@ -172,15 +174,16 @@ def delete_outcome(plan: DataFrame, remaining: DataFrame) -> DataFrame:
 
 
 def create_folder(entries: DataFrame, parent_id: str, new_id: str, name: str) -> DataFrame:
-    """Adds a folder; a blank name or one with slashes fails, so does a name its siblings have."""
-    if not name.strip() or "/" in name or "\\" in name:
+    """Adds a folder, its name trimmed; a blank name, one with slashes, one that a sibling has, and a parent that is no folder fail."""
+    name = name.strip()
+    if not name or "/" in name or "\\" in name:
         raise ValueError("a folder needs a name without slashes")
-    taken = F.max((F.col("parent_id") == parent_id) & (F.col("name") == name))
-    checked = entries.agg(taken.alias("taken")).select(
-        F.when(F.col("taken"), F.raise_error(F.lit("name is taken")).cast("string")).otherwise(F.lit(new_id)).alias("id"),
-        F.lit(parent_id).alias("parent_id"), F.lit(name).alias("name"), F.lit(FOLDER).alias("type"),
-    )
-    return entries.unionByName(checked, allowMissingColumns=True)
+    if parent_id != ROOT and entries.filter((F.col("id") == parent_id) & (F.col("type") == FOLDER)).isEmpty():
+        raise ValueError(f"not a directory: {parent_id}")
+    if _taken(entries, new_id, parent_id, name):
+        raise ValueError(f"the name is taken: {name}")
+    made = entries.sparkSession.createDataFrame([(new_id, parent_id, name, FOLDER)], "id string, parent_id string, name string, type string")
+    return entries.unionByName(made, allowMissingColumns=True)
 
 
 def _taken(entries: DataFrame, entry_id: str, parent_id: str, name: str) -> bool:

@@ -64,11 +64,12 @@ def bundle_inputs(spark: SparkSession, paths: list[str]) -> DataFrame:
         found = one if found is None else found.unionByName(one)
     if found is None:
         return spark.createDataFrame([], "place long, abs_path string, title string, text string")
-    order = [F.col("ordinal"), F.lower("title"), F.col("abs_path")]
-    once = found.withColumn("nth", F.row_number().over(Window.partitionBy("abs_path").orderBy("ordinal"))).filter("nth = 1")
-    # one row an argument or file of a bundle, which is one document
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long")
-    return once.select(place.alias("place"), "abs_path", "title", "text")
+    listed = found.select("ordinal", "abs_path", "title")
+    once = listed.withColumn("nth", F.row_number().over(Window.partitionBy("abs_path").orderBy("ordinal"))).filter("nth = 1")
+    # the names alone are numbered in one place; a bundle is one document
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ordinal", F.lower("title"), "abs_path")).cast("long")
+    numbered = once.select(place.alias("place"), F.col("ordinal").alias("own"), F.col("abs_path").alias("own_path"))
+    return found.join(numbered, (F.col("ordinal") == F.col("own")) & (F.col("abs_path") == F.col("own_path"))).select("place", "abs_path", "title", "text")
 
 
 def markdown_inputs(spark: SparkSession, path: str) -> DataFrame:
@@ -156,3 +157,26 @@ def page_files(opened: DataFrame) -> DataFrame:
 def session_logs(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Rows of JSON session logs, a file an object or array, read with a stated schema."""
     return spark.read.schema(schema).json(path, multiLine=True)
+
+
+def session_variants(spark: SparkSession, path: str) -> DataFrame:
+    """session (VARIANT) of JSON logs of any shape: a file is an object, or an array of them, and no schema is asked for.
+
+    Files are read once; a file that is no JSON gives a null session.
+    """
+    whole = spark.read.options(multiLine=True, singleVariantColumn="whole").json(path)
+    many = F.try_variant_get("whole", "$", "array<variant>")
+    return whole.select(F.explode(F.coalesce(many, F.array("whole"))).alias("session"))
+
+
+def session_calls(sessions: DataFrame, calls: str, own: dict[str, str], texts: dict[str, str], typed: dict[str, str]) -> DataFrame:
+    """A row per call: the session's ``own`` values, position from 0, and the call's ``texts`` and ``typed`` values, each a name and a path.
+
+    A text is a scalar's text or an object's JSON; a typed value keeps its JSON form (``"7"`` and ``7`` differ). What is missing, or lies
+    below something that is no object, is null. A session whose calls are missing or no array has no rows.
+    """
+    text_at = lambda v, p: F.try_variant_get(v, p, "string")
+    found = F.try_variant_get("session", calls, "array<variant>")
+    one = sessions.select(*[text_at("session", p).alias(n) for n, p in own.items()], F.posexplode(found).alias("position", "call"))
+    kept = [F.to_json(F.try_variant_get("call", p, "variant")).alias(n) for n, p in typed.items()]
+    return one.select(*own, "position", *[text_at("call", p).alias(n) for n, p in texts.items()], *kept)

@@ -5,6 +5,7 @@ import decimal
 import duckdb
 import pytest
 
+from foliospark.plans import archives, logs, markup, places, trees  # noqa: F401 (they register their queries in the catalogue)
 from foliospark.plans.catalogue import ORACLES, QUERIES
 from foliospark.session import TABLES
 
