@@ -101,17 +101,33 @@ def usage_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.churn(_calls(spark, sf_dir), GAP_MS, 3)
 
 
-def _rules_sql(rules: list) -> str:
-    arms = " ".join("when " + " or ".join(f"contains(t, '{p}')" for p in ps) + f" then '{n}'" for n, ps in rules)
-    return f"case {arms} else 'unknown' end"
-
-
-@query(f"select doc_id, {_rules_sql(text.FAILURE_DETAIL)} as mode from (select doc_id, lower(coalesce(text, '')) as t from documents)")
+# The oracles' own lists, written out so that an error in the operators' lists shows.
+_MODES = """case when contains(t, 'auth') or contains(t, '401') or contains(t, '403') then 'auth'
+    when contains(t, 'timeout') or contains(t, 'timed out') then 'timeout'
+    when contains(t, 'not found') or contains(t, 'no such file') or contains(t, '404') then 'not-found'
+    when contains(t, 'network') or contains(t, 'connection') or contains(t, 'dns') or contains(t, 'refused') then 'network'
+    when contains(t, 'already exists') or contains(t, 'conflict') or contains(t, '409') then 'conflict'
+    when contains(t, 'permission denied') or contains(t, 'access denied') then 'permission'
+    when contains(t, 'error:') or contains(t, 'panic') or contains(t, 'fatal') then 'runtime-error'
+    when contains(t, 'usage:') or contains(t, 'flag') or contains(t, 'unknown command') then 'cli-usage' else 'unknown' end"""
+_MODES_SUMMED = """case when contains(t, 'authentication') or contains(t, 'unauthorized') or contains(t, '401') or contains(t, '403') then 'auth'
+    when contains(t, 'timeout') or contains(t, 'timed out') then 'timeout'
+    when contains(t, 'not found') or contains(t, 'no such file') or contains(t, '404') then 'not-found'
+    when contains(t, 'network') or contains(t, 'connection') or contains(t, 'dns') or contains(t, 'refused') then 'network'
+    when contains(t, 'already exists') or contains(t, 'conflict') or contains(t, '409') then 'conflict'
+    when contains(t, 'permission denied') or contains(t, 'access denied') then 'permission'
+    when contains(t, 'pandoc') or contains(t, 'latex') or contains(t, 'exit status 43') then 'pandoc-pdf'
+    when contains(t, 'status 400') or contains(t, 'bad request') then 'http-400'
+    when contains(t, 'error:') or contains(t, 'panic') or contains(t, 'fatal') then 'runtime-error'
+    when contains(t, 'usage:') or contains(t, 'flag') or contains(t, 'unknown command') or contains(t, 'unsupported file type') then 'cli-usage' else 'unknown' end"""
+
+
+@query(f"select doc_id, {_MODES} as mode from (select doc_id, lower(coalesce(text, '')) as t from documents)")
 def usage_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.classify(F.col("text"), text.FAILURE_DETAIL).alias("mode"))
 
 
-@query(f"""with m as (select {_rules_sql(text.FAILURE_SUMMARY)} as mode from (select lower(coalesce(text, '')) as t from documents))
+@query(f"""with m as (select {_MODES_SUMMED} as mode from (select lower(coalesce(text, '')) as t from documents))
   select mode, count(*) as n, count(*) / sum(count(*)) over ()::double as share from m group by mode""")
 def usage_failure_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -306,10 +322,10 @@ def date_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", text.date_directory(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("directory"))
 
 
-_LANG_SQL = " ".join(f"when '{k}' then '{v}'" for k, v in text.LANGUAGES.items())
-
-
-@query(f"select page_id, case lower(regexp_extract(url, '\\.([^./]*)$', 1)) {_LANG_SQL} else '' end as language from pages")
+@query("""with u as (select page_id, lower(regexp_extract(url, '\\.([^./]*)$', 1)) as e from pages)
+  select page_id, case when e = 'go' then 'go' when e = 'py' then 'python' when e = 'js' then 'javascript' when e in ('ts', 'tsx') then 'typescript' when e in ('c', 'h') then 'c'
+    when e in ('cc', 'cpp', 'cxx', 'hpp', 'hh') then 'cpp' when e = 'rs' then 'rust' when e = 'java' then 'java' when e = 'rb' then 'ruby' when e = 'php' then 'php'
+    when e in ('sh', 'bash', 'zsh') then 'bash' when e in ('yml', 'yaml') then 'yaml' when e in ('json', 'toml', 'sql', 'html', 'css', 'xml') then e else '' end as language from u""")
 def ext_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.language_of(F.col("url")).alias("language"))
 
@@ -484,8 +500,16 @@ _WORDS = ["upload bundle a", "upload md b", "upload c", "cloud ls", "cloud accou
 _COMMAND = "'cd x && Pen ' || ([" + ", ".join(f"'{w}'" for w in _WORDS) + "])[1 + event_id % 13] || ' --a --b ' || event_type"
 
 
-def _case(rules: list[tuple[str, str]]) -> str:
-    return "case " + " ".join(f"when command ilike '{p}' then '{n}'" for p, n in rules) + " else 'other' end"
+_SAYS = "when command ilike '%pen {0}%' then '{1}'"
+_PLAIN = " ".join(_SAYS.format(w, w) for w in ("upload", "cloud", "rmdoc", "render", "status", "help"))
+_UPLOADS = " ".join(_SAYS.format(*w) for w in (("upload bundle", "upload bundle"), ("upload md", "upload md"), ("upload", "upload (other)"), ("cloud ls", "cloud ls"), ("cloud account", "cloud account")))
+_OTHERS = " ".join(_SAYS.format(*w) for w in (("cloud", "cloud (other)"), ("rmdoc", "rmdoc"), ("render", "render"), ("status", "status")))
+_KINDS = {
+    "calls": f"case {_PLAIN} {_SAYS.format('--', 'flag-first')} else 'other' end",
+    "sequences": f"case {_PLAIN} else 'other' end",
+    "summary": f"case {_UPLOADS} {_SAYS.format('cloud rm', 'cloud rm')} {_OTHERS} {_SAYS.format('help', 'help')} {_SAYS.format('--', 'flag-first')} else 'other' end",
+    "failures": f"case {_UPLOADS} {_OTHERS} else 'other' end",
+}
 
 
 def _commands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -494,7 +518,7 @@ def _commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "event_type", command.alias("command"))
 
 
-@query(f"""select event_id, {", ".join(f"{_case(r)} as {n}" for n, r in text.command_kinds("pen").items())}
+@query(f"""select event_id, {", ".join(f"{sql} as {n}" for n, sql in _KINDS.items())}
   from (select event_id, {_COMMAND} as command from events)""")
 def usage_command_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A call's sub-command by each of the four rule sets."""
@@ -502,7 +526,7 @@ def usage_command_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _commands(spark, sf_dir).select("event_id", *[text.first_like(F.col("command"), r).alias(n) for n, r in rules.items()])
 
 
-@query(f"""select {_case(text.command_kinds("pen")["calls"])} as kind, count(*) as n, regexp_extract(command, 'Pen\\s+(\\S+(?:\\s+--\\S+)*)', 1) as excerpt
+@query(f"""select {_KINDS["calls"]} as kind, count(*) as n, regexp_extract(command, 'Pen\\s+(\\S+(?:\\s+--\\S+)*)', 1) as excerpt
   from (select {_COMMAND} as command from events) group by 1, 3""")
 def usage_calls_by_command(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = text.first_like(F.col("command"), text.command_kinds("pen")["calls"])
