@@ -26,6 +26,8 @@ BROADCAST_KEYS = 1_000_000
 
 _NUMBER, _UNIT, _NAME = "\x01", "\x02", "\x03"
 _MARKS = [_NUMBER, _UNIT, _NAME]
+#: Kinds of windows: slots as types; every word as it is; names as they are and other slots as types.
+_TEMPLATE, _RAW, _NAMED = 0, 1, 2
 _UNITS = (
     "mm|cm|km|m|mg|kg|g|lbs|lb|oz|ml|l|miles|mile|meters|meter|metres|metre|inches|inch|feet|foot|yards|yard|"
     "seconds|second|minutes|minute|hours|hour|days|day|weeks|week|months|month|years|year|"
@@ -59,6 +61,18 @@ def _raw_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def _is_name(word: Column) -> Column:
+    return F.substring(word, 1, 1) == _NAME
+
+
+def _named_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(F.when(is_slot(w) & ~_is_name(w), F.substring(w, 1, 1)).otherwise(w)))
+
+
+#: The word hashes of each kind, by the name of their column.
+_HASHES = {_TEMPLATE: ("hashes", _hashes), _RAW: ("raw_hashes", _raw_hashes), _NAMED: ("named_hashes", _named_hashes)}
+
+
 def _joined(windows: Column, step: int) -> Column:
     """Each window hashed with the one ``step`` places on; the last ``step`` have none."""
     n = F.greatest(F.size(windows) - step, F.lit(0))
@@ -83,17 +97,18 @@ def _literals(words: Column) -> Column:
     return F.size(F.filter(words, lambda w: ~is_slot(w)))
 
 
-def _wanted_at(size: int, raw: bool) -> Column:
+def _wanted_at(size: int, kind: int) -> Column:
     """Where an item's wanted windows of this size and kind begin."""
-    return F.transform(F.filter("wanted", lambda w: (w["size"] == size) & (w["raw"] == raw)), lambda w: w["at"])
+    return F.transform(F.filter("wanted", lambda w: (w["size"] == size) & (w["kind"] == kind)), lambda w: w["at"])
 
 
 def _item_windows(benchmark: DataFrame) -> DataFrame:
-    """window, raw, size, item_id, item_at, item_words of every window that is looked for.
+    """window, kind, size, item_id, item_at, item_words of every window that is looked for.
 
     Windows have WINDOW words, or the item's own number if it has fewer. One with too few literal
     words is looked for with its slot values (raw), and as a template it grows by doubling up
-    to the whole item until it has enough. A template without a literal word is any row of numbers and is not looked for.
+    to the whole item until it has enough. A template without a literal word is any row of numbers and is not looked for;
+    if its item has names beside numbers or units, the whole item is looked for with its own names and with any numbers and units.
     """
     words = F.col("words")
     n, base = F.size(words), F.least(F.size(words), F.lit(WINDOW))
@@ -104,64 +119,67 @@ def _item_windows(benchmark: DataFrame) -> DataFrame:
     def grown(at: Column) -> Column:
         fit = F.filter(longer, lambda z: _literals(part(F.least(at, n - z), z)) >= LEAST_LITERAL)
         size = F.coalesce(F.get(fit, F.lit(0)), n)
-        return F.struct(F.least(at, n - size).alias("at"), size.alias("size"), F.lit(False).alias("raw"))
+        return F.struct(F.least(at, n - size).alias("at"), size.alias("size"), F.lit(_TEMPLATE).alias("kind"))
 
-    def own(at: Column, raw: bool) -> Column:
-        return F.struct(at.alias("at"), base.alias("size"), F.lit(raw).alias("raw"))
+    def own(at: Column, kind: int) -> Column:
+        return F.struct(at.alias("at"), base.alias("size"), F.lit(kind).alias("kind"))
 
     starts = F.sequence(F.lit(0), n - base)
-    templates = F.transform(starts, lambda at: F.when(few(at), grown(at)).otherwise(own(at, False)))
+    templates = F.transform(starts, lambda at: F.when(few(at), grown(at)).otherwise(own(at, _TEMPLATE)))
     templates = F.filter(F.array_distinct(templates), lambda w: _literals(part(w["at"], w["size"])) > 0)
-    raws = F.transform(F.filter(starts, few), lambda at: own(at, True))
+    raws = F.transform(F.filter(starts, few), lambda at: own(at, _RAW))
+    whole = F.array(F.struct(F.lit(0).alias("at"), n.alias("size"), F.lit(_NAMED).alias("kind")))
+    slots_only = (_literals(words) == 0) & F.exists(words, _is_name) & F.exists(words, lambda w: ~_is_name(w))
+    named = F.filter(whole, lambda w: slots_only)
     items = stored(
         benchmark.select("item_id", template_words(F.coalesce("text", F.lit(""))).alias("words"))
         .filter(F.size("words") > 0)
-        .select("item_id", "words", F.concat(templates, raws).alias("wanted")),
+        .select("item_id", "words", F.concat(templates, raws, named).alias("wanted")),
         "item-words",
     )
-    kinds = items.select(F.explode("wanted").alias("w")).select("w.size", "w.raw").distinct().collect()
+    kinds = items.select(F.explode("wanted").alias("w")).select("w.size", "w.kind").distinct().collect()
     found = None
-    for size, raw in sorted((r["size"], r["raw"]) for r in kinds):
-        some = items.withColumn("wanted", _wanted_at(size, raw)).filter(F.size("wanted") > 0)
-        hashed = some.withColumn("hashes", _raw_hashes(words) if raw else _hashes(words))
+    for size, kind in sorted((r["size"], r["kind"]) for r in kinds):
+        some = items.withColumn("wanted", _wanted_at(size, kind)).filter(F.size("wanted") > 0)
+        hashed = some.withColumn("hashes", _HASHES[kind][1](words))
         part_found = (
             placed_windows(hashed, size)
             .filter(F.array_contains("wanted", F.col("at")))
             .select(
-                "window", F.lit(raw).alias("raw"), F.lit(size).alias("size"), "item_id",
+                "window", F.lit(kind).alias("kind"), F.lit(size).alias("size"), "item_id",
                 F.col("at").alias("item_at"), F.slice("words", F.col("at") + 1, F.lit(size)).alias("item_words"),
             )
         )
         found = part_found if found is None else found.unionByName(part_found)
     if found is None:
         return items.select(
-            F.lit(0).cast("bigint").alias("window"), F.lit(False).alias("raw"), F.lit(0).alias("size"), "item_id",
+            F.lit(0).cast("bigint").alias("window"), F.lit(_TEMPLATE).alias("kind"), F.lit(0).alias("size"), "item_id",
             F.lit(0).alias("item_at"), F.col("words").alias("item_words"),
         ).filter("false")
     return found
 
 
-def _window_key(window: Column, size: Column, raw: Column) -> Column:
+def _window_key(window: Column, size: Column, kind: Column) -> Column:
     """One number for a window and its kind, so that windows of all kinds join by a single long."""
-    return window.bitwiseXOR(F.xxhash64(size, raw))
+    return window.bitwiseXOR(F.xxhash64(size, kind))
 
 
-def _described(windows: Column, size: int, raw: bool, rare: list[int] | None) -> Column:
+def _described(windows: Column, size: int, kind: int, rare: list[int] | None) -> Column:
     """array<struct<at, key>> of the windows; of a rare kind only those that are looked for."""
-    described = F.transform(windows, lambda w, i: F.struct(i.alias("at"), _window_key(w, F.lit(size), F.lit(raw)).alias("key")))
+    described = F.transform(windows, lambda w, i: F.struct(i.alias("at"), _window_key(w, F.lit(size), F.lit(kind)).alias("key")))
     return described if rare is None else F.filter(described, lambda w: w["key"].isin(rare))
 
 
-def all_windows(rows: DataFrame, kinds: list[tuple[int, bool, list[int] | None]]) -> DataFrame:
-    """``rows`` with ``hashes`` and ``raw_hashes`` (one a word) replaced by one row per window of each kind: at, key.
+def all_windows(rows: DataFrame, kinds: list[tuple[int, int, list[int] | None]]) -> DataFrame:
+    """``rows`` with the word hashes of each kind (``_HASHES``) replaced by one row per window of each size and kind: at, key.
 
     The windows of all kinds grow from the same doubled ones, so that a text is templated and read once. A kind comes with the keys that are
     looked for if they are few: then no other window of it leaves the text's row.
     """
-    others = [c for c in rows.columns if c not in ("hashes", "raw_hashes")]
+    others = [c for c in rows.columns if c not in [source for source, _ in _HASHES.values()]]
     found = []
-    for flag, source, name in ((False, "hashes", "t"), (True, "raw_hashes", "r")):
-        sizes = {size: rare for size, raw, rare in kinds if raw == flag}
+    for own_kind, (source, _) in _HASHES.items():
+        name, sizes = f"w{own_kind}_", {size: rare for size, kind, rare in kinds if kind == own_kind}
         if not sizes:
             continue
         rows = rows.withColumn(f"{name}1", F.transform(source, lambda h: F.xxhash64(h)))
@@ -173,7 +191,7 @@ def all_windows(rows: DataFrame, kinds: list[tuple[int, bool, list[int] | None]]
             base = 1 << (size.bit_length() - 1)
             own = F.col(f"{name}{base}")
             windows = own if base == size else _joined(own, size - base)
-            found.append(_described(windows, size, flag, rare))
+            found.append(_described(windows, size, own_kind, rare))
     return rows.select(*others, F.explode(F.concat(*found)).alias("w")).select(*others, "w.*")
 
 
@@ -182,25 +200,26 @@ def _text_key() -> Column:
     return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
-def _same_words(pair: Column, raw: Column) -> Column:
-    """Whether a document's word may stand for an item's: the same word, or a slot of the same type."""
+def _same_words(pair: Column, kind: Column) -> Column:
+    """Whether a document's word may stand for an item's: the same word, or a slot of the same type where the kind leaves its value open."""
     item, doc = pair["i"], pair["d"]
-    return (item == doc) | (~raw & is_slot(item) & (F.substring(item, 1, 1) == F.substring(doc, 1, 1)))
+    is_open = is_slot(item) & ((kind == _TEMPLATE) | ((kind == _NAMED) & ~_is_name(item)))
+    return (item == doc) | (is_open & (F.substring(item, 1, 1) == F.substring(doc, 1, 1)))
 
 
 def shared_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_key, doc_id, item_id, doc_at, item_at, doc_words, item_words of all shared windows, in one pass over the documents."""
-    items = stored(_item_windows(benchmark).withColumn("key", _window_key(F.col("window"), F.col("size"), F.col("raw"))), "item-windows")
-    counted = items.groupBy("size", "raw").agg(F.count("*").alias("n")).collect()
-    few_keys = items.join(F.broadcast(items.groupBy("size", "raw").count().filter(F.col("count") <= RARE_WINDOWS)), ["size", "raw"], "left_semi")
-    listed: dict[tuple[int, bool], set[int]] = {(r["size"], r["raw"]): set() for r in counted if r["n"] <= RARE_WINDOWS}
-    for r in few_keys.select("size", "raw", "key").collect():  # RARE_WINDOWS a kind at most
-        listed[r["size"], r["raw"]].add(r["key"])
-    kinds = sorted(((*k, sorted(listed[k]) if k in listed else None) for k in ((r["size"], r["raw"]) for r in counted)), key=lambda k: k[:2])
+    items = stored(_item_windows(benchmark).withColumn("key", _window_key(F.col("window"), F.col("size"), F.col("kind"))), "item-windows")
+    counted = items.groupBy("size", "kind").agg(F.count("*").alias("n")).collect()
+    few_keys = items.join(F.broadcast(items.groupBy("size", "kind").count().filter(F.col("count") <= RARE_WINDOWS)), ["size", "kind"], "left_semi")
+    listed: dict[tuple[int, int], set[int]] = {(r["size"], r["kind"]): set() for r in counted if r["n"] <= RARE_WINDOWS}
+    for r in few_keys.select("size", "kind", "key").collect():  # RARE_WINDOWS a kind at most
+        listed[r["size"], r["kind"]].add(r["key"])
+    kinds = sorted(((*k, sorted(listed[k]) if k in listed else None) for k in ((r["size"], r["kind"]) for r in counted)), key=lambda k: k[:2])
     few = items.count() <= BROADCAST_WINDOWS
     found_words = template_words(F.coalesce("text", F.lit("")))
     words = docs.select("doc_id", _text_key().alias("doc_key"), found_words.alias("words"))
-    own = words.select("doc_id", "doc_key", _hashes(F.col("words")).alias("hashes"), _raw_hashes(F.col("words")).alias("raw_hashes"))
+    own = words.select("doc_id", "doc_key", *[hashed(F.col("words")).alias(source) for source, hashed in _HASHES.values()])
     if not kinds:
         empty = "array<string>"
         return own.filter("false").select(
@@ -219,9 +238,9 @@ def shared_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     pairs = F.arrays_zip(F.col("item_words").alias("i"), F.col("doc_words").alias("d"))
     return hits.join(words, F.col("doc_key") == F.col("text_key")).select(
-        "doc_key", "doc_id", "item_id", "doc_at", "item_at", "raw",
+        "doc_key", "doc_id", "item_id", "doc_at", "item_at", "kind",
         F.slice("words", F.col("doc_at") + 1, F.col("size")).alias("doc_words"), "item_words",
-    ).filter(F.forall(pairs, lambda p: _same_words(p, F.col("raw")))).drop("raw")
+    ).filter(F.forall(pairs, lambda p: _same_words(p, F.col("kind")))).drop("kind")
 
 
 def _consistent(slots: Column) -> Column:
@@ -236,7 +255,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     one place; a place has at most as many windows as the item. A run of windows counts if its slots are
     consistent (``_consistent``); of any other run the windows with the item's own values count. Of
     a document and item the place with most windows is returned. Null texts are empty, texts and items
-    without words match nothing, items without literal words only match with their own values, null item_ids are items like others, repeated rows count once,
+    without words match nothing, items without literal words only match with their own names or, without names, their own values, null item_ids are items like others, repeated rows count once,
     empty tables give no rows, and columns other than doc_id, text and item_id are ignored.
     """
     pairs = F.filter(

@@ -197,6 +197,18 @@ def test_number_dense_items(spark):
     assert found == {(i, i, True) for i in range(6)} | {(100 + i, i, False) for i in range(5)}  # any three numbers are no copy of "7 8 9"
 
 
+def test_items_of_names_and_numbers_alone(spark):
+    items = ["Compute 12 + 7 * 3.", "Add 1, 2, 3, 4, 5, 6, 7, 8, 9, 10 km.", "7 8 9", "Alice"]
+    texts = [
+        "So said they. Compute 11 + 5 * 2. That was all.", "Here it is: Add 9, 8, 7, 6, 5, 4, 3, 2, 1, 11 km. Done.",
+        "So said they. Multiply 11 + 5 * 2. That was all.", "Here it is: Take 9, 8, 7, 6, 5, 4, 3, 2, 1, 11 km. Done.", "So said they. Compute 11 + 5 cm. That was all.",
+        "4 5 6", "Robert", "Compute 12 + 7 * 3.",
+    ]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = decontam.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), bench).collect()
+    assert {(r["doc_id"], r["item_id"], r["n_slots"], r["n_changed"], r["verbatim"]) for r in got} == {(0, 0, 4, 3, False), (1, 1, 12, 9, False), (7, 0, 4, 0, True)}
+
+
 def test_reparameterised_question(spark):
     item = "A train travels 60 miles in 2 hours and then Alice walks another 5 miles before she finally comes home."
     other = "Yesterday we heard. A train travels 90 miles in 4 hours and then Bob walks another 7 miles before she finally comes home. Fine."
