@@ -30,6 +30,9 @@ _MOST = 15 << 20
 #: The coder's window has 56 bits; 24 go out when the range falls below 32.
 _WINDOW, _WORD, _LEAST = 56, 24, 1 << 32
 _LOW = _LEAST - 1
+#: What a hit (second half) or a miss adds to an entry, by its confidence; the outcome by twice a hit of order 2 and a hit of order 1.
+_DELTA = np.array([(c >> 1) - c for c in range(16)] + [int(c < _TOP_CONFIDENCE) for c in range(16)], np.int64)
+_OUTCOME = np.array([2, 1, 0, 0], np.int64)
 
 
 def _layout(n: int) -> tuple[int, int]:
@@ -68,37 +71,39 @@ class _Model:
             self.at = np.repeat(np.arange(self.size, dtype=np.uint16), np.diff(below))
         weights = self.outcomes[:, :2] * _MOST // self.outcomes.sum(1, keepdims=True)
         self.weight2, self.weight1 = weights[:, 0].copy(), weights[:, 1].copy()
+        self.weight0 = (1 << _BITS) - self.weight2 - self.weight1
 
     def predict(self) -> None:
         """The candidates of orders 2 and 1 (a2, a1) and the parts of the total that the orders have (v2, v1, v0)."""
+        # all in 64 bits: numpy is slow where types differ
         self.slot = (self.before2 * 40503 + (self.before1 * 2654435761 >> 5)) & ((1 << _HASH_BITS) - 1)
-        self.e2, self.e1 = self.follow2[self.slot], self.follow1[self.before1]
+        self.e2, self.e1 = self.follow2.take(self.slot).astype(np.int64), self.follow1.take(self.before1).astype(np.int64)
         self.a2, self.a1 = self.e2 >> 4, self.e1 >> 4
-        self.state = ((self.e2 & 15) << 4) + (self.e1 & 15) + ((self.a2 == self.a1).astype(np.int32) << 8)
-        self.v2, self.v1 = self.weight2[self.state], self.weight1[self.state]
-        self.v0 = (1 << _BITS) - self.v2 - self.v1
+        self.c2, self.c1 = self.e2 & 15, self.e1 & 15
+        self.same = (self.a2 == self.a1).astype(np.int64)
+        self.state = (self.c2 << 4) + self.c1 + (self.same << 8)
+        self.v2, self.v1, self.v0 = self.weight2.take(self.state), self.weight1.take(self.state), self.weight0.take(self.state)
 
     def part0(self, ids: np.ndarray) -> np.ndarray:
         """Order 0's share of the mixture below these ids."""
-        return self.below[ids] * self.v0 >> _BITS_0
+        return self.below.take(ids) * self.v0 >> _BITS_0
 
     def update(self, ids: np.ndarray, step: int) -> None:
-        hit2, hit1 = ids == self.a2, ids == self.a1
-        fresh = (ids.astype(np.int32) << 4) + 1
-        self.follow2[self.slot] = _learned(self.e2, hit2, fresh)
-        self.follow1[self.before1] = _learned(self.e1, hit1, fresh)
-        self.seen.append(self.state * 3 + np.where(hit2, 0, 2 - hit1))
+        hit2, hit1 = (ids == self.a2).astype(np.int64), (ids == self.a1).astype(np.int64)
+        fresh = (ids << 4) + 1
+        self.follow2[self.slot] = _learned(self.e2, self.c2, hit2, fresh)
+        self.follow1[self.before1] = _learned(self.e1, self.c1, hit1, fresh)
+        self.seen.append(self.state * 3 + _OUTCOME.take(hit2 * 2 + hit1))
         self.ids.append(ids)
         self.before2, self.before1 = self.before1, ids
         if step < _EARLY or step % REFRESH == 0:
             self.refresh()
 
 
-def _learned(entry: np.ndarray, hit: np.ndarray, fresh: np.ndarray) -> np.ndarray:
-    confidence = entry & 15
-    more = entry + (confidence < _TOP_CONFIDENCE)
-    less = np.where(confidence > 1, (entry & ~15) + (confidence >> 1), fresh)
-    return np.where(hit, more, less)
+def _learned(entry: np.ndarray, confidence: np.ndarray, hit: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """A hit adds to the confidence, a miss halves it; a miss at a confidence of at most 1 makes the entry ``fresh``."""
+    key = (hit << 4) + confidence
+    return np.where(key < 2, fresh, entry + _DELTA.take(key)).astype(np.int32)
 
 
 def encode(ids: np.ndarray, vocabulary: int) -> bytes:
@@ -121,9 +126,9 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     for step, now in enumerate(columns):
         model.predict()
         start = model.part0(now)
-        size = (model.below[now + 1] * model.v0 >> _BITS_0) - start
-        start += model.v2 * (model.a2 < now) + model.v1 * (model.a1 < now)
-        size += model.v2 * (model.a2 == now) + model.v1 * (model.a1 == now)
+        size = model.part0(now + 1) - start
+        start += model.v2 * (model.a2 < now).astype(np.int64) + model.v1 * (model.a1 < now).astype(np.int64)
+        size += model.v2 * (model.a2 == now).astype(np.int64) + model.v1 * (model.a1 == now).astype(np.int64)
         span >>= _BITS
         low += span * start
         span *= size
@@ -176,15 +181,15 @@ def decode(block: bytes, n: int, vocabulary: int) -> np.ndarray:
         a2, a1, v2, v1, v0 = model.a2, model.a1, model.v2, model.v1, model.v0
         span >>= _BITS
         at = np.minimum(code // span, (1 << _BITS) - 1)
-        same = a2 == a1
         start2, start1 = model.part0(a2), model.part0(a1)
-        size2 = (model.below[a2 + 1] * v0 >> _BITS_0) - start2 + v2 + v1 * same
-        size1 = (model.below[a1 + 1] * v0 >> _BITS_0) - start1 + v1 + v2 * same
-        start2 += v1 * (a1 < a2)
-        start1 += v2 * (a2 < a1)
+        size2 = model.part0(a2 + 1) - start2 + v2 + v1 * model.same
+        size1 = model.part0(a1 + 1) - start1 + v1 + v2 * model.same
+        less1 = (a1 < a2).astype(np.int64)
+        start2 += v1 * less1
+        start1 += v2 * (1 - less1 - model.same)
         beyond2, beyond1 = at >= start2 + size2, at >= start1 + size1
         hit2, hit1 = (at >= start2) & ~beyond2, (at >= start1) & ~beyond1
-        now, start, size = np.where(hit2, a2, a1).astype(np.int64), np.where(hit2, start2, start1), np.where(hit2, size2, size1)
+        now, start, size = np.where(hit2, a2, a1), np.where(hit2, start2, start1), np.where(hit2, size2, size1)
         miss = np.flatnonzero(~(hit2 | hit1))
         if len(miss):
             passed = v2[miss] * beyond2[miss] + v1[miss] * beyond1[miss]

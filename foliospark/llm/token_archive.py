@@ -93,7 +93,7 @@ def write_archive(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, vocabul
             return pa.record_batch([pa.array([block], pa.binary())], ["block"])
 
         for batch in batches:
-            for doc_id, own in zip(batch.column("doc_id").to_pylist(), encode_bytes(batch.column("text").to_pylist(), tokenizer), strict=True):
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), encode_bytes(batch.column("text"), tokenizer), strict=True):
                 names.append(doc_id)
                 ids.append(own + end)
                 held += len(own) // 2 + 1

@@ -5,6 +5,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -78,6 +79,19 @@ def test_encoder_equals_library():
             assert np.frombuffer(ids, "<u2").tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
+def test_encoder_remembers_pieces_of_columns():
+    """Words that differ in their signs alone are not learned anew; columns of both widths, also slices, are read as they are."""
+    ends = ["", ".", ",", "***", "!\n", "'s", "'s.", ".\nAnd", "\n\n", " ", "\x00's", " <|endoftext|>", " 漢's"]
+    texts = [f"l'été {w}{e}" for e in ends for w in ("Haus", "maison", "x" * 90, "'ll", "12")] + [None, ""]
+    tokenizer, own = Tokenizer.from_file(BYTE_BPE), ByteEncoder()
+    wanted = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(["before it's", *texts, "after"], kind).slice(1, len(texts))
+        assert [np.frombuffer(i, "<u2").tolist() for i in own.encode_batch(column)] == wanted
+    assert len(own.known) < 30
+    assert own.encode_batch(pa.array([None, ""], pa.string())) == own.encode_batch([None, ""]) == [b"", b""] and own.encode_batch([]) == []
+
+
 def test_archive_round_trip(spark):
     draw = random.Random(7)
     rows = [(k * 7 % 501, " ".join(draw.choices(WORDS, k=draw.randint(1, 60)))) for k in range(500)]
