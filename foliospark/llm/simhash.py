@@ -195,6 +195,16 @@ def shingle_set(words: np.ndarray) -> np.ndarray:
     return np.unique(gram_hashes(words, SHINGLE_WORDS).view(np.int64))
 
 
+#: Bits of a set's sketch. It has one for every bin of hashes, so that it tells sets of up to some 600 shingles apart well, larger ones less.
+SKETCH_BITS = 512
+
+
+def sketch(own: np.ndarray) -> np.ndarray:
+    """Whether the shingles in each of SKETCH_BITS bins are odd in number, as longs. Sets differ in as many shingles at least as their sketches in bits."""
+    odd = np.bincount(own & (SKETCH_BITS - 1), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefix_length(n: int, similarity: float = SIMILARITY) -> int:
     """How many first shingles of a set of ``n`` hold one of every set that is similar enough, in any common order."""
     return n - math.ceil(round(similarity * n, 6)) + 1 if n else 0
@@ -219,7 +229,7 @@ def _with_sha(docs: DataFrame) -> DataFrame:
 
 
 def near_rows(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """One row for each text with words, in one pass: key, id, sha, bands, and of its shingle set n (the size), p (the length of its
+    """One row for each text with words, in one pass: key, id, sha, bands, and of its shingle set the sketch, n (the size), p (the length of its
     prefix), free (the first 2 p shingles that are not common), n_free (how many it has of these) and known (its first p common ones).
 
     ``key`` numbers the rows: write the table before reading it twice.
@@ -228,7 +238,7 @@ def near_rows(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, bands, numbers, frees, knowns = [], [], [], [], []
+            kept, bands, sketches, numbers, frees, knowns = [], [], [], [], [], []
             for at, text in enumerate(batch.column("text")):
                 words = word_hashes(text.as_py())
                 if words.size:
@@ -237,19 +247,22 @@ def near_rows(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
                     p = prefix_length(own.size)
                     kept.append(at)
                     bands.append(band_values(words))
+                    sketches.append(sketch(own))
                     numbers.append((own.size, p, free.size))
                     frees.append(free[: 2 * p])
                     knowns.append(known[:p])
             rows = batch.select(["key", "id", "sha"]).take(pa.array(kept, pa.int64()))
             n, p, n_free = np.array(numbers, np.int64).reshape(-1, 3).T
             yield pa.record_batch(
-                [*rows.columns, _lists(bands), pa.array(n), pa.array(p), _lists(frees), pa.array(n_free), _lists(knowns)],
-                ["key", "id", "sha", "bands", "n", "p", "free", "n_free", "known"],
+                [*rows.columns, _lists(bands), _lists(sketches), pa.array(n), pa.array(p), _lists(frees), pa.array(n_free), _lists(knowns)],
+                ["key", "id", "sha", "bands", "sketch", "n", "p", "free", "n_free", "known"],
             )
 
     numbered = _with_sha(docs).select(F.monotonically_increasing_id().alias("key"), "id", "sha", "text")
     return numbered.mapInArrow(
-        run, "key bigint, id bigint, sha binary, bands array<bigint>, n bigint, p bigint, free array<bigint>, n_free bigint, known array<bigint>"
+        run,
+        "key bigint, id bigint, sha binary, bands array<bigint>, sketch array<bigint>, "
+        "n bigint, p bigint, free array<bigint>, n_free bigint, known array<bigint>",
     )
 
 
@@ -459,28 +472,47 @@ def hub_pairs(members: DataFrame, links: DataFrame, turn: int) -> DataFrame:
         return block.keep(stored(pairs, "prefix-hub-pairs"))
 
 
-def prefix_pairs(members: DataFrame) -> DataFrame:
-    """All pairs (a, b) of documents of different components that may be similar enough.
+def _most_different(x: str, y: str) -> Column:
+    """In how many shingles at most similar sets of these sizes differ."""
+    return (1 - SIMILARITY) / (1 + SIMILARITY) * (F.col(x) + F.col(y)) + 1e-6
+
+
+def prefix_meetings(members: DataFrame, own: DataFrame) -> DataFrame:
+    """Pairs (a, b), with few repeats, among them all similar documents of different components.
 
-    They share as many prefix shingles as similarity asks for: what the prefixes do not share can only
-    come from the rest of the set whose prefix ends first.
+    Similar documents meet at their first common shingle. What either has before it the other has not, so its places (``at``) bound the
+    difference; a token behind a common one is not their first, which the two tokens before it show in most cases; and sketches that differ in
+    more bits than similar sets in shingles rule a pair out. None of this drops a similar pair, and pairs of a large family that are not similar make no rows.
     """
+    main = stored(members.groupBy(F.col("token").alias("main_token")).agg(F.mode("component").alias("main")), "prefix-main")
+    in_order = Window.partitionBy("key").orderBy("at")
+    placed = members.join(main, F.col("token") == F.col("main_token")).select(
+        "token", "key", "n", "component", "at", (F.col("component") == F.col("main")).alias("in_main"), (F.col("members") > LARGE_CLASS).alias("large"),
+        *[F.lag("token", k).over(in_order).alias(f"before{k}") for k in (1, 2)],
+    )
+    sketches = own.select(F.col("key").alias("sketched"), "sketch")
+    rows = stored(
+        placed.join(sketches, F.col("key") == F.col("sketched")).select(*[c for c in placed.columns if c != "large"], F.when(F.col("large"), F.col("sketch")).alias("sketch")),
+        "prefix-rows",
+    )
+    # the documents of a token's largest component meet only those outside it
+    x = rows.filter("not in_main").drop("in_main").withColumnsRenamed({"key": "ka", "n": "na", "component": "ca", "at": "ia", "before1": "xa", "before2": "ya", "sketch": "sa"})
+    y = rows.withColumnsRenamed({"key": "kb", "n": "nb", "component": "cb", "at": "ib", "before1": "xb", "before2": "yb", "sketch": "sb"})
+    most = _most_different("na", "nb")
+    again = [F.coalesce(F.col(p) == F.col(q), F.lit(False)) for p in ("xa", "ya") for q in ("xb", "yb")]
+    bits = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
+    met = x.join(y, "token").filter(
+        (F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("ka") < F.col("kb"))) & _near_size("na", "nb")
+        & (F.col("ia") + F.col("ib") <= most) & (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= (F.col("na") + F.col("nb") - most) / 2)
+        & ~(again[0] | again[1] | again[2] | again[3]) & (F.coalesce(bits, F.lit(0)) <= most)
+    )
+    return met.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
+
+
+def prefix_pairs(members: DataFrame, own: DataFrame) -> DataFrame:
+    """All pairs (a, b) of documents of different components that may be similar enough."""
     with scratch(members.sparkSession) as block:
-        main = stored(members.groupBy(F.col("token").alias("main_token")).agg(F.mode("component").alias("main")), "prefix-main")
-        rows = stored(
-            members.join(main, F.col("token") == F.col("main_token")).select("token", "key", "n", "component", (F.col("component") == F.col("main")).alias("in_main")),
-            "prefix-rows",
-        )
-        # the documents of a token's largest component meet only those outside it
-        left = rows.filter("not in_main").select("token", F.col("key").alias("ka"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        right = rows.select("token", F.col("key").alias("kb"), F.col("n").alias("nb"), F.col("component").alias("cb"), "in_main")
-        met = left.join(right, "token").filter((F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("ka") < F.col("kb"))) & _near_size("na", "nb"))
-        counted = met.select(
-            F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), F.least("na", "nb").alias("x"), F.greatest("na", "nb").alias("y")
-        ).groupBy("a", "b", "x", "y").agg(F.count("*").alias("shared"))
-        rest = F.floor(F.round(F.lit(SIMILARITY) * F.col("y"), 6) + 1)  # no set has more after its prefix
-        pairs = counted.filter(F.col("shared") + rest >= SIMILARITY / (1 + SIMILARITY) * (F.col("x") + F.col("y")) - 1e-6).select("a", "b")
-        return block.keep(stored(pairs, "prefix-pairs"))
+        return block.keep(stored(prefix_meetings(members, own).distinct(), "prefix-pairs"))
 
 
 def near_links(docs: DataFrame, own: DataFrame, links: DataFrame, prefixed: DataFrame) -> DataFrame:
@@ -492,7 +524,7 @@ def near_links(docs: DataFrame, own: DataFrame, links: DataFrame, prefixed: Data
     a hub, in turns, before the rest is compared pair by pair.
     """
     with scratch(docs.sparkSession) as block:
-        members = _mixed_tokens(prefixed.select("key", "n", "component", F.explode("prefix").alias("token")))
+        members = _mixed_tokens(prefixed.select("key", "n", "component", F.posexplode("prefix").alias("at", "token")))
         turn, fresh = 0, True
         while fresh:  # as long as a tenth of the hubs are similar
             tried = hub_pairs(members, links, turn)
@@ -505,7 +537,7 @@ def near_links(docs: DataFrame, own: DataFrame, links: DataFrame, prefixed: Data
                 members = _mixed_tokens(again)
                 block.drop(again)
             turn += 1
-        pairs = prefix_pairs(members)
+        pairs = prefix_pairs(members, own)
         block.drop(members)
         return block.keep(links if pairs.isEmpty() else stored(links.unionByName(verified(pairs, docs, own)), "prefix-links"))
 
@@ -519,7 +551,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     with scratch(docs.sparkSession) as block:
         common = common_shingles(docs)
         wide = stored(near_rows(docs, common), "near-rows")
-        rows = stored(wide.select("key", "id", "sha"), "near-keys")
+        rows = stored(wide.select("key", "id", "sha", "sketch"), "near-keys")
         texts = rows.groupBy(F.col("sha").alias("text_sha")).agg(F.min("key").alias("first"), F.count("*").alias("n_rows"))
         repeated = stored(texts.filter("n_rows > 1"), "near-repeated")
         again = rows.join(repeated, F.col("sha") == F.col("text_sha")).filter("key <> first").select(F.col("key").alias("again"))

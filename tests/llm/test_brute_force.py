@@ -5,8 +5,10 @@ import re
 import zlib
 from hashlib import sha256
 
+import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from foliospark.llm import chat, decontam, exact_dedup, langid, packing, pii, secret_scan, simhash, token_scan, tokens, warc
@@ -188,6 +190,27 @@ def test_copies_with_added_and_rewritten_passages(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == want
 
 
+def test_a_family_makes_few_rows(spark):
+    rng, rows = random.Random(8), []
+    original = [f"w{rng.randrange(900)}" for _ in range(150)]
+    for copy in range(120):
+        words = list(original)
+        for k in range(copy % 5):
+            words[rng.randrange(150)] = f"c{copy}x{k}"
+        rows.append((copy, " ".join(words) + f" end{copy}"))
+    docs, none = spark.createDataFrame(rows, "doc_id bigint, text string"), np.zeros(0, np.int64)
+    wide = simhash.near_rows(docs, (none, none))
+    wide = spark.createDataFrame(wide.collect(), wide.schema)
+    alone = simhash._sized(spark.createDataFrame([], "a bigint, b bigint"))  # no links yet, so that all pairs are open
+    prefixed = simhash.prefixes(docs, wide, alone, (none, none))
+    members = simhash._mixed_tokens(prefixed.select("key", "n", "component", F.posexplode("prefix").alias("at", "token")))
+    met = [(r["a"], r["b"]) for r in simhash.prefix_meetings(members, wide).collect()]
+    sets = {r["key"]: simhash.shingle_set(simhash.word_hashes(rows[r["id"]][1])) for r in wide.collect()}
+    similar = {(a, b) for a in sets for b in sets if a < b and simhash._jaccard(sets[a], sets[b]) >= simhash.SIMILARITY}
+    assert len(similar) > 1000 and similar <= set(met)
+    assert len(met) < 1.1 * len(set(met)) < 1.6 * len(similar)  # a row a pair, and few for pairs that are not similar
+
+
 def test_number_dense_items(spark):
     items = ["What is 48 plus 17?", "Compute 12 + 7 * 3.", "Tom is 12 years old.", "12 km = how many m?", "What is 12 + 15 + 18 + 21 + 24 + 27 + 30?", "7 8 9"]
     moved = ["What is 31 plus 62?", "Compute 11 + 5 * 2.", "Tom is 14 years old.", "15 km = how many m?", "What is 1 + 2 + 3 + 4 + 5 + 6 + 8?", "4 5 6"]
