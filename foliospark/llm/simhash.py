@@ -344,7 +344,10 @@ def verified(pairs: DataFrame, docs: DataFrame, own: DataFrame, similarity: floa
         both = with_a.join(met.select(F.col("end").alias("b"), F.col("met").alias("mb")), "b")
         turned = F.col("ma") < F.col("mb")
         wanted = stored(own.select("key", "sha").join(met, F.col("key") == F.col("end"), "left_semi"), "pair-texts")
-        sets = stored(shingle_sets(docs, wanted).dropDuplicates(["key"]), "pair-sets")
+        sets = stored(shingle_sets(docs, wanted), "pair-sets")
+        if sets.count() > wanted.count():  # rows repeat a text
+            repeated, sets = sets, stored(sets.dropDuplicates(["key"]), "pair-sets")
+            block.drop(repeated)
         aimed = stored(both.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b")), "pairs-aimed")
         first = sets.select(F.col("key").alias("b"), F.col("hashes").alias("xb"))
         second = sets.select(F.col("key").alias("a"), F.col("hashes").alias("xa"))
@@ -428,10 +431,14 @@ def prefixes(docs: DataFrame, own: DataFrame, groups: DataFrame, common: tuple[n
             "key", "n", "p", "component", "n_free", "known", F.size("free").alias("n_seen"), F.array_except("free", held).alias("light"), held.alias("held")
         )
         short = (F.size("light") < F.col("p")) & (F.col("n_seen") < F.col("n_free"))
-        done = marked.filter(~short).select("key", "n", "component", F.slice(F.concat("light", "held", "known"), F.lit(1), F.col("p").cast("int")).alias("prefix"))
-        rest = stored(marked.filter(short).select("key", "n", "p", "component", "known"), "short-of-light")
+        prefix = F.slice(F.concat("light", "held", "known"), F.lit(1), F.col("p").cast("int"))
+        marked = stored(  # the wide rows are joined once
+            marked.select("key", "n", "p", "component", F.when(~short, prefix).alias("prefix"), F.when(short, F.col("known")).alias("known")), "prefixes"
+        )
+        done = marked.filter("prefix is not null").select("key", "n", "component", "prefix")
+        rest = marked.filter("prefix is null").select("key", "n", "p", "component", "known")
         if rest.isEmpty():
-            return block.keep(stored(done, "prefixes"))
+            return block.keep(done)
         wanted = stored(own.select("key", "sha").join(rest.select(F.col("key").alias("short_key")), F.col("key") == F.col("short_key"), "left_semi"), "short-texts")
         whole = free_shingles(docs, wanted, common).dropDuplicates(["key"])
         placed = whole.select(F.col("key").alias("of"), F.explode("all_free").alias("token")).join(heavy, F.col("token") == F.col("heavy"), "left")
@@ -439,7 +446,7 @@ def prefixes(docs: DataFrame, own: DataFrame, groups: DataFrame, common: tuple[n
         remade = rest.join(order, F.col("key") == F.col("of")).select(
             "key", "n", "component", F.slice(F.concat(F.transform("ordered", lambda t: t["token"]), "known"), F.lit(1), F.col("p").cast("int")).alias("prefix")
         )
-        return block.keep(stored(done.unionByName(remade), "prefixes"))
+        return block.keep(done.unionByName(stored(remade, "prefixes-remade")))
 
 
 def _near_size(x: str, y: str) -> Column:
