@@ -148,21 +148,39 @@ def html_images(lines: Column, literal: Column, width: str = "") -> Column:
     return F.transform(flagged, lambda x: F.when(x["literal"] | ~x["line"].rlike("(?i)<img"), x["line"]).otherwise(rewritten(x["line"])))
 
 
+def _repeated_inputs(keyed: DataFrame, first: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` that share a key with others, numbered from that of ``first`` on.
+
+    They are told apart by digests; one row of each is kept and joined to the numbers of all that equal it.
+    """
+    again = keyed.join(first, F.col("key") == F.col("of"), "left_semi").withColumn("digest", F.sha2(F.to_json(F.struct("title", "text")), 256))
+    ranked = again.select(F.col("key").alias("rk"), F.col("digest").alias("rd"), F.row_number().over(Window.partitionBy("key").orderBy("digest")).alias("k"))
+    kept = again.dropDuplicates(["key", "digest"]).join(ranked, (F.col("key") == F.col("rk")) & (F.col("digest") == F.col("rd")))
+    return kept.join(first, F.col("key") == F.col("of")).select("key", "title", "text", (F.col("before") + F.col("k")).alias("number"), "last")
+
+
 def bundle_parts(docs: DataFrame) -> DataFrame:
     """One row per input of a bundle: bundle, number, part and images; the parts in order of number are the bundle's text.
 
-    ``docs`` has doc_id (unique), bundle, place, path, title and text. Front matter goes, SVG tags and blocks become images with the input's number in
+    ``docs`` has doc_id, bundle, place, path, title and text. Front matter goes, SVG tags and blocks become images with the input's number in
     their names, lists get their spacing, each part has a heading (its title, else its path), and all but the last end with a page break.
-    Inputs are ordered by place, ties by path and doc_id; null places come first. Blank paths are an error. Only keys are ordered together; texts are joined to
-    their numbers, so a bundle of any size is made by many tasks.
+    Inputs are ordered by place, ties by path, doc_id and a digest; null places come first. Equal rows are inputs each; null ids and bundles are
+    keys like others. Blank paths are an error. Only keys are ordered together; texts are joined to their numbers, so a bundle of any size is made by many tasks.
     """
-    order = Window.partitionBy("bundle").orderBy("place", "path", "doc_id")
-    numbers = docs.select(
-        F.col("doc_id").alias("of"), F.row_number().over(order).alias("number"), F.lead(F.lit(True)).over(order).isNotNull().alias("followed")
+    # a struct equals another of the same nulls
+    keyed = docs.select(F.struct("bundle", "place", "path", "doc_id").alias("key"), "title", F.coalesce("text", F.lit("")).alias("text"))
+    whole = Window.partitionBy("key.bundle")
+    order = whole.orderBy("key.place", "key.path", "key.doc_id")
+    beside = lambda step: F.coalesce(step("key").over(order) == F.col("key"), F.lit(False))
+    numbers = keyed.select(
+        F.col("key").alias("of"), F.row_number().over(order).alias("number"), F.count("*").over(whole).alias("last"), (beside(F.lag) | beside(F.lead)).alias("repeated")
     )
-    path = F.when(F.trim(F.coalesce("path", F.lit("")), F.lit(_BLANKS)) == "", F.raise_error(F.lit("bundle input path is empty")).cast("string")).otherwise(F.col("path"))
-    named = docs.join(numbers, F.col("doc_id") == F.col("of")).select(
-        "bundle", "number", "followed", path.alias("path"), "title", without_front_matter(F.coalesce("text", F.lit(""))).alias("text"),
+    single = keyed.join(numbers.filter("not repeated"), F.col("key") == F.col("of")).select("key", "title", "text", "number", "last")
+    first = numbers.filter("repeated").groupBy("of").agg((F.min("number") - 1).alias("before"), F.first("last").alias("last"))
+    numbered = single if first.isEmpty() else single.unionByName(_repeated_inputs(keyed, first))
+    path = F.when(F.trim(F.coalesce("key.path", F.lit("")), F.lit(_BLANKS)) == "", F.raise_error(F.lit("bundle input path is empty")).cast("string")).otherwise(F.col("key.path"))
+    named = numbered.select(
+        "key.bundle", "number", (F.col("number") < F.col("last")).alias("followed"), path.alias("path"), "title", without_front_matter(F.col("text")).alias("text"),
         F.format_string("bundle-%03d-", "number").alias("prefix"),
     )
     tags = with_lines(named).withColumn("lines", html_images(F.col("lines"), F.col("literal")))

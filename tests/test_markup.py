@@ -2,10 +2,13 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions import markdown, markup
+from foliospark.plans.catalogue import ORACLES
+from foliospark.plans.markup import md_bundle_parts
 
 
 def tag_end(line, i):
@@ -144,3 +147,15 @@ def test_bundle_parts(spark):
     assert [i["name"] for i in found["b", 3]["images"]] == ["bundle-003-svg-001"]
     with pytest.raises(Exception, match="path is empty"):
         markup.bundle_parts(docs.withColumn("path", F.lit(" "))).collect()
+
+
+def test_bundle_parts_of_odd_documents(spark, tmp_path):
+    """Texts without a word (of other letters, of line breaks, empty, null), equal rows, and rows without an id are numbered as the SQL does."""
+    texts = ["words\n", "", None, "\n\n", "é!\n", "\n \nx", "  ", "\r\n"]
+    rows = [(k, texts[k // 50 % len(texts)]) for k in range(0, 1200, 50)] + [(50, ""), (0, "words\n"), (0, "words\n"), (None, "a"), (None, "a"), (None, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(ORACLES["md_bundle_parts"]).fetchall()
+    got = [tuple(r) for r in md_bundle_parts(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len(got) == len(rows)
