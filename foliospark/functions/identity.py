@@ -16,10 +16,15 @@ def is_uuid(text: Column) -> Column:
 def named_uuid(namespace: Column, name: Column) -> Column:
     """The version 5 UUID of a name in UTF-8 below a namespace UUID."""
     digits = F.unhex(F.regexp_replace(F.regexp_replace(namespace, "(?i)^urn:uuid:", ""), "[{}-]", ""))
-    h = F.sha1(F.concat(digits, F.encode(name, "UTF-8")))
-    part = lambda at, n: F.substring(h, at, n)
-    variant = F.translate(part(17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
-    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
+    digest = F.sha1(F.concat(digits, F.encode(name, "UTF-8")))
+
+    def parts(h: Column) -> Column:
+        part = lambda at, n: F.substring(h, at, n)
+        variant = F.translate(part(17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+        return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
+
+    # the digest is bound to a name, so that it is made once and not for each part
+    return F.get(F.transform(F.array(digest), parts), F.lit(0))
 
 
 def identity(namespace: Column, text: Column) -> Column:

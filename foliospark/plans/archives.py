@@ -83,4 +83,4 @@ def archive_page_look_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = orders.join(owner, F.col("o_custkey") == F.col("c_custkey")).select(page_id.alias("page_id"))
     with _written(spark, sf_dir) as entries, scratch(spark) as block:
         found = archives.find_pages(entries, wanted)
-        return block.keep(stored(found.select(F.regexp_extract("path", r"([^/]*)\.rmdoc$", 1).alias("uuid"), "page_id", "version"), "archive-pages"))
+        return block.keep(stored(found.select(F.replace(F.substring_index("path", "/", -1), F.lit(".rmdoc"), F.lit("")).alias("uuid"), "page_id", "version"), "archive-pages"))

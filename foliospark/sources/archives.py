@@ -12,10 +12,12 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
-from contextlib import ExitStack
+from contextlib import ExitStack, closing
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,6 +131,58 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
 
 
+_LIMIT32, _FLUSH = 0xFFFFFFFF, 1 << 20
+
+
+class Packer:
+    """Writes an archive of deflated members to a stream that need not seek; holds the directory's rows and at most a flush of bytes.
+
+    The members lie whole in memory, so sizes and checksums stand before their bytes.
+    """
+
+    def __init__(self, out: pa.NativeFile):
+        self.out, self.at, self.entries, self.waiting, self.held = out, 0, [], [], 0
+
+    def _put(self, *parts: bytes) -> None:
+        self.waiting += parts
+        n = sum(map(len, parts))
+        self.at, self.held = self.at + n, self.held + n
+        if self.held >= _FLUSH:
+            self._flush()
+
+    def _flush(self) -> None:
+        if self.waiting:
+            self.out.write(b"".join(self.waiting))
+        self.waiting, self.held = [], 0
+
+    def add(self, member: str, data: bytes) -> None:
+        try:
+            name, flags = member.encode("ascii"), 0
+        except UnicodeEncodeError:
+            name, flags = member.encode(), 0x800
+        pack = zlib.compressobj(zlib.Z_DEFAULT_COMPRESSION, zlib.DEFLATED, -15)
+        packed = pack.compress(data) + pack.flush()
+        # Deflate, the first day that an archive can name, and an owner's file.
+        about = struct.pack("<5H3L", 20, flags, zipfile.ZIP_DEFLATED, 0, 0x21, zlib.crc32(data), len(packed), len(data))
+        far = self.at >= _LIMIT32
+        extra = struct.pack("<HHQ", 1, 8, self.at) if far else b""
+        place = struct.pack("<5H2L", len(name), len(extra), 0, 0, 0, 0o600 << 16, _LIMIT32 if far else self.at)
+        self.entries.append(b"PK\1\2" + struct.pack("<H", 3 << 8 | (45 if far else 20)) + about + place + name + extra)
+        self._put(b"PK\3\4", about, struct.pack("<2H", len(name), 0), name, packed)
+
+    def close(self) -> None:
+        start, count = self.at, len(self.entries)
+        for entry in self.entries:
+            self._put(entry)
+        size = self.at - start
+        if count > 0xFFFF or start > _LIMIT32 or size > _LIMIT32:
+            end = self.at
+            self._put(b"PK\6\6", struct.pack("<Q2H2L4Q", 44, 45, 45, 0, 0, count, count, size, start), b"PK\6\7", struct.pack("<LQL", 0, end, 1))
+        small = min(count, 0xFFFF)
+        self._put(b"PK\5\6", struct.pack("<4H2LH", 0, 0, small, small, min(size, _LIMIT32), min(start, _LIMIT32), 0))
+        self._flush()
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """The staging folder of one task's archives; None for a task without rows."""
@@ -151,18 +205,18 @@ class ArchiveWriter(DataSourceArrowWriter):
         folder, own, seen = f"{root}/_staging-{self.job}/{uuid.uuid4().hex}", None, set()
         with ExitStack() as last:
             for batch in iterator:
-                for name, member, data in zip(*(batch.column(c) for c in ("uuid", "member", "bytes")), strict=True):
-                    if name.as_py() != own:
+                for name, member, data in zip(*(batch.column(c).to_pylist() for c in ("uuid", "member", "bytes")), strict=True):
+                    if name != own:
                         last.close()
                         if own is None:
                             store.create_dir(folder, recursive=True)
-                        own, seen = name.as_py(), set()
-                        out = last.enter_context(store.open_output_stream(f"{folder}/{own}.rmdoc"))
-                        z = last.enter_context(zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED))
-                    if member.as_py() in seen:
-                        raise ValueError(f"{own}: two members are called {member.as_py()}")
-                    seen.add(member.as_py())
-                    z.writestr(zipfile.ZipInfo(member.as_py()), data.as_py(), zipfile.ZIP_DEFLATED)
+                        own, seen = name, set()
+                        packer = Packer(last.enter_context(store.open_output_stream(f"{folder}/{own}.rmdoc")))
+                        last.enter_context(closing(packer))
+                    if member in seen:
+                        raise ValueError(f"{own}: two members are called {member}")
+                    seen.add(member)
+                    packer.add(member, data)
         return Written(None if own is None else folder)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -263,44 +317,141 @@ _ENTRY = "path string, place int, member string, at bigint, packed bigint, size
 _ENTRY_ARROW = [("place", pa.int32()), ("member", pa.string()), ("at", pa.int64()), ("packed", pa.int64()), ("size", pa.int64()), ("method", pa.int32()), ("crc", pa.int64())]
 
 
+def _named(path: str) -> str:
+    """A path as Spark names it."""
+    return path if ":" in path.split("/")[0] else f"file:{path}"
+
+
+def _archive_files(spark: SparkSession, path: str) -> DataFrame:
+    """path of every archive below a folder, listed and dealt out by tasks: the driver holds no name.
+
+    One task lists the folder itself, others what lies below. Hidden names are passed over, as Spark does.
+    """
+    top, (_, plain_top) = _named(path).rstrip("/"), _store(path)
+
+    def seen(info: fs.FileInfo) -> bool:
+        parts = info.path[len(plain_top.rstrip("/")) :].strip("/").split("/")
+        return not any(p.startswith(".") or (p.startswith("_") and "=" not in p) for p in parts)
+
+    def chunks(found: Iterator[fs.FileInfo]) -> Iterator[pa.RecordBatch]:
+        whole = iter([i for i in found if seen(i) and (i.type == fs.FileType.Directory or i.base_name.endswith((".zip", ".rmdoc")))])
+        while some := list(islice(whole, 8192)):
+            names = [top + i.path[len(plain_top.rstrip("/")) :] for i in some]
+            yield pa.record_batch([pa.array(names, pa.string()), pa.array([i.type == fs.FileType.Directory for i in some])], ["path", "folder"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, plain = _store(path)
+        for batch in batches:
+            if batch.num_rows:
+                yield from chunks(store.get_file_info(fs.FileSelector(plain)))
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            folders = [n for n, f in zip(*(c.to_pylist() for c in batch.columns), strict=True) if f]
+            yield batch.filter(pc.invert(batch.column(1)))
+            for name in folders:
+                store, plain = _store(name)
+                for part in chunks(store.get_file_info(fs.FileSelector(plain, recursive=True))):
+                    yield part.filter(pc.invert(part.column(1)))
+
+    kind = "path string, folder boolean"
+    tasks = 4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = spark.range(1, numPartitions=1).mapInArrow(first, kind).repartition(tasks, "path").mapInArrow(below, kind)
+    return found.repartition(tasks, "path").select("path")
+
+
 def directory(spark: SparkSession, path: str) -> DataFrame:
     """A row per file in the archives (*.zip, *.rmdoc) below ``path``, in the archive's order, with the place of its bytes.
 
-    Spark lists the archives without their contents; tasks read the directory at the end of each. A broken archive fails the scan.
+    Tasks list the archives and read the directory at the end of each. A broken archive fails the scan. A path that is no folder is one for Spark to list.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            names, found = [], []
             for name in batch.column("path").to_pylist():
                 store, plain = _store(name)
                 with store.open_input_file(plain) as file:
                     rows = _listed(Ranged(file))
-                columns = list(zip(*rows, strict=True)) or [()] * len(_ENTRY_ARROW)
-                arrays = [pa.array(c, k) for c, (_, k) in zip(columns, _ENTRY_ARROW, strict=True)]
-                yield pa.record_batch([pa.array([name] * len(rows), pa.string()), *arrays], ["path", *(n for n, _ in _ENTRY_ARROW)])
-
+                names += [name] * len(rows)
+                found += rows
+                if len(found) >= BATCH_ENTRIES:
+                    yield _entries(names, found)
+                    names, found = [], []
+            if found:
+                yield _entries(names, found)
+
+    store, plain = _store(path)
+    if store.get_file_info(plain).type == fs.FileType.Directory:
+        return _archive_files(spark, path).mapInArrow(run, _ENTRY)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{zip,rmdoc}").load(path)
     return files.select("path").mapInArrow(run, _ENTRY)
 
 
+#: Rows of directories, and bytes of members, that go back to Spark together; bytes that lie side by side are read together up to as many.
+BATCH_ENTRIES, BATCH_BYTES = 4096, 4 << 20
+
+
+def _entries(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True)
+    return pa.record_batch([pa.array(names, pa.string()), *(pa.array(c, k) for c, (_, k) in zip(columns, _ENTRY_ARROW, strict=True))], ["path", *(n for n, _ in _ENTRY_ARROW)])
+
+
+def _ending(row: dict) -> int:
+    """The place behind a member whose local header has nothing but its name."""
+    return row["at"] + 30 + len(row["member"].encode()) + row["packed"]
+
+
+def _runs(rows: list[dict]) -> Iterator[list[dict]]:
+    """Rows whose members lie side by side in one archive."""
+    run: list[dict] = []
+    for row in rows:
+        if run and not (row["path"] == run[-1]["path"] and row["at"] == _ending(run[-1]) and _ending(row) - run[0]["at"] <= BATCH_BYTES):
+            yield run
+            run = []
+        run.append(row)
+    if run:
+        yield run
+
+
 def with_bytes(entries: DataFrame) -> DataFrame:
     """path, place, member, bytes of rows of ``directory``: filter and join them first, only what is left is read.
 
     A member that fails its checksum or is packed by another method than deflate fails.
     """
+    names = ["path", "place", "member", "bytes"]
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.binary()]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with ExitStack() as last:
             own = file = None
             for batch in batches:
-                for row in batch.to_pylist():
-                    if row["path"] != own:
+                rows, held = [], 0
+                for part in _runs(batch.to_pylist()):
+                    if part[0]["path"] != own:
                         last.close()
-                        store, plain = _store(row["path"])
-                        own, file = row["path"], last.enter_context(store.open_input_file(plain))
-                    data = _fetched(file, row["member"], row["at"], row["packed"], row["method"], row["crc"])
-                    kinds = (("path", pa.string()), ("place", pa.int32()), ("member", pa.string()))
-                    yield pa.record_batch([*(pa.array([row[n]], k) for n, k in kinds), pa.array([data], pa.binary())], ["path", "place", "member", "bytes"])
+                        store, plain = _store(part[0]["path"])
+                        own, file = part[0]["path"], last.enter_context(store.open_input_file(plain))
+                    start, side = part[0]["at"], b""
+                    if len(part) > 1:
+                        file.seek(start)
+                        side = file.read(_ending(part[-1]) - start)
+                    for row in part:
+                        at = row["at"] - start
+                        # a local header may say more than the name, also behind the last of them
+                        inside = at + 30 <= len(side) and at + 30 + sum(struct.unpack_from("<26xHH", side, at)) + row["packed"] <= len(side)
+                        source = (io.BytesIO(side), at) if inside else (file, row["at"])
+                        data = _fetched(source[0], row["member"], source[1], row["packed"], row["method"], row["crc"])
+                        rows.append((own, row["place"], row["member"], data))
+                        held += len(data)
+                        if held >= BATCH_BYTES:
+                            yield made(rows)
+                            rows, held = [], 0
+                if rows:
+                    yield made(rows)
 
     columns = [n.split()[0] for n in _ENTRY.split(", ")]
     return entries.select(*columns).mapInArrow(run, "path string, place int, member string, bytes binary")
@@ -308,7 +459,8 @@ def with_bytes(entries: DataFrame) -> DataFrame:
 
 def page_id_of(member: Column) -> Column:
     """The page that a member's name means; null for members that are no page files."""
-    return F.when(member.endswith(".rm"), F.regexp_extract(member, r"([^/]*)\.rm$", 1))
+    name = F.substring_index(member, "/", -1)
+    return F.when(member.endswith(".rm"), name.substr(F.lit(1), F.length(name) - 3))
 
 
 def find_pages(entries: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -6,13 +6,14 @@ import os
 import uuid
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions.identity import identity, is_uuid, named_uuid
 from foliospark.functions.ink import page_letters
 from foliospark.operators import pages, scene
-from foliospark.sources import archives, pagefile
+from foliospark.sources import archives, pagefile, pagewriter
 from foliospark.sources.pagewriter import STROKES
 
 SPACE = str(uuid.uuid5(uuid.NAMESPACE_OID, "tests"))
@@ -165,3 +166,53 @@ def test_page_look_up(spark, tmp_path):
     with pytest.raises(Exception, match="checksum"):
         archives.with_bytes(entries.withColumn("crc", F.lit(1).cast("bigint"))).collect()
     assert "version" in ask("p").columns
+
+
+def test_packed_archives_are_zip_files():
+    """Members of all names and sizes, more than 16 bits can count, and one behind 4 GB."""
+    for count, start in ((0, 0), (3, 0), (70_000, 0), (3, 1 << 32)):
+        out = io.BytesIO()
+        packer = archives.Packer(out)
+        packer.at = start  # as if so many bytes had been written
+        want = {f"{'é' if i % 2 else 'e'}/{i}": os.urandom(i % 5) * i for i in range(min(count, 50))} | {str(i): b"x" for i in range(50, count)}
+        for member, data in want.items():
+            packer.add(member, data)
+        packer.close()
+        with zipfile.ZipFile(out) as z:  # bytes that are missing before the first member are found by the directory's own place
+            assert z.namelist() == list(want)
+            if start:
+                assert {i.header_offset + start for i in z.infolist()} == {r[2] + start for r in archives._listed(io.BytesIO(out.getvalue()))}
+            else:
+                assert z.testzip() is None and all(z.read(m) == want[m] for m in list(want)[:60])
+
+
+def test_members_side_by_side_are_read_at_once(spark, tmp_path):
+    """Also where a local header has more than the name in it; only the bytes asked for are read, and many archives are listed by tasks."""
+    for k in range(30):
+        folder = tmp_path / f"f{k % 3}" / ("_hidden" if k == 5 else "own")
+        folder.mkdir(parents=True, exist_ok=True)
+        with zipfile.ZipFile(folder / f"{k}.zip", "w") as z:
+            for i in range(6):
+                about = zipfile.ZipInfo(f"{i}.rm")
+                about.extra = b"\x99\x99\x03\x00abc" if i in (2, 5) else b""
+                z.writestr(about, f"{k} {i}".encode() * (i + 1), zipfile.ZIP_DEFLATED if i % 2 else zipfile.ZIP_STORED)
+    entries = archives.directory(spark, str(tmp_path))
+    listed = entries.collect()
+    assert len(listed) == 29 * 6 and {r["path"] for r in listed} == {f"file:{f}" for f in files_below(tmp_path) if "_hidden" not in f}
+    got = {(r["path"].rsplit("/", 1)[-1], r["member"]): bytes(r["bytes"]) for r in archives.with_bytes(entries.filter("member <> '3.rm'")).collect()}
+    assert got == {(f"{k}.zip", f"{i}.rm"): f"{k} {i}".encode() * (i + 1) for k in range(30) if k != 5 for i in range(6) if i != 3}
+    runs = [[r["place"] for r in run] for run in archives._runs(sorted((r.asDict() for r in listed if r["path"].endswith("/7.zip") and r["place"] != 3), key=lambda r: r["place"]))]
+    assert runs == [[0, 1, 2], [4, 5]]
+
+
+def test_page_files_by_columns_equal_those_by_strokes():
+    """Numbers of one to three digits, empty and null drawings, slices; values that do not fit their place are left to the plain writer."""
+    point = pa.struct([(n, pa.float64()) for n in ("x", "y", "width")])
+    kind = pa.list_(pa.struct([("tool", pa.int32()), ("color", pa.int32()), ("thickness", pa.float64()), ("points", pa.list_(point))]))
+    one = lambda n, **other: {"tool": n % 90, "color": 3, "thickness": n / 7, "points": [{"x": i / 3 - n, "y": n / 9, "width": i * 1.9} for i in range(n % 6)]} | other
+    drawings = [None, [], [one(0)], [one(n) for n in range(300)], [one(n) for n in range(17_000)], [one(5)]]
+    titles, rows = pa.array(["made", None, "", "x" * 60, "made", "b"]), pa.array(drawings, kind)
+    for a, b in ((titles, rows), (titles.slice(1, 3), rows.slice(1, 3)), (titles.slice(0, 0), rows.slice(0, 0)), (titles.slice(0, 1), rows.slice(0, 1))):
+        assert pagewriter._file_array(a, b).equals(pagewriter._file_list(a, b))
+    for bad in ({"tool": -1}, {"points": [{"x": 1e300, "y": 0.0, "width": 1.0}]}, {"points": [{"x": 0.0, "y": 0.0, "width": 65536.0}]}, {"points": [{"x": 0.0, "y": 0.0, "width": float("nan")}]}, {"thickness": None}):
+        assert pagewriter._file_array(titles.slice(0, 1), pa.array([[one(1, **bad)]], kind)) is None
