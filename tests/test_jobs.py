@@ -3,6 +3,8 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+import pytest
+
 from foliospark.session import new_path
 from foliospark.streaming import events, jobs
 
@@ -85,3 +87,21 @@ def test_items_out_of_time_fail_once(spark):
 
 def test_no_reports(spark):
     assert jobs.job_states(spark.createDataFrame([], jobs.CHANGES)).count() == 0
+
+
+@pytest.mark.parametrize("buckets", [1, 3, jobs.BUCKETS])
+def test_items_of_a_bucket_keep_their_own_limits(spark, monkeypatch, buckets):
+    """However items share buckets, each fails at its own time; equal deadlines fail together, ended items never, and a timer that moved fires once."""
+    monkeypatch.setattr(jobs, "BUCKETS", buckets)
+    root, out, state = (new_path(spark, n) for n in ("reports", "changes", "state"))
+    begun = {i: i // 2 * 5 for i in range(12)}  # minutes; two items each
+    write(spark, root, [(1, i, 1, "queued", at(m)) for i, m in begun.items()] + [(1, 0, 2, "done", at(1))], "part0")
+    run(spark, root, out, state)
+    for k, minute in enumerate((33, 41, 58), 1):
+        ended = 2 * k + 5  # one more item ends with each part
+        write(spark, root, [(2, k, 1, "done", at(minute)), (1, ended, 2, "done", at(minute))], f"part{k}")
+        changes = run(spark, root, out, state)
+        found = {r["item"] for r in changes.filter("verdict = 'expired'").collect()}
+        done = {0, *(2 * j + 5 for j in range(1, k + 1))}  # a part's reports come before its limits
+        assert found == {i for i, m in begun.items() if m + 30 < minute - 10 / 60} - done
+    assert changes.filter("verdict = 'expired'").count() == len(found)
