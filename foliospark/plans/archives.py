@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliospark.operators import pages, scene
 from foliospark.plans.catalogue import query
-from foliospark.session import delete_path, new_path, scratch, stored, table
+from foliospark.session import new_path, scratch, stored, table
 from foliospark.sources import archives, pagefile
 
 NAMESPACE = "6ba7b812-9dad-11d1-80b4-00c04fd430c8"
@@ -53,7 +53,7 @@ def _written(spark: SparkSession, sf_dir: str):
     try:
         yield archives.directory(spark, path)
     finally:
-        delete_path(spark, path)
+        archives.delete_archives(path)
 
 
 @query(_NOTEBOOKS + """select p.uuid, p.page_id, cast(p.page_index as int) as page_index, count(l_returnflag) as strokes, coalesce(sum(n), 0) as points, count(*) filter (n >= 2) as exported,
@@ -61,11 +61,12 @@ def _written(spark: SparkSession, sf_dir: str):
 def archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notebooks written as archives and read back: pages by their content files, strokes by their page files, and the strokes an export keeps."""
     with _written(spark, sf_dir) as entries, scratch(spark) as block:
-        texts = archives.with_bytes(entries.filter(F.col("member").endswith(".content")))
-        content = texts.select(F.regexp_replace("member", r"\.content$", "").alias("uuid"), F.decode("bytes", "UTF-8").alias("content"))
+        page = archives.page_id_of(F.col("member"))
+        # an archive is opened once for all that is read of it
+        read = stored(archives.with_bytes(entries.filter(F.col("member").endswith(".content") | page.isNotNull())), "archive-members")
+        content = read.filter(F.col("member").endswith(".content")).select(F.regexp_replace("member", r"\.content$", "").alias("uuid"), F.decode("bytes", "UTF-8").alias("content"))
         plan = stored(pages.page_plan(content).select("uuid", "page_index", "page_id"), "archive-plan")
-        files = archives.with_bytes(entries.filter(archives.page_id_of(F.col("member")).isNotNull()))
-        drawn = stored(scene.strokes(pagefile.page_blocks(files.select(archives.page_id_of(F.col("member")).alias("page"), "bytes"), ["page"])), "archive-strokes")
+        drawn = stored(scene.strokes(pagefile.page_blocks(read.select(page.alias("page"), "bytes").filter("page is not null"), ["page"])), "archive-strokes")
         told = drawn.groupBy("page").agg(F.count("*").alias("strokes"), F.sum(F.size("points")).alias("points"), F.max(F.array_max(F.transform("points", lambda p: p["x"]))).alias("most_x"))
         items = F.get_json_object("drawing", "$.layers[0].items")
         kept = scene.exported(drawn).select(F.col("page").alias("exported_page"), F.json_array_length(items).cast("bigint").alias("exported"))

@@ -265,6 +265,13 @@ def write_archives(rows: DataFrame, path: str, force: bool = False) -> None:
     placed.write.format("notebook_archives").mode("overwrite" if force else "append").save(path)
 
 
+def delete_archives(path: str) -> None:
+    """Delete the folder of ``write_archives`` by the store's own calls, which a folder of many small files needs."""
+    store, root = _store(path)
+    if store.get_file_info(root).type == fs.FileType.Directory:
+        store.delete_dir(root)
+
+
 class Ranged(io.RawIOBase):
     """A store's file for readers that expect an OSError where they seek before its beginning."""
 

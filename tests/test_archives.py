@@ -216,3 +216,15 @@ def test_page_files_by_columns_equal_those_by_strokes():
         assert pagewriter._file_array(a, b).equals(pagewriter._file_list(a, b))
     for bad in ({"tool": -1}, {"points": [{"x": 1e300, "y": 0.0, "width": 1.0}]}, {"points": [{"x": 0.0, "y": 0.0, "width": 65536.0}]}, {"points": [{"x": 0.0, "y": 0.0, "width": float("nan")}]}, {"thickness": None}):
         assert pagewriter._file_array(titles.slice(0, 1), pa.array([[one(1, **bad)]], kind)) is None
+
+
+def test_the_round_trip_opens_archives_twice_and_leaves_nothing(spark, tmp_path, monkeypatch):
+    """Once for the directory and once for all members that are read; the folder is gone after."""
+    from foliospark.plans import archives as plans
+
+    asked, paths = [], []
+    read, new = archives.with_bytes, plans.new_path
+    monkeypatch.setattr(archives, "with_bytes", lambda entries: asked.append(entries) or read(entries))
+    monkeypatch.setattr(plans, "new_path", lambda *a: paths.append(new(*a)) or paths[-1])
+    assert plans.archive_round_trip(spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    assert len(asked) == 1 and len(paths) == 1 and not os.path.exists(paths[0].removeprefix("file:"))
