@@ -53,7 +53,7 @@ def _written(spark: SparkSession, sf_dir: str):
     try:
         yield archives.directory(spark, path)
     finally:
-        archives.delete_archives(path)
+        archives.delete_archives(spark, path)
 
 
 @query(_NOTEBOOKS + """select p.uuid, p.page_id, cast(p.page_index as int) as page_index, count(l_returnflag) as strokes, coalesce(sum(n), 0) as points, count(*) filter (n >= 2) as exported,

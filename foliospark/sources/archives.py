@@ -265,11 +265,15 @@ def write_archives(rows: DataFrame, path: str, force: bool = False) -> None:
     placed.write.format("notebook_archives").mode("overwrite" if force else "append").save(path)
 
 
-def delete_archives(path: str) -> None:
-    """Delete the folder of ``write_archives`` by the store's own calls, which a folder of many small files needs."""
+def delete_archives(spark: SparkSession, path: str) -> None:
+    """Delete the folder of ``write_archives``: tasks delete the folders below it, as a store takes its time for many small files."""
     store, root = _store(path)
-    if store.get_file_info(root).type == fs.FileType.Directory:
-        store.delete_dir(root)
+    if store.get_file_info(root).type != fs.FileType.Directory:
+        return
+    below = [i.path for i in store.get_file_info(fs.FileSelector(root)) if i.type == fs.FileType.Directory]
+    if below:
+        spark.sparkContext.parallelize(below, len(below)).foreach(lambda folder: _store(path)[0].delete_dir(folder))
+    store.delete_dir(root)
 
 
 class Ranged(io.RawIOBase):
